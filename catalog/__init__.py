@@ -1,0 +1,10 @@
+"""Named queries over the driver's tables, each with its SQL where SQL can say it."""
+
+MODULES = ["relational"]
+
+
+def load() -> None:
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"catalog.{name}")
