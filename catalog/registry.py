@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,21 +14,32 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """Lazily built adapter tables of one data folder."""
+    """Lazily built adapter tables of one data folder; plans are built once per session, never their data."""
+
+    _plans: dict = {}
+    _derived_from_findings = {"feedback", "contexts", "assessments"}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def __getattr__(self, name: str) -> DataFrame:
+    def _build(self, name: str) -> DataFrame:
         if name.startswith("raw_"):
             return testdata.table(self.spark, self.sf_dir, name[4:])
+        if name == "runs":
+            from catalog.derived import review_runs
+
+            return review_runs(self)
+        if name in self._derived_from_findings:
+            return getattr(testdata, name)(self.spark, self.sf_dir, self.findings)
+        if name == "assessment_feedback":
+            return testdata.assessment_feedback(self.spark, self.sf_dir, self.assessments)
         return getattr(testdata, name)(self.spark, self.sf_dir)
 
-    @cached_property
-    def runs(self) -> DataFrame:
-        from catalog.derived import review_runs
-
-        return review_runs(self)
+    def __getattr__(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, id(self.spark), self.sf_dir, name)
+        if key not in self._plans:
+            self._plans[key] = self._build(name)
+        return self._plans[key]
 
 
 def query(name: str, *tables: str, sql: str | None = None):

@@ -6,31 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from winnow import fixed_values as fv
-from winnow.functions.common import NUL, col, squash, text, trim_all
+from winnow.functions.common import NUL, col, text, trim_all
 
 
 def slashes(path) -> Column:
     return F.replace(text(path), F.lit("\\"), F.lit("/"))
 
 
-def finding_fingerprint(rule, cwe, path, line, snippet, message) -> Column:
-    """Identity of one scanner hit across repeated scans."""
-    code = squash(snippet)
-    return F.sha2(
-        F.concat_ws(
-            NUL, text(rule), text(cwe), slashes(path), text(line),
-            F.when(code != "", code).otherwise(trim_all(message)),
-        ),
-        256,
+def finding_fingerprint(rule: str, cwe: str, path: str, line: str, snippet: str, message: str) -> Column:
+    """Identity of one scanner hit across repeated scans; takes column names."""
+    edge = r"r'^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$'"
+    code = f"regexp_replace(regexp_replace(coalesce({snippet}, ''), {edge}, ''), r'\\s+', ' ')".replace("\\\\", "\\")
+    return F.expr(
+        f"sha2(concat_ws('\\u0000', coalesce({rule}, ''), coalesce(string({cwe}), ''), replace(coalesce({path}, ''), r'\\', '/'), "
+        f"coalesce(string({line}), ''), coalesce(nullif({code}, ''), regexp_replace(coalesce({message}, ''), {edge}, ''))), 256)"
     )
 
 
-def group_key(project_id, commit_sha, scan_id) -> Column:
+def group_key(project_id: str, commit_sha: str, scan_id: str) -> Column:
     """Project and commit; a blank commit falls back to the scan."""
-    commit = F.lower(trim_all(commit_sha))
-    base = F.concat(text(project_id), F.lit(NUL), commit)
-    return F.when(commit != "", base).otherwise(
-        F.concat(base, F.lit(NUL + "scan:"), text(scan_id))
+    return F.expr(
+        f"CASE WHEN trim({commit_sha}) <> '' THEN concat({project_id}, '\\u0000', lower(trim({commit_sha}))) "
+        f"ELSE concat({project_id}, '\\u0000\\u0000scan:', {scan_id}) END"
     )
 
 
@@ -58,34 +55,30 @@ def reviewer_split(project_id, commit_sha, percent: int) -> Column:
     ).otherwise("train")
 
 
-def normalized_vector(vector, order=None) -> Column:
+def normalized_vector(vector: str, order=None) -> Column:
     """Typed struct of the ordered features with defaults for what is missing."""
-    v = col(vector)
     fields = []
     for name in order or fv.FEATURES:
         default = fv.FEATURE_DEFAULTS[name]
-        raw = v.getField(name)
+        raw = f"{vector}.{name}"
         if name in fv.TEXT_FEATURES:
-            cased = F.upper if name == "scanner_severity" else F.lower
-            value = F.coalesce(F.nullif(cased(trim_all(raw)), F.lit("")), F.lit(default))
+            case = "upper" if name == "scanner_severity" else "lower"
+            value = f"coalesce(nullif({case}(trim({raw})), ''), '{default}')"
         elif name == "historical_fp_rate_rule":
-            value = F.coalesce(raw.try_cast("double"), F.lit(default))
+            value = f"coalesce(try_cast({raw} AS double), 0.0D)"
         else:
-            value = F.coalesce(raw.try_cast("double").try_cast("int"), F.lit(default))
-        fields.append(value.alias(name))
-    return F.struct(*fields)
+            value = f"coalesce(try_cast(try_cast({raw} AS double) AS int), {default})"
+        fields.append(f"'{name}', {value}")
+    return F.expr(f"named_struct({', '.join(fields)})")
 
 
-def sample_text(vector, order=None) -> Column:
-    """Canonical JSON of a normalized vector; the rate travels as ten-thousandths."""
-    v = col(vector)
+def sample_text(vector: str, order=None) -> Column:
+    """Canonical JSON of a normalized vector column; the rate travels as ten-thousandths."""
     fields = [
-        F.round(v.getField(n) * 10000).cast("bigint").alias(n)
-        if n == "historical_fp_rate_rule"
-        else v.getField(n).alias(n)
+        f"'{n}', bigint(round({vector}.{n} * 10000))" if n == "historical_fp_rate_rule" else f"'{n}', {vector}.{n}"
         for n in order or fv.FEATURES
     ]
-    return F.to_json(F.struct(*fields))
+    return F.expr(f"to_json(named_struct({', '.join(fields)}))")
 
 
 def feature_sha256(sample) -> Column:

@@ -26,15 +26,14 @@ class Snapshot:
 
 def identified(f: DataFrame, s: DataFrame) -> DataFrame:
     """Findings with scan, fingerprint, group key and canonical sample, each computed once."""
-    rows = joins.with_scan(f, s)
+    rows = joins.with_scan(f, s).withColumn("_v", identity.normalized_vector("feature_vector"))
     return rows.select(
         *f.columns,
         "project_id", "scanner_source", "commit_sha",
         identity.finding_fingerprint("rule_id", "cwe_id", "file_path", "line_number", "raw_snippet", "message")
         .alias("fingerprint"),
         identity.group_key("project_id", "commit_sha", "scan_id").alias("group_key"),
-        F.when(F.col("feature_vector").isNotNull(), identity.sample_text(identity.normalized_vector("feature_vector")))
-        .alias("sample"),
+        F.when(F.col("feature_vector").isNotNull(), identity.sample_text("_v")).alias("sample"),
     )
 
 

@@ -1,22 +1,25 @@
 """Adapter: the driver's tables seen as triage tables.
 
 Only projections, and a join where a domain table really spans two inputs; all
-columns are functions of the row, so an unused column costs nothing.
+columns are functions of the row, so an unused column costs nothing.  Written as
+SQL text because one parsed expression is far cheaper to build than a thousand
+Column calls.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FAMILIES = [
-    ("php.security.command-injection", 78),
-    ("php.security.path-traversal", 22),
-    ("php.laravel.security.sql-injection", 89),
-    ("php.laravel.security.xss-unescaped-output", 79),
-    ("php.security.unserialize-user-input", 502),
-    ("php.security.weak-hashing", 327),
+    "php.security.command-injection",
+    "php.security.path-traversal",
+    "php.laravel.security.sql-injection",
+    "php.laravel.security.xss-unescaped-output",
+    "php.security.unserialize-user-input",
+    "php.security.weak-hashing",
 ]
+FAMILY_CWES = [78, 22, 89, 79, 502, 327]
 SNIPPETS = [
     'exec("convert " . $name);',
     "return file_get_contents($path);",
@@ -25,256 +28,201 @@ SNIPPETS = [
     "$data = unserialize($payload);",
     "$hash = md5($password);",
 ]
+CLASSES = ["confirmed_tp", "likely_tp", "needs_validation", "likely_fp", "confirmed_fp"]
+VERDICTS = ["correct", "incorrect", "partially_correct", "insufficient_context"]
 AUTHOR_SEGMENTS = ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE", "NONE"]
+CODE_LINES = [
+    "function f%d($a) {",
+    '    $v1 = $_GET["k%d"];',
+    "    $v2 = trim($v1) . %d;",
+    "    if ($v2 && $v1) { $v3 = htmlspecialchars($v2); } // %d",
+    '    echo "<b>" . $v2; // %d',
+    '    $v4 = config("app.name"); // %d',
+    '    exec("run " . $v4 . $v2); // %d',
+    "    foreach ($v2 as $i) { $h = md5($password); } // %d",
+    "    User::create($request->all()); // %d",
+    '    $api_key = "live-9f83nfu2b8vd0193-%d";',
+    "    $c = file_get_contents(basename($v3)); // %d",
+    '    $d = unserialize($_POST["p"]); DB::select("SELECT 1 FROM t WHERE x = $v1"); // %d',
+    "    $n = 40 + %d; return $n ? 1 : 2;",
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(index: Column, values) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
-
+def _text(value) -> str:
+    return str(value) if isinstance(value, int) else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _cents(c: str) -> Column:
-    return F.round(F.col(c) * 100).cast("bigint")
 
+def _pick(index: str, values) -> str:
+    return f"element_at(array({', '.join(_text(v) for v in values)}), cast({index} as int) + 1)"
 
-def _hex_id(key: Column) -> Column:
-    return F.conv(F.substring(F.sha2(key, 256), 1, 14), 16, 10).cast("bigint")
 
-
-def _path(supp: Column) -> Column:
-    n = supp.cast("string")
+def _path(supp: str) -> str:
     return (
-        F.when(supp % 4 == 0, F.concat(F.lit("app\\Services\\S"), n, F.lit(".php")))
-        .when(supp % 4 == 1, F.concat(F.lit("src/tests/S"), n, F.lit("Test.php")))
-        .when(supp % 4 == 2, F.concat(F.lit("resources/views/s"), n, F.lit(".blade.php")))
-        .otherwise(F.concat(F.lit("bin/run"), n))
+        f"CASE {supp} % 4 WHEN 0 THEN concat('app\\\\Services\\\\S', {supp}, '.php') "
+        f"WHEN 1 THEN concat('src/tests/S', {supp}, 'Test.php') "
+        f"WHEN 2 THEN concat('resources/views/s', {supp}, '.blade.php') ELSE concat('bin/run', {supp}) END"
     )
 
 
+def _columns(df: DataFrame, spec: dict[str, str], keep=()) -> DataFrame:
+    return df.selectExpr(*keep, *[f"{expr} AS {name}" for name, expr in spec.items()])
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    q = F.col("l_quantity").cast("int")
-    line = F.col("l_linenumber")
-    supp = F.col("l_suppkey")
-    disc = _cents("l_discount").cast("int")
-    fam = (F.col("l_partkey") % 6).cast("int")
-    brand = (F.col("l_partkey") % 25).cast("int")
-    key = F.concat_ws(
-        "|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", q, _cents("l_extendedprice"),
-        disc, _cents("l_tax"), F.date_format("l_shipdate", "yyyyMMdd"),
-    )
-    severity = F.when(q >= 45, "CRITICAL").when(q >= 30, "HIGH").when(q >= 15, "MEDIUM").otherwise("LOW")
-    cwe = F.when((fam == 5) & (brand < 5), F.lit(None)).otherwise(_pick(fam, [c for _, c in FAMILIES])).cast("int")
-    p = F.when(q != 7, disc.cast("double") / F.lit(10.0))
-    predicted = F.when(p >= 0.8, "true_positive").when(p <= 0.15, "false_positive")
-    final = F.when(F.col("l_returnflag") == "R", "true_positive").when(F.col("l_returnflag") == "A", "false_positive")
-    path = _path(supp)
-    opened = F.col("l_linestatus") == "O"
-    vector = F.when(
-        q != 50,
-        F.struct(
-            cwe.alias("cwe_id"),
-            F.when(line == 4, F.concat(F.lit(" "), F.lower(severity), F.lit(" "))).otherwise(severity)
-            .alias("scanner_severity"),
-            F.when(line != 1, F.regexp_extract(path, r"([a-z]*)$", 1)).alias("file_extension"),
-            (supp % 4 == 1).cast("int").alias("is_test_file"),
-            (q % 7 + 1).alias("cyclomatic_complexity"),
-            (supp % 2).cast("int").alias("has_sanitizer_in_ast"),
-            (line * 2).cast("int").alias("line_depth_in_function"),
-            (brand * 4).cast("double").alias("rate_pct"),
-            _pick(supp % 4, ["senior", "Mid", "junior", ""]).alias("developer_experience_lvl"),
-            F.when(~opened, (supp % 2).cast("int")).alias("reaches_request_input"),
-            F.when(~opened, (line - 1).cast("int")).alias("taint_steps"),
-            F.when(~opened, (q % 2).cast("int")).alias("sanitised_before_sink"),
-            F.when(~opened, _pick(line % 3, ["query", "body", "mixed"])).alias("attacker_reachable_context"),
-        ),
-    )
-    vector = F.when(
-        vector.isNotNull(),
-        F.struct(
-            *[
-                (vector["rate_pct"] / F.lit(100.0)).alias("historical_fp_rate_rule")
-                if n == "historical_fp_rate_rule" else vector[n].alias(n)
-                for n in [
-                    "cwe_id", "scanner_severity", "file_extension", "is_test_file", "cyclomatic_complexity",
-                    "has_sanitizer_in_ast", "line_depth_in_function", "historical_fp_rate_rule",
-                    "developer_experience_lvl", "reaches_request_input", "taint_steps",
-                    "sanitised_before_sink", "attacker_reachable_context",
-                ]
-            ]
-        ),
-    )
-    snippet = F.when(line == 6, F.lit("   ")).when(
-        line != 7,
-        F.concat(F.when(line == 2, F.lit("  \t")).otherwise(F.lit("")), _pick(fam, SNIPPETS),
-                 F.when(line == 2, F.lit("  ")).otherwise(F.lit("")), F.lit(" // at "), (line * 3).cast("string")),
-    )
-    message = F.when(
-        line == 5, F.concat(F.lit('Hard-coded $api_key = "abcdefghij'), supp.cast("string"), F.lit('klmnop";'))
-    ).otherwise(F.concat(F.lit("Dynamic value reaches "), _pick(fam, [f for f, _ in FAMILIES])))
-    return li.select(
-        _hex_id(key).alias("id"),
-        F.col("l_orderkey").alias("scan_id"),
-        F.concat(_pick(fam, [f for f, _ in FAMILIES]), F.lit(".b"), brand.cast("string")).alias("rule_id"),
-        cwe.alias("cwe_id"),
-        path.alias("file_path"),
-        (line * 3).cast("int").alias("line_number"),
-        severity.alias("severity"),
-        message.alias("message"),
-        snippet.alias("raw_snippet"),
-        vector.alias("feature_vector"),
-        p.alias("tp_probability"),
-        predicted.alias("predicted_label"),
-        final.alias("final_label"),
-        F.when(final.isNotNull(), "triaged").when(predicted == "false_positive", "suppressed")
-        .when((predicted == "true_positive") & opened, "reported").otherwise("pending").alias("status"),
-        F.col("l_shipdate").cast("timestamp_ntz").alias("updated_at"),
-        # attributes the other adapter tables are derived from
-        q.alias("a_q"), disc.alias("a_disc"), _cents("l_tax").cast("int").alias("a_tax"),
-        line.cast("int").alias("a_line"), supp.alias("a_supp"), opened.alias("a_open"), brand.alias("a_brand"),
+    key = (
+        "concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, int(l_quantity), bigint(round(l_extendedprice*100)), "
+        "bigint(round(l_discount*100)), bigint(round(l_tax*100)), date_format(l_shipdate, 'yyyyMMdd'))"
     )
+    base = _columns(table(spark, sf_dir, "lineitem"), {
+        "id": f"cast(conv(substr(sha2({key}, 256), 1, 14), 16, 10) as bigint)",
+        "scan_id": "l_orderkey",
+        "a_q": "int(l_quantity)", "a_disc": "int(round(l_discount*100))", "a_tax": "int(round(l_tax*100))",
+        "a_line": "int(l_linenumber)", "a_supp": "l_suppkey", "a_open": "l_linestatus = 'O'",
+        "a_brand": "int(l_partkey % 25)", "a_fam": "int(l_partkey % 6)",
+        "final_label": "CASE l_returnflag WHEN 'R' THEN 'true_positive' WHEN 'A' THEN 'false_positive' END",
+        "updated_at": "cast(l_shipdate as timestamp_ntz)",
+    })
+    mid = _columns(base, {
+        "rule_id": f"concat({_pick('a_fam', FAMILIES)}, '.b', a_brand)",
+        "cwe_id": f"CASE WHEN a_fam = 5 AND a_brand < 5 THEN NULL ELSE {_pick('a_fam', FAMILY_CWES)} END",
+        "file_path": _path("a_supp"),
+        "line_number": "a_line * 3",
+        "severity": "CASE WHEN a_q >= 45 THEN 'CRITICAL' WHEN a_q >= 30 THEN 'HIGH' WHEN a_q >= 15 THEN 'MEDIUM' ELSE 'LOW' END",
+        "tp_probability": "CASE WHEN a_q <> 7 THEN double(a_disc) / 10D END",
+        "message": "CASE WHEN a_line = 5 THEN concat('Hard-coded $api_key = \"abcdefghij', a_supp, 'klmnop\";') "
+                   f"ELSE concat('Dynamic value reaches ', {_pick('a_fam', FAMILIES)}) END",
+        "raw_snippet": "CASE WHEN a_line = 6 THEN '   ' WHEN a_line <> 7 THEN concat(if(a_line = 2, '  \\t', ''), "
+                       f"{_pick('a_fam', SNIPPETS)}, if(a_line = 2, '  ', ''), ' // at ', a_line * 3) END",
+    }, ["*"])
+    vector = f"""CASE WHEN a_q <> 50 THEN named_struct(
+      'cwe_id', cwe_id,
+      'scanner_severity', if(a_line = 4, concat(' ', lower(severity), ' '), severity),
+      'file_extension', CASE WHEN a_line <> 1 THEN regexp_extract(file_path, '([a-z]*)$', 1) END,
+      'is_test_file', int(a_supp % 4 = 1),
+      'cyclomatic_complexity', a_q % 7 + 1,
+      'has_sanitizer_in_ast', int(a_supp % 2),
+      'line_depth_in_function', a_line * 2,
+      'historical_fp_rate_rule', double(a_brand * 4) / 100D,
+      'developer_experience_lvl', {_pick('a_supp % 4', ['senior', 'Mid', 'junior', ''])},
+      'reaches_request_input', CASE WHEN NOT a_open THEN int(a_supp % 2) END,
+      'taint_steps', CASE WHEN NOT a_open THEN a_line - 1 END,
+      'sanitised_before_sink', CASE WHEN NOT a_open THEN a_q % 2 END,
+      'attacker_reachable_context', CASE WHEN NOT a_open THEN {_pick('a_line % 3', ['query', 'body', 'mixed'])} END) END"""
+    predicted = "CASE WHEN tp_probability >= 0.8D THEN 'true_positive' WHEN tp_probability <= 0.15D THEN 'false_positive' END"
+    names = ["id", "scan_id", "rule_id", "cwe_id", "file_path", "line_number", "severity", "message", "raw_snippet",
+             "tp_probability", "final_label", "updated_at"]
+    attributes = ["a_q", "a_disc", "a_tax", "a_line", "a_supp", "a_open", "a_brand"]
+    return _columns(mid, {
+        "feature_vector": vector,
+        "predicted_label": predicted,
+        "status": "CASE WHEN final_label IS NOT NULL THEN 'triaged' WHEN tp_probability <= 0.15D THEN 'suppressed' "
+                  "WHEN tp_probability >= 0.8D AND a_open THEN 'reported' ELSE 'pending' END",
+    }, [*names, *attributes])
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    commit = F.sha1(F.concat_ws("-", "o_custkey", F.date_format("o_orderdate", "yyyyMM")))
-    return o.select(
-        k.alias("id"),
-        F.col("o_custkey").alias("project_id"),
-        _pick(k % 5, ["semgrep", "sonarqube", "bandit", "phpcs", "sarif"]).alias("source"),
-        F.when(F.col("o_totalprice") < 2000, F.lit("  "))
-        .when(k % 2 == 0, F.upper(commit)).otherwise(commit).alias("commit_sha"),
-        F.col("o_orderpriority").alias("branch"),
-        F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "scoring")
-        .otherwise("uploaded").alias("status"),
-        F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
-        F.col("o_totalprice").alias("a_price"),
-    )
+    commit = "sha1(concat_ws('-', o_custkey, date_format(o_orderdate, 'yyyyMM')))"
+    sources = ["semgrep", "sonarqube", "bandit", "phpcs", "sarif"]
+    return _columns(table(spark, sf_dir, "orders"), {
+        "id": "o_orderkey",
+        "project_id": "o_custkey",
+        "source": _pick("o_orderkey % 5", sources),
+        "commit_sha": f"CASE WHEN o_totalprice < 2000 THEN '  ' WHEN o_orderkey % 2 = 0 THEN upper({commit}) ELSE {commit} END",
+        "branch": "o_orderpriority",
+        "status": "CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'scoring' ELSE 'uploaded' END",
+        "created_at": "cast(o_orderdate as timestamp_ntz)",
+        "a_price": "o_totalprice",
+    })
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    return c.select(
-        F.col("c_custkey").alias("id"),
-        F.col("c_name").alias("name"),
-        F.when(F.col("c_mktsegment") != "BUILDING", F.concat(F.lit("/srv/"), F.lower("c_name"), F.lit("/")))
-        .alias("source_path"),
-    )
+    return _columns(table(spark, sf_dir, "customer"), {
+        "id": "c_custkey", "name": "c_name",
+        "source_path": "CASE WHEN c_mktsegment <> 'BUILDING' THEN concat('/srv/', lower(c_name), '/') END",
+    })
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per rule the parts table mentions."""
-    part = table(spark, sf_dir, "part")
-    fam = (F.col("p_partkey") % 6).cast("int")
-    brand = (F.col("p_partkey") % 25).cast("int")
-    rows = part.select(
-        F.concat(_pick(fam, [f for f, _ in FAMILIES]), F.lit(".b"), brand.cast("string")).alias("external_id"),
-        _pick(fam, [c for _, c in FAMILIES]).cast("int").alias("cwe_id"),
-        brand.alias("a_brand"),
-        F.col("p_name"),
-    )
+    rows = _columns(table(spark, sf_dir, "part"), {
+        "external_id": f"concat({_pick('p_partkey % 6', FAMILIES)}, '.b', p_partkey % 25)",
+        "cwe_id": _pick("p_partkey % 6", FAMILY_CWES),
+        "a_brand": "int(p_partkey % 25)",
+    }, ["p_name"])
     return rows.groupBy("external_id", "cwe_id", "a_brand").agg(F.min("p_name").alias("description"))
 
 
 def feedback(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
     """Current triage decision per labelled finding; untaxed rows have none."""
     f = findings(spark, sf_dir) if f is None else f
-    flipped = F.when(F.col("final_label") == "true_positive", "false_positive").otherwise("true_positive")
-    return f.filter(F.col("final_label").isNotNull() & (F.col("a_tax") > 0)).select(
-        F.col("id"),
-        F.col("id").alias("finding_id"),
-        (F.col("a_supp") % 7).alias("user_id"),
-        F.when((F.col("a_tax") == 4) & (F.col("a_line") == 2), flipped).otherwise(F.col("final_label"))
-        .alias("corrected_label"),
-        F.when(F.col("a_line") <= 4, "human").when(F.col("a_line") == 5, "benchmark")
-        .when(F.col("a_line") == 6, "import").otherwise("ai_pseudo").alias("source"),
-        (F.col("a_tax") < 8).alias("training_eligible"),
-        F.when(F.col("a_line") == 7, "AI training label from adjudicator").when(F.col("a_line") == 3, "AI_PROMOTED x")
-        .otherwise("checked").alias("notes"),
-        F.col("updated_at"),
-    )
+    return _columns(f.filter("final_label IS NOT NULL AND a_tax > 0"), {
+        "finding_id": "id",
+        "user_id": "a_supp % 7",
+        "corrected_label": "CASE WHEN a_tax = 4 AND a_line = 2 THEN if(final_label = 'true_positive', 'false_positive', 'true_positive') "
+                           "ELSE final_label END",
+        "source": "CASE WHEN a_line <= 4 THEN 'human' WHEN a_line = 5 THEN 'benchmark' WHEN a_line = 6 THEN 'import' ELSE 'ai_pseudo' END",
+        "training_eligible": "a_tax < 8",
+        "notes": "CASE WHEN a_line = 7 THEN 'AI training label from adjudicator' WHEN a_line = 3 THEN 'AI_PROMOTED x' ELSE 'checked' END",
+    }, ["id", "updated_at"])
 
 
 def contexts(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
     f = findings(spark, sf_dir) if f is None else f
-    version = F.when(F.col("a_disc") == 0, "compact-v1").otherwise("compact-v2")
-    return f.filter(F.col("a_tax") < 8).select(
-        F.col("id").alias("finding_id"),
-        F.sha2(F.concat_ws(":", F.lit("ctx"), "id"), 256).alias("context_hash"),
-        version.alias("format_version"),
-        F.concat(F.lit('{"code":"$token = \\"abcdefgh'), F.col("a_supp").cast("string"), F.lit('\\";"}')).alias("context"),
-    )
+    return _columns(f.filter("a_tax < 8"), {
+        "finding_id": "id",
+        "context_hash": "sha2(concat_ws(':', 'ctx', id), 256)",
+        "format_version": "if(a_disc = 0, 'compact-v1', 'compact-v2')",
+        "context": "concat('{\"code\":\"$token = \\\\\"abcdefgh', a_supp, '\\\\\";\"}')",
+    })
 
 
 def assessments(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
     """Reviews of the severe findings; some reviewed twice, some adjudicated."""
     f = findings(spark, sf_dir) if f is None else f
-    offers = F.array_compact(
-        F.array(
-            F.struct(F.lit("offensive").alias("reviewer"), F.lit(1).alias("k")),
-            F.struct(F.lit("defensive").alias("reviewer"), F.lit(2).alias("k")),
-            F.when(~F.col("a_open"), F.struct(F.lit("offensive").alias("reviewer"), F.lit(3).alias("k"))),
-            F.when(F.col("a_disc") >= 5, F.struct(F.lit("adjudicator").alias("reviewer"), F.lit(4).alias("k"))),
-        )
-    )
-    rows = f.filter(F.col("a_q") >= 30).withColumn("offer", F.explode(offers))
-    q, k, disc = F.col("a_q"), F.col("offer.k"), F.col("a_disc")
-    mix = q + k * 3 + disc
-
-    def tri(shift):
-        return F.when((mix + shift) % 3 == 0, True).when((mix + shift) % 3 == 1, False)
-
-    evidence = (
-        F.when(mix % 4 == 1, F.array(F.lit("source")))
-        .when(mix % 4 == 2, F.array(F.lit("source"), F.lit("sink")))
-        .when(mix % 4 == 3, F.array(F.lit("sanitizer")))
-    )
-    return rows.select(
-        (F.col("id") * 8 + k).alias("id"),
-        F.col("id").alias("finding_id"),
-        F.col("offer.reviewer").alias("reviewer"),
-        F.when(k == 4, "deterministic-rules-v1").when(q == 40, "old-model").otherwise("review-model").alias("model"),
-        F.when(k == 4, "rules-v1").when(q == 41, "p0").otherwise("p1").alias("prompt_version"),
-        _pick(mix % 5, ["confirmed_tp", "likely_tp", "needs_validation", "likely_fp", "confirmed_fp"])
-        .alias("classification"),
-        F.when(q != 31, ((q * 7 + k * 13 + disc) % 101).cast("double") / F.lit(100.0)).alias("confidence"),
-        tri(0).alias("attacker_controlled"), tri(1).alias("sink_reachable"), tri(2).alias("mitigation_detected"),
-        evidence.alias("missing_evidence"),
-        F.sha2(F.concat_ws(":", F.when(F.col("a_tax") < 6, "ctx").otherwise("old"), "id"), 256).alias("context_hash"),
-        F.when(q == 35, F.lit(None)).when(q == 36, F.lit(0)).otherwise((q + k).cast("bigint") * 1000000000)
-        .cast("bigint").alias("total_duration"),
-        F.when(q != 33, F.col("updated_at") + F.make_dt_interval(F.lit(0), F.lit(0), k * 10 + q)).alias("completed_at"),
-        F.col("a_q"), F.col("a_disc"), F.col("a_supp"), F.col("a_line"), k.alias("a_k"),
-    )
+    rows = f.filter("a_q >= 30").selectExpr(
+        "*",
+        "explode(array_compact(array(named_struct('reviewer', 'offensive', 'k', 1), named_struct('reviewer', 'defensive', 'k', 2), "
+        "if(a_open, NULL, named_struct('reviewer', 'offensive', 'k', 3)), "
+        "if(a_disc >= 5, named_struct('reviewer', 'adjudicator', 'k', 4), NULL)))) AS offer",
+    ).selectExpr("*", "offer.k AS a_k", "a_q + offer.k * 3 + a_disc AS a_mix")
+
+    def tri(shift: int) -> str:
+        return f"CASE (a_mix + {shift}) % 3 WHEN 0 THEN true WHEN 1 THEN false END"
+
+    return _columns(rows, {
+        "id": "id * 8 + a_k",
+        "finding_id": "id",
+        "reviewer": "offer.reviewer",
+        "model": "CASE WHEN a_k = 4 THEN 'deterministic-rules-v1' WHEN a_q = 40 THEN 'old-model' ELSE 'review-model' END",
+        "prompt_version": "CASE WHEN a_k = 4 THEN 'rules-v1' WHEN a_q = 41 THEN 'p0' ELSE 'p1' END",
+        "classification": _pick("a_mix % 5", CLASSES),
+        "confidence": "CASE WHEN a_q <> 31 THEN double((a_q * 7 + a_k * 13 + a_disc) % 101) / 100D END",
+        "attacker_controlled": tri(0), "sink_reachable": tri(1), "mitigation_detected": tri(2),
+        "missing_evidence": "CASE a_mix % 4 WHEN 1 THEN array('source') WHEN 2 THEN array('source', 'sink') WHEN 3 THEN array('sanitizer') END",
+        "context_hash": "sha2(concat_ws(':', if(a_tax < 6, 'ctx', 'old'), id), 256)",
+        "total_duration": "CASE WHEN a_q = 35 THEN NULL WHEN a_q = 36 THEN 0L ELSE bigint(a_q + a_k) * 1000000000L END",
+        "completed_at": "CASE WHEN a_q <> 33 THEN updated_at + make_dt_interval(0, 0, a_k * 10 + a_q) END",
+    }, ["a_q", "a_disc", "a_supp", "a_line", "a_k"])
 
 
 def assessment_feedback(spark: SparkSession, sf_dir: str, a: DataFrame | None = None) -> DataFrame:
     """Explicit verdicts of people on reviews; some given twice."""
     a = assessments(spark, sf_dir) if a is None else a
-    rows = a.filter((F.col("a_disc") <= 4) & (F.col("a_k") <= 3)).withColumn(
-        "v", F.explode(F.when(F.col("a_line") <= 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
-    )
-    turn = F.col("a_q") + F.col("v")
-    verdict = _pick(turn % 4, ["correct", "incorrect", "partially_correct", "insufficient_context"])
-    return rows.select(
-        (F.col("id") * 2 + F.col("v") - 1).alias("id"),
-        F.col("id").alias("assessment_id"),
-        F.col("reviewer"),
-        (F.col("a_supp") % 7).alias("user_id"),
-        verdict.alias("verdict"),
-        F.when((turn % 4).isin(1, 2) & (F.col("a_line") != 5),
-               _pick(turn % 5, ["confirmed_tp", "likely_tp", "needs_validation", "likely_fp", "confirmed_fp"]))
-        .alias("corrected_classification"),
-        F.when(F.col("a_line") == 1, F.array(F.lit("missed_sink"), F.lit("other")))
-        .when(F.col("a_line") == 3, F.array(F.lit("other"), F.lit("other")))
-        .when(F.col("a_line") == 4, F.array(F.lit("bogus"))).alias("reason_codes"),
-        F.lit('looked at $secret = "abcdefghijk"').alias("notes"),
-        (F.col("completed_at") + F.make_dt_interval(F.lit(0), F.col("v"))).alias("reviewed_at"),
-    )
+    rows = a.filter("a_disc <= 4 AND a_k <= 3").selectExpr("*", "explode(if(a_line <= 2, array(1, 2), array(1))) AS v")
+    return _columns(rows, {
+        "id": "id * 2 + v - 1",
+        "assessment_id": "id",
+        "user_id": "a_supp % 7",
+        "verdict": _pick("(a_q + v) % 4", VERDICTS),
+        "corrected_classification": f"CASE WHEN (a_q + v) % 4 IN (1, 2) AND a_line <> 5 THEN {_pick('(a_q + v) % 5', CLASSES)} END",
+        "reason_codes": "CASE a_line WHEN 1 THEN array('missed_sink', 'other') WHEN 3 THEN array('other', 'other') WHEN 4 THEN array('bogus') END",
+        "notes": "'looked at $secret = \"abcdefghijk\"'",
+        "reviewed_at": "completed_at + make_dt_interval(0, v)",
+    }, ["reviewer"])
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,68 +231,39 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions_from(events: DataFrame) -> DataFrame:
-    kind = F.col("event_type")
-    return events.select(
-        "event_id",
-        F.col("ts").alias("decided_at"),
-        F.col("user_id").alias("finding_id"),
-        F.when(kind.isin("purchase", "error"), "label").when(kind == "click", "undo").otherwise("heartbeat")
-        .alias("action"),
-        F.when(kind == "purchase", "true_positive").when(kind == "error", "false_positive").alias("label"),
-        F.concat(F.lit("rule."), (F.col("user_id") % 25).cast("string")).alias("rule_id"),
-    )
+    return _columns(events, {
+        "decided_at": "ts",
+        "finding_id": "user_id",
+        "action": "CASE WHEN event_type IN ('purchase', 'error') THEN 'label' WHEN event_type = 'click' THEN 'undo' ELSE 'heartbeat' END",
+        "label": "CASE event_type WHEN 'purchase' THEN 'true_positive' WHEN 'error' THEN 'false_positive' END",
+        "rule_id": "concat('rule.', user_id % 25)",
+    }, ["event_id"])
 
 
 def blame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author of the first lines of each supplier's file."""
-    s = table(spark, sf_dir, "supplier")
-    author = F.concat_ws("-", F.lit("dev"), "s_nationkey", _pick(F.col("s_suppkey") % 6, AUTHOR_SEGMENTS))
-    return s.select(
-        _path(F.col("s_suppkey")).alias("file_path"),
-        F.explode(F.sequence(F.lit(3), F.lit(18), F.lit(3))).alias("line_no"),
-        author.alias("author"),
-    )
+    return _columns(table(spark, sf_dir, "supplier"), {
+        "file_path": _path("s_suppkey"),
+        "line_no": "explode(sequence(3, 18, 3))",
+        "author": f"concat_ws('-', 'dev', s_nationkey, {_pick('s_suppkey % 6', AUTHOR_SEGMENTS)})",
+    })
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    c = table(spark, sf_dir, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).select(
-        F.col("o_orderkey").alias("commit_id"),
-        F.concat_ws("-", F.lit("dev"), "c_nationkey", "c_mktsegment").alias("author"),
-    )
-
-
-CODE_LINES = [
-    "function f%d($a) {",
-    '    $v1 = $_GET["k%d"];',
-    "    $v2 = trim($v1) . %d;",
-    "    if ($v2 && $v1) { $v3 = htmlspecialchars($v2); } // %d",
-    '    echo "<b>" . $v2; // %d',
-    '    $v4 = config("app.name"); // %d',
-    '    exec("run " . $v4 . $v2); // %d',
-    "    foreach ($v2 as $i) { $h = md5($password); } // %d",
-    "    User::create($request->all()); // %d",
-    '    $api_key = "live-9f83nfu2b8vd0193-%d";',
-    "    $c = file_get_contents(basename($v3)); // %d",
-    '    $d = unserialize($_POST["p"]); DB::select("SELECT 1 FROM t WHERE x = $v1"); // %d',
-    "    $n = 40 + %d; return $n ? 1 : 2;",
-]
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    return _columns(o.join(c, o.o_custkey == c.c_custkey), {
+        "commit_id": "o_orderkey", "author": "concat_ws('-', 'dev', c_nationkey, c_mktsegment)",
+    })
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a source file: every line is code plus its text as a comment."""
     from winnow.sources.files import explode_lines
 
-    docs = table(spark, sf_dir, "documents")
-    lines = explode_lines(docs.select("doc_id", "source", "text"))
-    kind = (F.col("line_no") * 5 + F.col("doc_id")) % len(CODE_LINES)
-    code = F.replace(_pick(kind, CODE_LINES), F.lit("%d"), (F.col("doc_id") % 9).cast("string"))
-    return lines.select(
-        F.concat(
-            _pick(F.col("doc_id") % 4, ["app/", "src/tests/", "Vendor/", "lib/public/"]),
-            F.col("source"), F.lit("/D"), F.col("doc_id").cast("string"), F.lit(".php"),
-        ).alias("file_path"),
-        "doc_id", "line_no",
-        F.concat(code, F.lit(" // "), F.col("text")).alias("text"),
-    )
+    lines = explode_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    folders = ["app/", "src/tests/", "Vendor/", "lib/public/"]
+    code = f"replace({_pick(f'(line_no * 5 + doc_id) % {len(CODE_LINES)}', CODE_LINES)}, '%d', string(doc_id % 9))"
+    return _columns(lines, {
+        "file_path": f"concat({_pick('doc_id % 4', folders)}, source, '/D', doc_id, '.php')",
+        "text": f"concat({code}, ' // ', text)",
+    }, ["doc_id", "line_no"])
