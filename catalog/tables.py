@@ -183,4 +183,4 @@ def with_tables(*names, body):
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n][1].strip()})" for n in order) + "\n" + body.strip()
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTE[n][1].strip()})" for n in order) + "\n" + body.strip()

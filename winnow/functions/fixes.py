@@ -62,10 +62,16 @@ def replace_first(line, pattern: str, build) -> Column:
     return F.when(match == "", ln).otherwise(F.concat(head, build(ln), rest))
 
 
-def suggested_fix(cwe, snippet) -> Column:
-    """struct(before, after, note), or null for a blank snippet or an unknown class."""
-    line = trim_all(snippet)
-    c = col(cwe)
+def with_suggested_fix(f: DataFrame) -> DataFrame:
+    """Adds ``suggested_fix``: struct(before, after, note), null for a blank snippet or an unknown class.
+
+    The trimmed line is its own projection, so its expression is evaluated once.
+    """
+    trimmed = f.withColumn("_line", trim_all("raw_snippet"))
+    return trimmed.withColumn("suggested_fix", _rewrite(F.col("cwe_id"), F.col("_line"))).drop("_line")
+
+
+def _rewrite(c: Column, line: Column) -> Column:
     bare = F.regexp_replace(line, r";+$", "")
     safe_path = replace_first(
         line, PATH_CALL, lambda ln: F.concat(F.regexp_extract(ln, PATH_CALL, 1), F.lit("($safePath"))

@@ -137,7 +137,7 @@ def reviewer_columns(a: DataFrame, reviewers) -> DataFrame:
 def finding_report(f, s, p, fb, a, lines=None, settings: Settings = DEFAULTS, keys=("file_path",)) -> DataFrame:
     """Everything one needs to judge a finding, as one nested row."""
     rows = with_feedback(with_scan(f, s, p), fb)
-    rows = with_guidance(rows)
+    rows = fixes.with_suggested_fix(with_guidance(rows))
     opinions = reviewer_columns(a, fv.REVIEWERS)
     rows = rows.join(opinions.withColumnRenamed("finding_id", "id"), "id", "left")
     if lines is not None:
@@ -165,7 +165,7 @@ def finding_report(f, s, p, fb, a, lines=None, settings: Settings = DEFAULTS, ke
         .alias("finding"),
         F.struct("title", "risk").alias("what"),
         F.struct("true_positive_sign", "false_positive_sign", F.col("feedback_notes").alias("reviewer_note")).alias("why"),
-        F.struct(F.col("fix").alias("summary"), fixes.suggested_fix("cwe_id", "raw_snippet").alias("suggestion")).alias("how"),
+        F.struct(F.col("fix").alias("summary"), F.col("suggested_fix").alias("suggestion")).alias("how"),
         F.struct(
             F.col("project_name").alias("project"), root.alias("root"),
             F.concat(root, F.lit("/"), F.replace("file_path", F.lit("\\"), F.lit("/"))).alias("absolute"),
