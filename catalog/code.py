@@ -158,7 +158,7 @@ TRACE_SQL = f"""
     WHERE NOT EXISTS (SELECT 1 FROM defs e WHERE e.file_path=w.file_path AND e.scope=w.scope AND e.var=w.var AND e.line_no<=w.before AND (e.line_no>d.line_no OR (e.line_no=d.line_no AND e.pos>d.pos))))
   WHERE NOT list_contains(seen2, v))
 , best AS (SELECT w.*, (SELECT arg_max(struct_pack(l := d.line_no, rhs := d.rhs), d.line_no*1000+d.pos) FROM defs d WHERE d.file_path=w.file_path AND d.scope=w.scope AND d.var=w.var AND d.line_no<=w.before) AS d FROM walk w)
-, facts AS (SELECT file_path, line_no, sink_kind, NULL AS var, NULL AS vl, argument AS e, false AS unresolved FROM sinks
+, facts AS (SELECT file_path, line_no, sink_kind, CAST(NULL AS VARCHAR) AS var, CAST(NULL AS INTEGER) AS vl, argument AS e, false AS unresolved FROM sinks
   UNION ALL SELECT file_path, line_no, sink_kind, var, d.l, coalesce(d.rhs,''), d IS NULL FROM best)
 , agg AS (SELECT file_path, line_no, list_sort(list_distinct(flatten(list({ctx_sql('e')})))) AS c, bool_or({san_sql('e')}) AS san, bool_or(unresolved) AS un, count(DISTINCT CASE WHEN vl IS NOT NULL THEN var || ':' || vl END) AS steps FROM facts GROUP BY 1,2)
 SELECT s.file_path, s.line_no, s.sink_kind, CAST(len(c)>0 AS INT) AS reaches_request_input, CAST(steps AS INT) AS taint_steps, CAST(san AS INT) AS sanitised_before_sink,

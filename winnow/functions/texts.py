@@ -61,7 +61,7 @@ def advisory_summary(assessments) -> Column:
             col(assessments),
             lambda a: F.concat(
                 a["reviewer"], F.lit(":"), a["classification"], F.lit("("),
-                F.coalesce(F.format_string("%.4f", a["confidence"]), F.lit("n/a")), F.lit(")"),
+                F.when(a["confidence"].isNull(), "n/a").otherwise(F.format_string("%.4f", a["confidence"])), F.lit(")"),
             ),
         ),
         " | ",
