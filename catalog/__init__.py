@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, each with its SQL where SQL can say it."""
 
-MODULES = ["relational", "code", "datasets"]
+MODULES = ["relational", "code", "datasets", "intake"]
 
 
 def load() -> None:
