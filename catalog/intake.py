@@ -178,14 +178,14 @@ SCANS_SQL = """SELECT scan_id, CASE WHEN scan_id%7=3 THEN 'failed' ELSE 'complet
 
 @query("jb_01_ingest", "fsrc", "scans", sql=SCANS_SQL)
 def _(t):
-    out = ingest.ingest(_arrivals(t), t.rules)
+    out = ingest.ingest(sink.stage(_arrivals(t), "arrivals"), t.rules)
     return out.scans.select("scan_id", "status", "total_findings")
 
 
 @query("jb_01_ingest_candidates", "fsrc", "scans", sql="""
 SELECT scan_id, CAST(least(10, count(*)) AS BIGINT) AS candidates FROM fsrc WHERE scan_id%7<>3 AND scan_id IN (SELECT id FROM scans WHERE length(trim(commit_sha))>0) GROUP BY 1""")
 def _(t):
-    return ingest.ingest(_arrivals(t), t.rules).candidates.groupBy("scan_id").agg(F.count(F.lit(1)).alias("candidates"))
+    return ingest.ingest(sink.stage(_arrivals(t), "arrivals"), t.rules).candidates.groupBy("scan_id").agg(F.count(F.lit(1)).alias("candidates"))
 
 
 @query("ss_01_report_stream", "fsrc", "scans", sql=SCANS_SQL)

@@ -11,6 +11,7 @@ from winnow import fixed_values as fv
 from winnow.operators import features, joins, latest, metrics
 from winnow.plans import context
 from winnow.settings import DEFAULTS, Settings
+from winnow.sinks import files
 from winnow.sources import reports
 
 
@@ -50,7 +51,8 @@ def ingest(arrivals: DataFrame, rules: DataFrame, code: DataFrame | None = None,
     ok, bad = reports.split_malformed(accepted)
 
     normalized = reports.normalize_reports(ok.select("scan_id", "source", "report"))
-    found = with_ids(normalized.withColumnRenamed("snippet", "raw_snippet"))
+    # parsed once: rules, vectors, counts and candidates all read the stored rows
+    found = files.stage(with_ids(normalized.withColumnRenamed("snippet", "raw_snippet")), "normalized")
     known = joins.register_rules(found, rules)
     vectors = features.build_vectors(found, known, code, authors, flow)
     scored = scorer(vectors) if scorer else vectors.select(
