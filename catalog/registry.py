@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from catalog.tables import with_tables
+from winnow.session import tune
 from winnow.sources import testdata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +21,7 @@ class Tables:
     _derived_from_findings = {"feedback", "contexts", "assessments"}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = tune(spark), sf_dir
 
     def _build(self, name: str) -> DataFrame:
         if name.startswith("raw_"):

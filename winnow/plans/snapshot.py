@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from winnow.functions import identity
 from winnow.operators import filters, joins, latest, metrics, sets
 from winnow.settings import DEFAULTS, Settings
+from winnow.sinks import files
 
 PAYLOAD = ["id", "scan_id", "project_id", "scanner_source", "commit_sha", "rule_id", "cwe_id", "file_path",
            "line_number", "severity", "fingerprint", "group_key", "sample"]
@@ -46,7 +47,8 @@ def _labelled_rows(rows: DataFrame, fb: DataFrame) -> DataFrame:
 
 
 def _prepare(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    deduped = latest.dedupe_findings(rows)
+    # written once: the rows, the ambiguity flags and all statistics read it
+    deduped = files.stage(latest.dedupe_findings(rows), "deduped")
     kept = deduped.filter(~F.col("label_conflict")).drop("label_conflict").select(
         "*", identity.feature_sha256("sample").alias("feature_sha256"),
         identity.training_split("group_key", percent).alias("split"),

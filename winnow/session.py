@@ -23,6 +23,19 @@ def local_session(cores: str = "*", app: str = "winnow") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the wide projections here need; safe to call again.
+
+    The JVM never compiles a method above 8,000 bytes, so a generated method that
+    large runs interpreted.  With the limit at that size Spark generates many
+    small methods instead, which is several times faster on wide rows.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # split a hot join key even where that costs one more exchange
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 
