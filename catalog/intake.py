@@ -12,6 +12,7 @@ from catalog.registry import query
 from catalog.tables import CTE
 from winnow.functions import scoring
 from winnow.operators import metrics, sets
+from winnow.operators.onerow import beside
 from winnow.plans import export, ingest, snapshot, training
 from winnow.session import scratch
 from winnow.settings import Settings
@@ -224,7 +225,7 @@ def _(t):
     built = snapshot.training_snapshot(t.findings, t.scans, t.feedback)
     ready = metrics.training_readiness(t.findings, t.feedback)
     unique = built.rows.agg(F.count(F.lit(1)).alias("unique_rows"))
-    return ready.crossJoin(unique).select(F.col("total").alias("labelled"), "unique_rows", (F.col("total") >= F.col("required")).alias("enough"))
+    return beside(ready, unique).select(F.col("total").alias("labelled"), "unique_rows", (F.col("total") >= F.col("required")).alias("enough"))
 
 
 @query("st_01_training_set", "snapshot", "pseudo", "trusted", sql="""
@@ -358,11 +359,13 @@ def _(t):
         "run_id", F.date_format("last_heartbeat", "yyyy-MM-dd HH:mm:ss").alias("last_heartbeat"), "beats")
 
 
-@query("ss_08_backfill_vectors", "findings", "scans", sql="SELECT f.id FROM findings f JOIN scans s ON s.id=f.scan_id WHERE NOT f.has_vector AND s.project_id<10")
+@query("ss_08_backfill_vectors", "findings", sql="SELECT id, greatest(1, 1) AS cyclomatic_complexity, severity AS scanner_severity FROM findings WHERE NOT has_vector")
 def _(t):
     from winnow.operators import features
 
-    return sets.union_rows(*[features.missing_vectors(t.findings, t.scans, p).select("id") for p in range(10)])
+    todo = features.missing_vectors(t.findings)
+    built = features.build_vectors(todo, t.rules.withColumn("historical_fp_rate", F.lit(0.0)))
+    return built.select("id", "feature_vector.cyclomatic_complexity", "feature_vector.scanner_severity")
 
 
 @query("ss_08_stale_contexts", "findings", "contexts", sql="SELECT id FROM findings WHERE id NOT IN (SELECT finding_id FROM contexts WHERE format_version='compact-v2')")

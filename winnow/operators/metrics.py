@@ -9,6 +9,7 @@ from winnow import fixed_values as fv
 from winnow.functions import scoring
 from winnow.functions.common import NUL, reasons, trim_all
 from winnow.operators import filters, latest
+from winnow.operators.onerow import beside
 from winnow.settings import DEFAULTS, Settings
 
 
@@ -190,9 +191,7 @@ def exclusion_stats(deduped: DataFrame, inconsistent: DataFrame | None = None) -
     )
     if inconsistent is None:
         return out.withColumn("excluded_inconsistent_labels", F.lit(0).cast("bigint"))
-    return out.crossJoin(  # one row beside one row
-        inconsistent.agg(F.count(F.lit(1)).alias("excluded_inconsistent_labels"))
-    )
+    return beside(out, inconsistent.agg(F.count(F.lit(1)).alias("excluded_inconsistent_labels")))
 
 
 def ambiguous_vectors(rows: DataFrame) -> DataFrame:
@@ -321,7 +320,7 @@ def promotion_counts(a: DataFrame, f: DataFrame, fb: DataFrame, s: Settings = DE
     """How many adjudications could be promoted and how many were."""
     eligible = filters.promotable(a, f, fb, s).agg(F.count(F.lit(1)).alias("eligible"))
     done = fb.filter(F.col("source") == "ai_pseudo").agg(F.count(F.lit(1)).alias("promoted"))
-    return eligible.crossJoin(done)  # one row beside one row
+    return beside(eligible, done)
 
 
 # ---- review runs ------------------------------------------------------------

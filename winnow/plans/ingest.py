@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from winnow import fixed_values as fv
 from winnow.operators import features, joins, latest, metrics
+from winnow.operators.onerow import beside
 from winnow.plans import context
 from winnow.settings import DEFAULTS, Settings
 from winnow.sinks import files
@@ -85,8 +86,6 @@ def review_status(scan_findings: DataFrame, a: DataFrame, fb: DataFrame, ctx: Da
     progress = metrics.run_progress(runs, mine, model).agg(
         F.count(F.lit(1)).alias("runs"), F.coalesce(F.sum("processed"), F.lit(0)).alias("processed"),
         F.coalesce(F.sum("reviewed"), F.lit(0)).alias("reviewed"))
-    out = total
-    for row in (with_ctx, cover, promo, seconds, progress):  # one-row frames side by side
-        out = out.crossJoin(row)
+    out = beside(total, with_ctx, cover, promo, seconds, progress)
     return out.withColumnsRenamed({"eligible": "training_candidates", "promoted": "training_promoted"}).withColumn(
         "complete", (F.col("total_findings") > 0) & (F.col(fv.ADJUDICATOR) >= F.col("total_findings")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions import identity
 from winnow.operators import filters, joins, latest, metrics, sets
+from winnow.operators.onerow import beside
 from winnow.settings import DEFAULTS, Settings
 from winnow.sinks import files
 
@@ -107,5 +108,4 @@ def statistics(snap: Snapshot) -> DataFrame:
         F.coalesce(F.sum("rows"), F.lit(0)).alias("ambiguous_feature_rows"),
         F.count(F.lit(1)).alias("ambiguous_feature_vectors"),
     )
-    # one-row frames side by side
-    return wide.crossJoin(metrics.exclusion_stats(snap.deduped)).crossJoin(mixed)
+    return beside(wide, metrics.exclusion_stats(snap.deduped), mixed)

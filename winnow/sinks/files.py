@@ -11,7 +11,7 @@ from winnow.functions import scoring
 from winnow.operators import detect
 from winnow.session import scratch
 
-ROWS_PER_FILE = 1_000_000
+ROWS_PER_FILE = 200_000
 
 
 def relative_output(name: str) -> str:

@@ -16,6 +16,7 @@ from winnow.plans import ingest as plan
 from winnow.settings import DEFAULTS, Settings
 from winnow.streaming import state
 
+BUCKETS = 256
 REPORT_SCHEMA = "value string, scan_id bigint, project_id bigint, source string, commit_sha string, branch string"
 
 
@@ -77,16 +78,23 @@ def decision_stream(events: DataFrame) -> DataFrame:
 def run_decisions(events: DataFrame, root: str, checkpoint: str, cfg: Settings = DEFAULTS) -> StreamingQuery:
     """Append decisions, refresh the touched rules, and fire the retrain trigger once per batch of labels.
 
-    The log keeps the newest event per finding and epoch, so the current state is
-    a small aggregate over it.
+    The log keeps the newest event per finding and epoch, in folders by a hash of
+    the rule.  A finding has one rule, so an epoch reads back only the folders of
+    the rules it touched, however long the history is.
     """
+    bucket = F.pmod(F.hash("rule_id"), F.lit(BUCKETS))
 
     def epoch(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        _write(state.decision_state(batch), root, "decisions", epoch_id)
-        log = _table(spark, root, "decisions").filter(F.col("epoch") <= epoch_id)
+        path = f"{root}/decisions/epoch={epoch_id}"
+        newest = state.decision_state(batch).withColumn("bucket", bucket)
+        newest.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        touched = state.touched_rules(batch).select("rule_id", bucket.alias("bucket"))
+        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        log = spark.read.schema(newest.schema.add("epoch", "long")).parquet(f"{root}/decisions").filter(
+            (F.col("epoch") <= epoch_id) & F.col("bucket").isin(buckets))
         current = state.current_decisions(state.decision_state(log))
-        _write(state.refresh_rules(current, state.touched_rules(batch), cfg), root, "rule_stats", epoch_id)
+        _write(state.refresh_rules(current, touched.drop("bucket"), cfg), root, "rule_stats", epoch_id)
         labels = batch.filter("action = 'label'").count()
         earlier = _table(spark, root, "retrain")
         carried = 0

@@ -47,10 +47,9 @@ def refresh_rules(current: DataFrame, touched: DataFrame, s: Settings = DEFAULTS
 
 def retrain_due(f: DataFrame, states: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """One row: labels changed since the last training attempt, and whether that is enough."""
-    last = states.agg(F.max("trained_at").alias("_last"))
-    changed = f.filter(F.col("final_label").isNotNull()).crossJoin(F.broadcast(last))  # one row
-    fresh = F.col("_last").isNull() | (F.col("updated_at") > F.col("_last"))
-    return changed.agg(F.count_if(fresh).alias("new_labels")).withColumn(
+    last = states.agg(F.max("trained_at")).scalar()
+    fresh = last.isNull() | (F.col("updated_at") > last)
+    return f.filter(F.col("final_label").isNotNull()).agg(F.count_if(fresh).alias("new_labels")).withColumn(
         "due", F.col("new_labels") >= max(1, s.retrain_batch_size))
 
 
