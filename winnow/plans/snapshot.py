@@ -39,12 +39,11 @@ def identified(f: DataFrame, s: DataFrame) -> DataFrame:
     )
 
 
-def _labelled_rows(rows: DataFrame, fb: DataFrame) -> DataFrame:
-    """Rows with label and its source; label columns that disagree are dropped."""
+def _labelled_rows(f: DataFrame, s: DataFrame, fb: DataFrame) -> DataFrame:
+    """Rows with label and its source; label columns that disagree are dropped before anything is hashed."""
     side = fb.select(F.col("finding_id").alias("id"), "corrected_label", F.col("source").alias("label_source"))
-    return rows.join(side, "id").filter(F.col("final_label") == F.col("corrected_label")).select(
-        *PAYLOAD, F.col("final_label").alias("label"), "label_source"
-    )
+    rows = filters.labelled(f).join(side, "id").filter(F.col("final_label") == F.col("corrected_label"))
+    return identified(rows, s).select(*PAYLOAD, F.col("final_label").alias("label"), "label_source")
 
 
 def _prepare(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +61,7 @@ def training_snapshot(f: DataFrame, s: DataFrame, fb: DataFrame, percent: int =
     if not 1 <= percent <= 50:
         raise ValueError("validation percent must be between 1 and 50")
     ok = fb.filter(F.col("source").isin(["human", "benchmark", "import"]) & F.col("training_eligible"))
-    trusted = _labelled_rows(identified(filters.labelled(f), s), ok)
+    trusted = _labelled_rows(f, s, ok)
     deduped, rows = _prepare(trusted, percent)
     return Snapshot(rows, deduped, trusted)
 
@@ -78,8 +77,7 @@ class PseudoRows:
 def pseudo_rows(f, s, fb, snap: Snapshot, percent: int = DEFAULTS.validation_percent, settings: Settings = DEFAULTS) -> PseudoRows:
     """Machine-labelled rows for the training side only, capped per class."""
     src = fb.filter((F.col("source") == "ai_pseudo") & F.col("training_eligible"))
-    base = identified(filters.labelled(f), s)
-    rows = _labelled_rows(base, src)
+    rows = _labelled_rows(f, s, src)
     odd = filters.labelled(f).join(
         src.select(F.col("finding_id").alias("id"), "corrected_label"), "id"
     ).filter(F.col("final_label") != F.col("corrected_label"))
