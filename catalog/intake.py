@@ -241,6 +241,41 @@ def _(t):
     return rows.groupBy("label_source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("ml_06_quality_gate", "snapshot", sql="""
+, m AS (SELECT count(*) FILTER (p) AS flags, count(*) FILTER (p AND label='true_positive') AS tp, count(*) FILTER (label='true_positive') AS pos, count(DISTINCT CASE WHEN label='true_positive' THEN group_key END) AS groups
+ FROM (SELECT *, coalesce(tp_probability>=0.8, false) AS p FROM snapshot WHERE split='validation'))
+SELECT concat_ws(' ', CASE WHEN pos<5 THEN 'Validation contains only ' || pos || ' true positives; at least 5 are required.' END,
+ CASE WHEN groups<2 THEN 'Validation true positives cover only ' || groups || ' project group' || CASE WHEN groups=1 THEN '' ELSE 's' END || '; at least 2 are required.' END,
+ CASE WHEN flags<5 THEN 'Candidate flagged only ' || flags || ' validation findings; at least 5 are required.' END,
+ CASE WHEN flags>0 AND round(CAST(tp AS DOUBLE)/flags,4)<0.8 THEN 'Candidate precision ' || printf('%.1f', round(CAST(tp AS DOUBLE)/flags,4)*100) || '% is below the 80.0% deployment gate.' END) AS rejection_reason FROM m""")
+def _(t):
+    """The gate on the scores the findings already have."""
+    rows = snapshot.training_snapshot(t.findings, t.scans, t.feedback).rows.filter("split = 'validation'")
+    scored = rows.join(t.findings.select("id", "tp_probability"), "id").withColumn(
+        "predicted", F.expr("if(coalesce(tp_probability >= 0.8D, false), 'true_positive', 'false_positive')"))
+    counts = metrics.partition_counts(rows, None).first().asDict()
+    reason = training.quality_gate(metrics.confusion(scored).first().asDict(), counts)
+    return t.spark.createDataFrame([(reason or "",)], "rejection_reason string")
+
+
+@query("ml_07_active_model", "model_states", sql="SELECT 'models/m' || id AS path, true AS certified FROM model_states WHERE deployment_status='deployed' ORDER BY trained_at DESC, id DESC LIMIT 1")
+def _(t):
+    """All attempts written to a registry; the champion read back."""
+    registry = scratch(t.spark, "registry")
+    rows = derived.model_states(t).withColumn("id", F.col("id").cast("string")).withColumn("trained_at", F.col("trained_at").cast("timestamp"))
+    rows.write.parquet(f"{registry}/states")
+    active = training.active_model(t.spark, registry)
+    return t.spark.createDataFrame([(active["path"], active["certified"])], "path string, certified boolean")
+
+
+@query("ml_09_seed", "snapshot", sql="""
+, d AS (SELECT sha256(concat(fingerprint, chr(0), group_key, chr(0), label, chr(0), sample)) AS d FROM snapshot)
+SELECT CAST('0x' || substr(sha256(concat_ws(':', count(*), CAST(sum(CAST('0x'||substr(d,1,15) AS HUGEINT)) AS VARCHAR), CAST(sum(CAST('0x'||substr(d,17,15) AS HUGEINT)) AS VARCHAR), CAST(sum(CAST('0x'||substr(d,33,15) AS HUGEINT)) AS VARCHAR), CAST(sum(CAST('0x'||substr(d,49,15) AS HUGEINT)) AS VARCHAR))),1,8) AS BIGINT) AS seed FROM d""")
+def _(t):
+    rows = snapshot.training_snapshot(t.findings, t.scans, t.feedback).rows
+    return metrics.dataset_fingerprint(rows).select(training.random_seed("dataset_fingerprint").alias("seed"))
+
+
 SMALL_FOREST = Settings(trees=20, tree_depth=8)
 
 
