@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from catalog.tables import CTE
 from winnow import fixed_values as fv
-from winnow.functions import fixes, identity, scoring, texts
+from winnow.functions import fixes, texts
 from winnow.functions.common import any_of
-from winnow.operators import dataflow, detect, features, joins
+from winnow.operators import dataflow, detect, features
 from winnow.sources import files
 
 
@@ -267,5 +267,3 @@ def _(t):
     sized = t.code_lines.groupBy("file_path").agg(F.sum(F.length("text")).alias("size_bytes"))
     return sized.select("file_path", files.source_file_status("file_path", "size_bytes", Settings(max_file_bytes=5000)).alias("status"))
 
-
-_ = (identity, scoring, joins)
