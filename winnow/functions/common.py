@@ -17,11 +17,6 @@ def text(c) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
-def squash(c) -> Column:
-    """Trim, then collapse runs of whitespace to one blank."""
-    return F.regexp_replace(trim_all(c), r"\s+", " ")
-
-
 def trim_all(c) -> Column:
     """Trim every kind of ASCII whitespace, not only blanks."""
     return F.regexp_replace(text(c), r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$", "")

@@ -84,6 +84,3 @@ def sample_text(vector: str, order=None) -> Column:
 def feature_sha256(sample) -> Column:
     return F.sha2(col(sample), 256)
 
-
-def row_digest(*cols) -> Column:
-    return F.sha2(F.concat_ws(NUL, *[text(c) for c in cols]), 256)
