@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import bpe_tree, resharding
-from winnow.llm.scan import read
+from winnow.llm import bpe_tree, quality_votes, resharding, toxic_segments
+from winnow.llm.scan import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,17 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.reshard_documents(read(spark, sf_dir, "documents"), 40)
+
+
+@query
+def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxic_segments.train(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return toxic_segments.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_segments")
+
+
+@query
+def op10_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_votes.train(docs, read(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return quality_votes.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
