@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import bpe_tree, quality_votes, resharding, toxic_segments
+from winnow.llm import bpe_tree, decontaminate, quality_votes, resharding, toxic_segments
 from winnow.llm.scan import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def op10_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality_votes.train(docs, read(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
     return quality_votes.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

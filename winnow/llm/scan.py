@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,9 +67,13 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * down[starts] + lengths * _ODD)
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, row offsets) of consecutive rows of a string column; a null row is an empty one."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, fold: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, row offsets) of consecutive rows of a string column; a null row is an empty one.
+
+    ``fold`` lowers the letters of every script, each code point to one.
+    """
     column = column.cast(pa.large_string()).fill_null("")
+    column = pc.utf8_lower(column) if fold else column
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = column.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, dtype=np.uint8)
