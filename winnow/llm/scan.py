@@ -58,13 +58,49 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+class Spans:
+    """64-bit hashes of any spans of ``values``, the 64-bit codes of the symbols."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = _power_tables(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[s:e] for every span; ``values`` are 64-bit codes of the symbols."""
-    up, down = _power_tables(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    lengths = (ends - starts).astype(np.uint64)
-    return mix((sums[ends] - sums[starts]) * down[starts] + lengths * _ODD)
+    return Spans(values).hashes(starts, ends)
+
+
+class Lookup:
+    """Place of a hash among distinct hashes, -1 for others: a table with open addressing, many at a time."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.shift, self.mask = keys, np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, dtype=np.int32)
+        left, at = np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.slots[at] < 0)
+            self.slots[at[free]] = left[free]
+            rest = self.slots[at] != left
+            left, at = left[rest], (at[rest] + 1) & self.mask
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        if not len(self.keys):
+            return out
+        left, at = np.arange(len(hashes)), (hashes >> self.shift).astype(np.int64)
+        while len(left):
+            found = self.slots[at]
+            some = found >= 0
+            left, at, found = left[some], at[some], found[some]
+            hit = self.keys[found] == hashes[left]
+            out[left[hit]] = found[hit]
+            left, at = left[~hit], (at[~hit] + 1) & self.mask
+        return out
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES, fold: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

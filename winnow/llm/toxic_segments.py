@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.labelled import SAMPLE_ROWS, sample
-from winnow.llm.scan import BYTE_VALUES, NON_LETTERS, Words, blocks, span_hashes, staged
+from winnow.llm.scan import BYTE_VALUES, NON_LETTERS, Lookup, Words, blocks, span_hashes, staged
 
 DRIFT = 0.2
 PRIOR_SHARE = 0.1
@@ -47,10 +47,13 @@ class Model:
     k: float = 1.0
     intercept: float = 0.0
     slope: float = 0.0
+    lookup: Lookup | None = None
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, self.scores[at], 0.0)
+        if self.lookup is None:
+            self.lookup = Lookup(self.terms)
+        at = self.lookup(hashes)
+        return np.where(at >= 0, self.scores[at], 0.0)
 
 
 def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
