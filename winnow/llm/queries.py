@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import bpe_tree, decontaminate, lattice, quality_votes, resharding, toxic_segments
+from winnow.llm import bpe_tree, coin_tossing, decontaminate, lattice, quality_votes, resharding, toxic_segments
 from winnow.llm.scan import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = lattice.score(docs, fold("doc_id", 5) != 1, public_tokenizers.path("piece_bpe_32k.model"))
     return scored.withColumn("held_out", fold("doc_id", 5) == 1)
+
+
+@query
+def op1_coin_tossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coin_tossing.with_edits(read(spark, sf_dir, "documents"))
