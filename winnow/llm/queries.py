@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import bpe_tree, coin_tossing, decontaminate, lattice, quality_votes, resharding, toxic_segments
+from winnow.llm import bpe_tree, chosen_path, coin_tossing, decontaminate, lattice, quality_votes, resharding, toxic_segments
 from winnow.llm.scan import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_coin_tossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coin_tossing.with_edits(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(read(spark, sf_dir, "documents"))
