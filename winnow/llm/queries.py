@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import bpe_tree, chosen_path, coin_tossing, decontaminate, lattice, quality_votes, resharding, sparse_suffix, toxic_segments
+from winnow.llm import bpe_tree, chosen_path, coin_tossing, decontaminate, lattice, quality_votes, quotes, resharding, sparse_suffix, toxic_segments
 from winnow.llm.scan import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_suffix.repeats(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(read(spark, sf_dir, "conversations"))

@@ -226,3 +226,17 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, training: Column, bound: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``bound`` labelled documents for which ``training`` (over labels) holds."""
     return fit(staged(sample(docs, labels, "toxic", training, bound), "toxic-sample"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents not predicted toxic, all columns kept; the filter runs in the scanning tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            _, statistic, _, _, _ = _scan(m, batch.column(place), False)
+            yield batch.filter(pa.array(m.intercept + m.slope * np.log1p(statistic) < 0))
+
+    return docs.mapInArrow(run, docs.schema)
