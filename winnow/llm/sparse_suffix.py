@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.scan import Spans, Words, blocks, mix, ngrams, staged
+from winnow.llm.scan import Spans, Words, blocks, fresh, mix, ngrams, staged
 
 LEAST = 50
 PHRASE = 25
@@ -165,12 +165,12 @@ def _repeats(keyed: DataFrame, least: int, phrase: int) -> tuple[DataFrame, Data
     marks = runs.select("key", "phrase", "whole", "begin", "left", F.size("windows").alias("n")).join(judged.where("again <> 0"), ["phrase", "whole"])
     later = F.when(F.struct("key", "begin") == F.col("first"), F.col("elsewhere")).otherwise(F.col("again"))
     marks = marks.select("key", F.struct("begin", "left", "n", "again", later.alias("later")).alias("run")).groupBy("key").agg(F.collect_list("run").alias("runs"))
-    lengths = texts.where("key = twin").select("key", "n_words").dropDuplicates(["key"])
+    lengths = texts.groupBy("key").agg(F.max("n_words").alias("n_words"))
     return texts, _spans(marks.join(lengths, "key").select("key", "n_words", "runs"), least)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
 
 def repeats(docs: DataFrame, least: int = LEAST, phrase: int = PHRASE) -> DataFrame:
@@ -183,7 +183,7 @@ def repeats(docs: DataFrame, least: int = LEAST, phrase: int = PHRASE) -> DataFr
     but the first removable.  Null, empty and shorter texts have none.  Rows of
     one doc_id should have one text; null ids are told apart by their texts.
     """
-    keyed = _keyed(docs.select("doc_id", "text"))
+    keyed = docs.select("doc_id", "text", _key().alias("_key"))
     texts, spans = _repeats(keyed, least, phrase)
     own = spans.select("key", F.explode("spans").alias("s")).select("key", "s.start", "s.end", "s.removable")
     copied = texts.where((F.col("copies") > 1) & (F.col("n_words") >= least))
@@ -202,11 +202,12 @@ def without_repeats(docs: DataFrame, least: int = LEAST, phrase: int = PHRASE) -
     left is left out, and so are later copies of a text of at least ``least``
     words; untouched documents, empty ones too, stay as they are.
     """
-    keyed = _keyed(docs)
-    texts, spans = _repeats(keyed.select("_key", "text"), least, phrase)
+    key, order, cut = (fresh(docs, c) for c in ("_key", "_order", "_cuts"))
+    keyed = docs.withColumn(key, _key())
+    texts, spans = _repeats(keyed.select(F.col(key).alias("_key"), "text"), least, phrase)
     known = texts.dropDuplicates(["key"]).join(spans.select("key", "cuts"), "key", "left")
     gone = (F.col("key") != F.col("twin")) & (F.col("n_words") >= least)
-    orders = known.where(gone | (F.size("cuts") > 0)).select("key", F.when(gone, F.lit(None)).otherwise(F.col("cuts")).alias("cuts"))
+    orders = known.where(gone | (F.size("cuts") > 0)).select(F.col("key").alias(key), F.lit(True).alias(order), F.when(gone, F.lit(None)).otherwise(F.col("cuts")).alias(cut))
     columns, place = docs.columns, docs.columns.index("text")
     counted = columns.index("n_chars") if "n_chars" in columns else None
 
@@ -230,8 +231,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST, phrase: int = PHRASE) -
                 out[counted] = pa.array([len(changed[r]) if r in changed else n for r, n in enumerate(out[counted].to_pylist())], out[counted].type)
             yield pa.RecordBatch.from_arrays(out, columns).filter(pa.array(keep))
 
-    joined = keyed.join(orders, keyed["_key"] == orders["key"], "left").select(*(keyed[c] for c in columns), orders["key"].alias("_order"), "cuts")
-    return joined.mapInArrow(run, docs.schema)
+    return keyed.join(orders, key, "left").select(*columns, order, cut).mapInArrow(run, docs.schema)
 
 
 def _cut(text: str, cuts: list[tuple[int, int]]) -> str:
@@ -240,6 +240,8 @@ def _cut(text: str, cuts: list[tuple[int, int]]) -> str:
     words = Words(data, np.array([0, len(data)]))
     keep, at = [], 0
     for a, b in cuts:
+        if a >= len(words.starts):
+            break
         keep.append(data[at : words.starts[a]].tobytes())
         at = words.starts[b] if b < len(words.starts) else words.ends[-1]
     return b"".join([*keep, data[at:].tobytes()]).decode()
