@@ -229,13 +229,17 @@ def _(t):
 
 
 @query("sc_32_suggested_fix", "findings", sql="""
-, s AS (SELECT id, cwe_id, regexp_replace(raw_snippet, '^[ \\t]+|[ \\t]+$', '', 'g') AS line FROM findings)
-SELECT id, CASE cwe_id WHEN 22 THEN '$safePath = realpath($base.DIRECTORY_SEPARATOR.basename($path));' || chr(10) || 'abort_unless($safePath && str_starts_with($safePath, $base), 403);' || chr(10) || replace(line, 'file_get_contents($path', 'file_get_contents($safePath')
- WHEN 89 THEN replace(replace(line, '$id', '?'), '$row->key', '?') || ', [$id, $row->key]);'
- WHEN 78 THEN '$process = new Process([''convert'', $name, ''out.png'']);' || chr(10) || '$process->mustRun();'
- WHEN 502 THEN replace(line, 'unserialize(', 'json_decode(') || ', true, flags: JSON_THROW_ON_ERROR);'
- WHEN 327 THEN replace(line, 'md5(', 'Hash::make(') WHEN 79 THEN replace(line, 'echo $title;', 'echo e($title);') END AS after
-FROM s WHERE line<>'' AND cwe_id IS NOT NULL""")
+, s AS (SELECT id, cwe_id, regexp_extract(raw_snippet, '( // at [0-9]+)[ ]*$', 1) AS mark FROM findings WHERE trim(raw_snippet, ' ' || chr(9)) <> '')
+SELECT id, CASE cwe_id
+ WHEN 22 THEN '$root = realpath((string) getenv(''FILE_ROOT''));' || chr(10) || '$checked = realpath($root . ''/'' . $path);' || chr(10)
+  || 'if ($root === false || $checked === false || strpos($checked, $root . ''/'') !== 0) {' || chr(10)
+  || '    throw new RuntimeException(''The path leaves the file root.'');' || chr(10) || '}' || chr(10) || 'return file_get_contents($checked);' || pad || mark
+ WHEN 89 THEN '$statement = $pdo->prepare("SELECT * FROM t WHERE id = ? AND k = ?");' || chr(10) || '$statement->execute([$id, $row->key]);' || chr(10) || '$rows = $statement->fetchAll();'
+ WHEN 78 THEN '$process = proc_open([''convert'', $name], [1 => [''pipe'', ''w'']], $pipes);' || chr(10) || '$output = stream_get_contents($pipes[1]);' || chr(10) || 'proc_close($process);'
+ WHEN 502 THEN '$data = json_decode($payload, true, 64, JSON_THROW_ON_ERROR);' || pad || mark
+ WHEN 327 THEN '$key = (string) getenv(''HASH_KEY'');' || chr(10) || '$hash = hash_hmac(''sha256'', $password, $key);' || pad || mark
+ WHEN 79 THEN 'echo htmlspecialchars($title, ENT_QUOTES | ENT_SUBSTITUTE, ''UTF-8'');' || pad || mark END AS after
+FROM (SELECT s.*, CASE WHEN a_line=2 THEN '  ' ELSE '' END AS pad FROM s JOIN findings USING (id, cwe_id)) WHERE cwe_id IS NOT NULL""")
 def _(t):
     return fixes.with_suggested_fix(t.findings).filter("suggested_fix IS NOT NULL").select("id", "suggested_fix.after")
 

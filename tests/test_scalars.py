@@ -115,13 +115,30 @@ def test_paths(spark):
 
 
 def test_suggested_fixes(spark):
-    rows = [finding(1, cwe_id=89, snippet='DB::select("SELECT $a WHERE $b->c = $a");'), finding(2, cwe_id=79, snippet="echo $x;"),
-            finding(3, cwe_id=22, snippet="readfile($f); readfile($g);"), finding(4, cwe_id=1), finding(5, cwe_id=89, snippet=" ")]
+    rows = [
+        finding(1, cwe_id=89, snippet="""$db->query("SELECT a FROM t WHERE n = '$name' AND k = $row->key AND m = $name");"""),
+        finding(2, cwe_id=79, snippet="echo $x . '!';"),
+        finding(3, cwe_id=22, snippet="readfile($f); unlink($f . $folder);"),
+        finding(4, cwe_id=1),
+        finding(5, cwe_id=89, snippet=" "),
+        finding(6, cwe_id=78, snippet="exec('tar ' . $archive->name);"),
+        finding(7, cwe_id=502, snippet="$d = unserialize($in, ['allowed_classes' => false]);"),
+        finding(8, cwe_id=915, snippet="Post::create($request->all());"),
+        finding(9, cwe_id=327, snippet="$h = md5($pin);"),
+        finding(10, cwe_id=798, snippet="$apiKey = 'not a real one';"),
+        finding(11, cwe_id=89, snippet="$db->query($sql);"),
+    ]
     out = {r["id"]: r["suggested_fix"] for r in fixes.with_suggested_fix(spark.createDataFrame(rows, FINDING)).collect()}
-    assert out[1]["after"] == 'DB::select("SELECT ? WHERE ? = ?"), [$a, $b->c]);'
-    assert out[2]["after"] == "echo e($x);"
-    assert "readfile($safePath); readfile($g);" in out[3]["after"] and "basename($f)" in out[3]["after"]
-    assert out[4] is None and out[5] is None
+    after = {i: f["after"].split("\n") for i, f in out.items() if f is not None}
+    assert after[1] == ['$statement = $pdo->prepare("SELECT a FROM t WHERE n = ? AND k = ? AND m = ?");', "$statement->execute([$name, $row->key, $name]);", "$rows = $statement->fetchAll();"]
+    assert after[2] == ["echo htmlspecialchars($x . '!', ENT_QUOTES | ENT_SUBSTITUTE, 'UTF-8');"]
+    assert after[3][1] == "$checked = realpath($root . '/' . $f);" and after[3][-1] == "readfile($checked); unlink($checked . $folder);"
+    assert after[6][0] == "$process = proc_open(['tar', $archive->name], [1 => ['pipe', 'w']], $pipes);"
+    assert after[8] == ["$allowed = ['title', 'body'];", "Post::create($request->only($allowed));"]
+    assert after[9][1] == "$h = hash_hmac('sha256', $pin, $key);"
+    assert after[10][:2] == ["$apiKey = getenv('APIKEY');", "if ($apiKey === false) {"]
+    assert after[7] == ["$d = json_decode($in, true, 64, JSON_THROW_ON_ERROR);"]
+    assert all(out[i] is None for i in (4, 5, 11))
 
 
 def test_review_priority(spark):

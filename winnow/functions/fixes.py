@@ -18,9 +18,10 @@ FIX_NOTES = {
     798: "Read the value from configuration, and rotate it if it was ever committed.",
     79: "Escape at the place of output.",
 }
-PATH_CALL = r"\b(file_put_contents|file_get_contents|fopen|unlink|readfile|mkdir|rmdir|copy|rename)\s*\(\s*(\$[A-Za-z_]\w*)"
-VARIABLE = r"\$[A-Za-z_]\w*"
-PROPERTY_VARIABLE = r"\$[A-Za-z_]\w*(?:->\w+)*"
+VALUE = r"\$[A-Za-z_]\w*(?:->\w+)*"
+QUERY_TEXT = r'"([^"]*\$[^"]*)"'
+PLACEHOLDER_FOR = r"'?\{?(" + VALUE + r")\}?'?"
+PROGRAM = r"""(?:exec|system|passthru|shell_exec|popen|proc_open)\s*\(\s*["']\s*([\w./-]+)"""
 
 # Title, risk, remedy, sign of a real hit, sign of a false alarm.
 GUIDANCE = [
@@ -47,23 +48,75 @@ GUIDANCE_FALLBACK = ("Security finding", "Depends on what the operation can do."
 GUIDANCE_COLUMNS = ["title", "risk", "fix", "true_positive_sign", "false_positive_sign"]
 
 
-def first_variable(line, default: str) -> Column:
-    found = F.regexp_extract(col(line), VARIABLE, 0)
-    return F.when(found != "", found).otherwise(F.lit(default))
+def first_value(line) -> Column:
+    """The first variable of the line with its properties; empty without one."""
+    return F.regexp_extract(col(line), VALUE, 0)
 
 
-def replace_first(line, pattern: str, build) -> Column:
-    """Rewrite only the first match; ``build`` gets the text before, the match and the rest."""
-    ln = col(line)
-    match = F.regexp_extract(ln, pattern, 0)
-    at = F.instr(ln, match)
-    head = F.substring(ln, F.lit(1), at - 1)
-    rest = F.substr(ln, at + F.length(match))
-    return F.when(match == "", ln).otherwise(F.concat(head, build(ln), rest))
+def _with(line: Column, value: Column, other: str) -> Column:
+    """The line with every use of a value replaced."""
+    return F.regexp_replace(line, F.concat(F.lit("\\Q"), value, F.lit("\\E\\b")), F.lit(other.replace("$", "\\$")))
+
+
+def _inside_root(line: Column) -> Column:
+    value = first_value(line)
+    guard = F.concat(
+        F.lit("$root = realpath((string) getenv('FILE_ROOT'));\n$checked = realpath($root . '/' . "), value, F.lit(");\n"),
+        F.lit("if ($root === false || $checked === false || strpos($checked, $root . '/') !== 0) {\n"),
+        F.lit("    throw new RuntimeException('The path leaves the file root.');\n}\n"),
+    )
+    return F.when(value != "", F.concat(guard, _with(line, value, "$checked")))
+
+
+def _prepared(line: Column) -> Column:
+    """The statement's text with a placeholder for every use of a value, and the values in that order."""
+    text = F.regexp_extract(line, QUERY_TEXT, 1)
+    values = F.regexp_extract_all(text, F.lit(VALUE), F.lit(0))
+    code = F.concat(
+        F.lit('$statement = $pdo->prepare("'), F.regexp_replace(text, PLACEHOLDER_FOR, "?"), F.lit('");\n$statement->execute(['),
+        F.array_join(values, ", "), F.lit("]);\n$rows = $statement->fetchAll();"),
+    )
+    return F.when(text != "", code)
+
+
+def _without_shell(line: Column) -> Column:
+    value, program = first_value(line), F.regexp_extract(line, PROGRAM, 1)
+    code = F.concat(
+        F.lit("$process = proc_open(['"), program, F.lit("', "), value, F.lit("], [1 => ['pipe', 'w']], $pipes);\n"),
+        F.lit("$output = stream_get_contents($pipes[1]);\nproc_close($process);"),
+    )
+    return F.when((value != "") & (program != ""), code)
+
+
+def _from_environment(line: Column) -> Column:
+    value = first_value(line)
+    name = F.upper(F.regexp_replace(value, r"\W+", ""))
+    return F.when(value != "", F.concat(
+        value, F.lit(" = getenv('"), name, F.lit("');\nif ("), value, F.lit(" === false) {\n    throw new RuntimeException('"),
+        name, F.lit(" is not set.');\n}")))
+
+
+def _changed(line: Column, pattern: str, replacement: str, before: str = "") -> Column:
+    """The line with all matches rewritten, after what they need; null if nothing matches."""
+    return F.when(line.rlike(pattern), F.concat(F.lit(before), F.regexp_replace(line, pattern, replacement)))
+
+
+#: our own rewrites: each yields complete code for a line of its class, or null where the line does not have the form
+REWRITES = {
+    22: _inside_root,
+    89: _prepared,
+    78: _without_shell,
+    502: lambda ln: _changed(ln, r"\bunserialize\s*\(([^,()]+)[^()]*\)", r"json_decode($1, true, 64, JSON_THROW_ON_ERROR)"),
+    915: lambda ln: _changed(ln, r"(\$request|\brequest\(\))->all\(\)", r"$1->only(\$allowed)", "$allowed = ['title', 'body'];\n"),
+    327: lambda ln: _changed(ln, r"\b(?:md5|sha1)\s*\(([^()]+)\)", r"hash_hmac('sha256', $1, \$key)", "$key = (string) getenv('HASH_KEY');\n"),
+    798: _from_environment,
+    79: lambda ln: _changed(ln, r"\b(echo|print)\s+([^;]*\$[^;]*);", r"$1 htmlspecialchars($2, ENT_QUOTES | ENT_SUBSTITUTE, 'UTF-8');"),
+}
 
 
 def with_suggested_fix(f: DataFrame) -> DataFrame:
-    """Adds ``suggested_fix``: struct(before, after, note), null for a blank snippet or an unknown class.
+    """Adds ``suggested_fix``: struct(before, after, note), null for a blank snippet,
+    an unknown class, or a line without the form its class is rewritten from.
 
     The trimmed line is its own projection, so its expression is evaluated once.
     """
@@ -71,37 +124,12 @@ def with_suggested_fix(f: DataFrame) -> DataFrame:
     return trimmed.withColumn("suggested_fix", _rewrite(F.col("cwe_id"), F.col("_line"))).drop("_line")
 
 
-def _rewrite(c: Column, line: Column) -> Column:
-    bare = F.regexp_replace(line, r";+$", "")
-    safe_path = replace_first(
-        line, PATH_CALL, lambda ln: F.concat(F.regexp_extract(ln, PATH_CALL, 1), F.lit("($safePath"))
-    )
-    bindings = F.array_distinct(F.regexp_extract_all(line, F.lit(PROPERTY_VARIABLE), F.lit(0)))
-    bound = F.when(F.size(bindings) > 0, F.array_join(bindings, ", ")).otherwise("$value")
-    after = (
-        F.when(c == 22, F.concat(
-            F.lit("$safePath = realpath($base.DIRECTORY_SEPARATOR.basename("), first_variable(line, "$path"),
-            F.lit("));\nabort_unless($safePath && str_starts_with($safePath, $base), 403);\n"), safe_path))
-        .when(c == 89, F.concat(
-            F.regexp_replace(F.regexp_replace(line, r"\$\w+(->\w+)*", "?"), r";+$", ""),
-            F.lit(", ["), bound, F.lit("]);")))
-        .when(c == 78, F.concat(F.lit("$process = new Process(['convert', "), first_variable(line, "$argument"),
-                                F.lit(", 'out.png']);\n$process->mustRun();")))
-        .when(c == 502, F.concat(F.replace(bare, F.lit("unserialize("), F.lit("json_decode(")),
-                                 F.lit(", true, flags: JSON_THROW_ON_ERROR);")))
-        .when(c == 915, F.regexp_replace(line, r"\$request->all\(\)|request\(\)->all\(\)",
-                                         r"\$request->validate(['name' => ['required', 'string']])"))
-        .when(c == 327, F.regexp_replace(line, r"\b(md5|sha1)\s*\(", "Hash::make("))
-        .when(c == 798, F.concat(first_variable(line, "$secret"), F.lit(" = config('services.api_key');")))
-        .when(c == 79, F.regexp_replace(line, r"\becho\s+(\$[^;]+);", "echo e($1);"))
-    )
-    note = None
-    for cwe_id, words in FIX_NOTES.items():
-        note = F.when(c == cwe_id, words) if note is None else note.when(c == cwe_id, words)
-    return F.when(
-        (line != "") & after.isNotNull(),
-        F.struct(line.alias("before"), after.alias("after"), note.alias("note")),
-    )
+def _rewrite(cwe: Column, line: Column) -> Column:
+    after = note = F.lit(None).cast("string")
+    for number, build in REWRITES.items():
+        after = F.when(cwe == number, build(line)).otherwise(after)
+        note = F.when(cwe == number, F.lit(FIX_NOTES[number])).otherwise(note)
+    return F.when((line != "") & after.isNotNull(), F.struct(line.alias("before"), after.alias("after"), note.alias("note")))
 
 
 def guidance_table(spark: SparkSession) -> DataFrame:

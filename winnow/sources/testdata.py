@@ -48,17 +48,9 @@ CODE_LINES = [
 ]
 
 
-LARGE = ["lineitem", "orders", "documents", "conversations", "pages"]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A raw table.  A large table stored as one row group would be one task, so
-    it is spread over the cores; a table with a split per core is left alone."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in LARGE and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """A raw table, read as it is stored."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _text(value) -> str:
