@@ -148,19 +148,22 @@ def _(t):
 
 
 def rules_reader(df: DataFrame) -> DataFrame:
-    rows = df.select("scan_id", F.explode(F.split("report", "\n")).alias("line"))
+    rows = df.select("scan_id", F.get_json_object("report", "$.line").alias("line"))
     p = F.split("line", r"\|")
     none = F.lit(None)
     return reports._normalized(rows, p[0], none, p[1], p[2].try_cast("int"), F.upper(p[3]), F.lit("custom"), none)
 
 
-@query("ud_02_custom_source", "findings", sql="SELECT scan_id, rule_id, file_path, line_number, severity FROM findings WHERE severity='CRITICAL'")
+@query("ud_02_custom_source", "findings", sql="SELECT scan_id, 'lines' AS source, rule_id, file_path, line_number, severity FROM findings")
 def _(t):
+    """A registered reader is accepted on arrival and gets its reports from the dispatch."""
     reports.register_reader("lines", rules_reader)
     try:
         text = F.concat_ws("|", "rule_id", "file_path", "line_number", F.lower("severity"))
-        rows = t.findings.filter("severity = 'CRITICAL'").select("scan_id", F.lit("lines").alias("source"), text.alias("report"))
-        return reports.READERS["lines"](rows).select("scan_id", "rule_id", "file_path", "line_number", "severity")
+        arrivals = t.findings.select("scan_id", F.lit(1).cast("bigint").alias("project_id"), F.lit("lines").alias("source"), F.lit("a" * 40).alias("commit_sha"),
+                                     F.lit("main").alias("branch"), F.lit(10).cast("bigint").alias("size_bytes"), F.to_json(F.struct(text.alias("line"))).alias("report"))
+        accepted = reports.validate_arrivals(arrivals).filter(F.size("reject_reasons") == 0)
+        return reports.normalize_reports(accepted).select("scan_id", "source", "rule_id", "file_path", "line_number", "severity")
     finally:
         reports.READERS.pop("lines")
 
@@ -198,7 +201,7 @@ def _(t):
     arrivals.repartition(4, "scan_id").write.parquet(drop)
     stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", "2").parquet(drop)
     jobs.run_ingest(stream, root, t.rules, cp).awaitTermination()
-    return spark.read.parquet(f"{root}/scans").select("scan_id", "status", "total_findings")
+    return jobs.current_scans(spark, root).select("scan_id", "status", "total_findings")
 
 
 @query("jb_06_review_status", "findings", "contexts", "assessments", "feedback", "runs", sql="""

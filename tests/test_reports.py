@@ -103,3 +103,21 @@ def test_ingest_keeps_equal_rows_and_registers_rules_once(spark):
     assert [r["scan_id"] for r in out.rejected.collect()] == [3]
     assert [r["external_id"] for r in out.rules.filter("is_new").collect()] == ["B9"]
     assert out.contexts.filter(F.col("context").contains("source workspace unavailable")).count() == 3
+
+
+def test_projects_that_share_paths_stay_apart(spark):
+    body = json.dumps({"results": [{"test_id": "B9", "filename": "index.php", "line_number": 7, "issue_severity": "HIGH", "issue_text": "t"}]})
+    arrivals = spark.createDataFrame(
+        [(1, 1, "bandit", "a" * 40, "main", 10, body), (2, 2, "bandit", "b" * 40, "main", 10, body), (2, 2, "bandit", "b" * 40, "main", 10, body),
+         (2, 2, "bandit", "b" * 40, "main", 10, "{oops")],
+        "scan_id bigint, project_id bigint, source string, commit_sha string, branch string, size_bytes bigint, report string")
+    rules = spark.createDataFrame([], "external_id string, cwe_id int, description string")
+    kinds = "project_id bigint, commit_sha string, file_path string, line_no int"
+    code = spark.createDataFrame([(p, c * 40, "index.php", 7, n, 0, 1) for p, c, n in [(1, "a", 5), (2, "b", 9)]], kinds + ", cyclomatic_complexity int, has_sanitizer_in_ast int, line_depth_in_function int")
+    lines = spark.createDataFrame([(1, "a" * 40, "index.php", 7, "first();"), (2, "b" * 40, "index.php", 7, "second();")], kinds + ", text string")
+    out = ingest.ingest(arrivals, rules, code=code, lines=lines)
+    assert {r["scan_id"]: r["feature_vector"]["cyclomatic_complexity"] for r in out.findings.collect()} == {1: 5, 2: 9}
+    ids = {r["id"]: r["scan_id"] for r in out.findings.collect()}
+    shown = {ids[r["finding_id"]]: r["context"] for r in out.contexts.collect()}
+    assert "first();" in shown[1] and "second();" in shown[2] and "first();" not in shown[2]
+    assert {r["scan_id"]: (r["status"], r["total_findings"]) for r in out.scans.collect()} == {1: ("complete", 1), 2: ("failed", 1)}

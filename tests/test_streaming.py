@@ -52,7 +52,7 @@ def test_report_files_are_ingested_once(spark, tmp_path):
 
     def run():
         jobs.run_ingest(jobs.report_file_stream(spark, str(drop)), root, rules, cp).awaitTermination()
-        return {r["scan_id"]: (r["status"], r["total_findings"]) for r in spark.read.parquet(f"{root}/scans").collect()}
+        return {r["scan_id"]: (r["status"], r["total_findings"]) for r in jobs.current_scans(spark, root).collect()}
 
     put(1, body, "a.json")
     put(2, "{broken", "a.json")
@@ -61,6 +61,11 @@ def test_report_files_are_ingested_once(spark, tmp_path):
     put(3, body, "a.json")
     assert run() == {1: ("complete", 1), 2: ("failed", 0), 3: ("complete", 1)}
     assert spark.read.parquet(f"{root}/findings").count() == 2
+    put(1, body.replace('"f"', '"g"'), "second.json")
+    put(3, "{broken", "second.json")
+    assert run() == {1: ("complete", 2), 2: ("failed", 0), 3: ("failed", 1)}
+    stored = spark.read.parquet(f"{root}/findings")
+    assert stored.count() == 3 and stored.select("id").distinct().count() == 3
     assert spark.read.parquet(f"{root}/rules").count() == 1
 
 

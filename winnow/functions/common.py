@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUL = "\u0000"
@@ -39,3 +39,8 @@ def reasons(*pairs) -> Column:
 def any_of(names) -> str:
     """Regex alternation of plain names."""
     return "(?:" + "|".join(names) + ")"
+
+
+def source_keys(left: DataFrame, right: DataFrame) -> list[str]:
+    """What names a source file on both sides: its path, and its project and commit where both know them."""
+    return [c for c in ("project_id", "commit_sha", "file_path") if c in left.columns and c in right.columns]

@@ -7,27 +7,29 @@ from pyspark.sql import functions as F
 
 from winnow import fixed_values as fv
 from winnow.functions import scoring
+from winnow.functions.common import source_keys
 
 
 def build_vectors(f: DataFrame, rules: DataFrame, code: DataFrame | None = None, authors: DataFrame | None = None,
-                  flow: DataFrame | None = None, keys=("file_path",)) -> DataFrame:
+                  flow: DataFrame | None = None, keys=None) -> DataFrame:
     """Adds ``feature_vector`` from scanner metadata, rule history, code, authorship and dataflow.
 
-    ``code``/``flow`` are keyed by ``keys`` and line_no, ``authors`` by finding id.
+    ``code``/``flow`` are keyed by ``keys`` and line_no, ``authors`` by finding id;
+    without ``keys``, by path and by project and commit where both sides have them.
     A finding without source gets the extractor's defaults (complexity 1).
     """
-    keys = list(keys)
     hist = rules.select(F.col("external_id").alias("rule_id"), F.col("historical_fp_rate").alias("_rate"))
     out = f.drop("feature_vector").join(hist, "rule_id", "left")
-    spot = [*keys, "line_number"]
     code_cols = ["cyclomatic_complexity", "has_sanitizer_in_ast", "line_depth_in_function"]
     if code is not None:
-        out = out.join(code.select(*keys, F.col("line_no").alias("line_number"), *code_cols), spot, "left")
+        by = list(keys or source_keys(f, code))
+        out = out.join(code.select(*by, F.col("line_no").alias("line_number"), *code_cols), [*by, "line_number"], "left")
     else:
         out = out.select("*", *[F.lit(None).cast("int").alias(c) for c in code_cols])
     flow_cols = fv.DATAFLOW_FEATURES
     if flow is not None:
-        out = out.join(flow.select(*keys, F.col("line_no").alias("line_number"), *flow_cols), spot, "left")
+        by = list(keys or source_keys(f, flow))
+        out = out.join(flow.select(*by, F.col("line_no").alias("line_number"), *flow_cols), [*by, "line_number"], "left")
     else:
         out = out.select("*", *[
             F.lit(None).cast("string" if c in fv.TEXT_FEATURES else "int").alias(c) for c in flow_cols])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from winnow import fixed_values as fv
 from winnow.functions import fixes, scoring, texts
+from winnow.functions.common import source_keys
 from winnow.operators import latest
 from winnow.settings import DEFAULTS, Settings
 
@@ -64,10 +65,11 @@ def fresh(a: DataFrame, ctx: DataFrame) -> DataFrame:
 
 def author_level(f: DataFrame, blame: DataFrame, commits: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     counts = commits.groupBy("author").agg(F.count(F.lit(1)).alias("commit_count"))
+    keys = source_keys(f, blame)
     owners = blame.join(counts, "author", "left").select(
-        F.col("file_path"), F.col("line_no").alias("line_number"), "author", "commit_count"
+        *keys, F.col("line_no").alias("line_number"), "author", "commit_count"
     )
-    out = f.join(owners, ["file_path", "line_number"], "left")
+    out = f.join(owners, [*keys, "line_number"], "left")
     return out.withColumn(
         "developer_experience_lvl", scoring.author_level("commit_count", F.col("author").isNotNull(), s)
     )
@@ -97,14 +99,15 @@ def with_guidance(f: DataFrame) -> DataFrame:
     return out
 
 
-def line_window(f: DataFrame, lines: DataFrame, radius: int, keys=("file_path",)) -> DataFrame:
+def line_window(f: DataFrame, lines: DataFrame, radius: int, keys=None) -> DataFrame:
     """Lines within ``radius`` of the flagged line, as a sorted array per finding.
 
     The range join runs as an equi join on blocks of lines: a finding meets the
     two or three blocks its window touches, so a key holds at most one block of
-    lines and a hot file spreads over all its blocks.
+    lines and a hot file spreads over all its blocks.  Without ``keys`` a file is
+    its path, in its project and commit where both sides know them.
     """
-    keys = list(keys)
+    keys = list(keys or source_keys(f, lines))
     block = 2 * radius + 1
     lo = F.greatest(F.lit(1), F.col("line_number") - radius)
     hi = F.col("line_number") + radius

@@ -11,7 +11,7 @@ from winnow.operators import joins
 from winnow.settings import DEFAULTS, Settings
 
 
-def source_windows(f: DataFrame, lines: DataFrame, s: Settings = DEFAULTS, keys=("file_path",)) -> DataFrame:
+def source_windows(f: DataFrame, lines: DataFrame, s: Settings = DEFAULTS, keys=None) -> DataFrame:
     """(id, start_line, end_line, code) for the findings whose source is there."""
     w = joins.line_window(f, lines, max(5, s.context_radius), keys)
     return w.select(
@@ -20,7 +20,7 @@ def source_windows(f: DataFrame, lines: DataFrame, s: Settings = DEFAULTS, keys=
     )
 
 
-def build_contexts(f: DataFrame, lines: DataFrame | None = None, s: Settings = DEFAULTS, keys=("file_path",)) -> DataFrame:
+def build_contexts(f: DataFrame, lines: DataFrame | None = None, s: Settings = DEFAULTS, keys=None) -> DataFrame:
     """finding_id, context (bounded JSON), context_hash, format_version."""
     if lines is not None:
         w = source_windows(f, lines, s, keys)
@@ -42,9 +42,12 @@ def build_contexts(f: DataFrame, lines: DataFrame | None = None, s: Settings = D
             "start_line", "end_line", "code",
         ).alias("source_context"),
     ))
-    context = texts.limited(payload, s.max_context_chars, "\n...[context truncated]...")
-    return rows.select(F.col("id").alias("finding_id"), "file_path", "line_number", context.alias("context")).select(
-        "*", F.sha2("context", 256).alias("context_hash"), F.lit(fv.CONTEXT_FORMAT_VERSION).alias("format_version")
+    # the hash covers the whole redacted payload; only the shown text is cut
+    whole = rows.select(F.col("id").alias("finding_id"), "file_path", "line_number", payload.alias("_whole"))
+    return whole.select(
+        "finding_id", "file_path", "line_number",
+        texts.limited("_whole", s.max_context_chars, "\n...[context truncated]...").alias("context"),
+        F.sha2("_whole", 256).alias("context_hash"), F.lit(fv.CONTEXT_FORMAT_VERSION).alias("format_version"),
     )
 
 

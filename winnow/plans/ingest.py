@@ -24,6 +24,7 @@ class Ingested:
     contexts: DataFrame
     candidates: DataFrame
     rejected: DataFrame
+    documents: DataFrame
 
 
 def with_ids(rows: DataFrame) -> DataFrame:
@@ -44,14 +45,24 @@ def ingest(arrivals: DataFrame, rules: DataFrame, code: DataFrame | None = None,
 
     ``arrivals``: scan_id, project_id, source, commit_sha, branch, size_bytes, report.
     ``scorer`` maps findings to findings with probability and label (none = cold start).
-    A bad report fails its own scan only.
+    A scan may come as several reports; equal ones count once.  A bad report
+    fails its own scan only.  Findings carry project and commit, and sides that
+    know theirs (code, flow, lines) are joined on them too.
     """
-    checked = reports.validate_arrivals(arrivals, cfg)
-    accepted = checked.filter(F.size("reject_reasons") == 0)
+    checked = reports.with_documents(reports.validate_arrivals(arrivals, cfg))
+    accepted = checked.filter(F.size("reject_reasons") == 0).dropDuplicates(["scan_id", "document"])
     rejected = checked.filter(F.size("reject_reasons") > 0).select("scan_id", "reject_reasons")
     ok, bad = reports.split_malformed(accepted)
-
-    normalized = reports.normalize_reports(ok.select("scan_id", "source", "report"))
+    about = ["scan_id", "project_id", "source", "commit_sha", "branch"]
+    documents = ok.select(*about, "document", F.lit(False).alias("failed")).unionByName(bad.select(*about, "document", F.lit(True).alias("failed")))
+    documents = files.stage(documents, "documents")
+    # a scan of several documents is one scan, and failed if any of them is
+    scans = documents.groupBy("scan_id").agg(
+        F.min(F.struct(*about[1:])).alias("about"), F.max("failed").alias("failed")
+    ).select("scan_id", "about.*", F.when(F.col("failed"), "failed").otherwise("complete").alias("status"))
+
+    normalized = reports.normalize_reports(ok.select("scan_id", "source", "report", "document"))
+    normalized = normalized.join(scans.select("scan_id", "project_id", "commit_sha"), "scan_id")
     # parsed once: rules, vectors, counts and candidates all read the stored rows
     found = files.stage(with_ids(normalized.withColumnRenamed("snippet", "raw_snippet")), "normalized")
     known = joins.register_rules(found, rules)
@@ -65,10 +76,8 @@ def ingest(arrivals: DataFrame, rules: DataFrame, code: DataFrame | None = None,
     low = (F.col("predicted_label") == "false_positive") & (F.col("tp_probability") <= cfg.fp_threshold)
     totals = findings.groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("total_findings"), F.count_if(low).alias("suppressed_count"))
-    done = ok.select("scan_id", "project_id", "source", "commit_sha", "branch", F.lit("complete").alias("status"))
-    failed = bad.select("scan_id", "project_id", "source", "commit_sha", "branch", F.lit("failed").alias("status"))
-    scans = done.unionByName(failed).join(totals, "scan_id", "left").fillna(0, subset=["total_findings", "suppressed_count"])
-    return Ingested(findings, scans, known, ctx, candidates, rejected)
+    scans = scans.join(totals, "scan_id", "left").fillna(0, subset=["total_findings", "suppressed_count"])
+    return Ingested(findings, scans, known, ctx, candidates, rejected, documents)
 
 
 def review_status(scan_findings: DataFrame, a: DataFrame, fb: DataFrame, ctx: DataFrame, model: str, runs: DataFrame,

@@ -150,22 +150,36 @@ def split_supported(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reports.filter(known), reports.filter(~known)
 
 
+def with_documents(reports: DataFrame) -> DataFrame:
+    """Adds ``document``, the digest of the report: with the scan, the key under which it is ingested once."""
+    return reports.withColumn("document", F.sha2("report", 256))
+
+
 def normalize_reports(reports: DataFrame) -> DataFrame:
-    """Dispatch every report to its reader; malformed or unsupported ones give no rows."""
+    """Dispatch every report to its reader; malformed or unsupported ones give no rows.
+
+    Where reports carry their ``document``, so do the rows: it travels with the
+    scan through the readers, which hand on ``scan_id`` as it is.
+    """
     ok, _ = split_malformed(split_supported(reports)[0])
+    carried = "document" in reports.columns
+    if carried:
+        ok = ok.withColumn("scan_id", F.struct("scan_id", "document"))
     out = None
     for source, reader in READERS.items():
         part = reader(ok.filter(F.col("source") == source)).select(
             "scan_id", F.lit(source).alias("source"), *NORMALIZED[1:]
         )
         out = part if out is None else out.unionByName(part)
-    return out
+    if not carried:
+        return out
+    return out.select("scan_id.scan_id", *out.columns[1:], "scan_id.document")
 
 
 def arrival_reasons(s: Settings = DEFAULTS) -> Column:
     return reasons(
         (F.col("project_id").isNull(), "project_missing"),
-        (~F.coalesce(F.col("source").isin(fv.SCAN_SOURCES), F.lit(False)), "source_unsupported"),
+        (~F.coalesce(F.col("source").isin([*fv.SCAN_SOURCES, *READERS]), F.lit(False)), "source_unsupported"),
         (~text("commit_sha").rlike(r"^[0-9a-fA-F]{40}$"), "commit_malformed"),
         ((F.length(text("branch")) == 0) | (F.length(text("branch")) > 255), "branch_length"),
         (F.coalesce(F.col("size_bytes"), F.lit(0)) > s.max_report_bytes, "report_too_large"),

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from winnow.plans import ingest as plan
 from winnow.settings import DEFAULTS, Settings
+from winnow.sources.reports import with_documents
 from winnow.streaming import state
 
 BUCKETS = 256
@@ -42,15 +43,15 @@ def _write(df: DataFrame, root: str, name: str, epoch: int) -> None:
 
 def run_ingest(arrivals: DataFrame, root: str, rules: DataFrame, checkpoint: str,
                scorer: Callable | None = None, cfg: Settings = DEFAULTS) -> StreamingQuery:
-    """Ingest every new report; a scan that is already stored is not ingested again."""
+    """Ingest every new report once: the same bytes of a scan are not ingested again, further documents of it are."""
 
     def epoch(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        seen = _table(spark, root, "scans")
+        seen = _table(spark, root, "documents")
         fresh = batch
         if seen is not None:
-            earlier = seen.filter(F.col("epoch") != epoch_id).select("scan_id")
-            fresh = batch.join(earlier, "scan_id", "left_anti")
+            earlier = seen.filter(F.col("epoch") != epoch_id).select("scan_id", "document")
+            fresh = with_documents(batch).join(earlier, ["scan_id", "document"], "left_anti").drop("document")
         added = _table(spark, root, "rules")
         known = rules
         if added is not None:
@@ -60,6 +61,7 @@ def run_ingest(arrivals: DataFrame, root: str, rules: DataFrame, checkpoint: str
         out = plan.ingest(fresh, known, scorer=scorer, cfg=cfg)
         _write(out.findings, root, "findings", epoch_id)
         _write(out.scans, root, "scans", epoch_id)
+        _write(out.documents.drop("failed"), root, "documents", epoch_id)
         _write(out.contexts, root, "contexts", epoch_id)
         _write(out.candidates, root, "candidates", epoch_id)
         _write(out.rules.filter("is_new").drop("is_new"), root, "rules", epoch_id)
@@ -70,6 +72,16 @@ def run_ingest(arrivals: DataFrame, root: str, rules: DataFrame, checkpoint: str
     )
 
 
+def current_scans(spark: SparkSession, root: str) -> DataFrame:
+    """One row per scan over all epochs: failed if any document was, counts added up."""
+    rows = spark.read.parquet(f"{root}/scans")
+    about = ["project_id", "source", "commit_sha", "branch"]
+    out = rows.groupBy("scan_id").agg(
+        F.min(F.struct(*about)).alias("about"), F.max(F.when(F.col("status") == "failed", 1).otherwise(0)).alias("failed"),
+        F.sum("total_findings").alias("total_findings"), F.sum("suppressed_count").alias("suppressed_count"))
+    return out.select("scan_id", "about.*", F.when(F.col("failed") == 1, "failed").otherwise("complete").alias("status"), "total_findings", "suppressed_count")
+
+
 def decision_stream(events: DataFrame) -> DataFrame:
     """Streaming state per finding: one struct, updated in place; older late events lose by order."""
     return state.decision_state(events)
