@@ -23,7 +23,7 @@ CODE = ["function f%d($a) {", '    $v1 = $_GET["k%d"];', "    $v2 = trim($v1) .
         "    if ($v2 && $v1) { $v3 = htmlspecialchars($v2); } // %d", '    echo "<b>" . $v2; // %d',
         '    $v4 = config("app.name"); // %d', '    exec("run " . $v4 . $v2); // %d',
         "    foreach ($v2 as $i) { $h = md5($password); } // %d", "    User::create($request->all()); // %d",
-        '    $api_key = "live-9f83nfu2b8vd0193-%d";', "    $c = file_get_contents(basename($v3)); // %d",
+        '    $api_key = "k%d-winnow-sample-0000";', "    $c = file_get_contents(basename($v3)); // %d",
         '    $d = unserialize($_POST["p"]); DB::select("SELECT 1 FROM t WHERE x = $v1"); // %d',
         "    $n = 40 + %d; return $n ? 1 : 2;"]
 
@@ -142,8 +142,9 @@ def fingerprint(alias=""):
 
 
 def group_key(project="project_id", commit="commit_sha", scan="scan_id"):
-    return (f"CASE WHEN trim({commit})='' THEN concat({project}, chr(0), chr(0), 'scan:', {scan}) "
-            f"ELSE concat({project}, chr(0), lower(trim({commit}))) END")
+    bare = f"trim(coalesce({commit}, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(13))"
+    return (f"CASE WHEN {bare}='' THEN concat({project}, chr(0), chr(0), 'scan:', {scan}) "
+            f"ELSE concat({project}, chr(0), lower({bare})) END")
 
 
 def bucket(key):

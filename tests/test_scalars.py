@@ -151,3 +151,14 @@ def test_review_priority(spark):
     assert out[0][0] == 40 + 30 + 25 + 5 + 5 + 12 + 20 + 2
     assert out[1][0] == 10 + 10 + 15 + 6
     assert out[1][1] == ["severity_low", "limited_trusted_tp_for_rule", "path_traversal_priority", "ai_needs_validation", "ai_advisory_signal"]
+
+
+def test_short_and_unquoted_secrets_are_redacted(spark):
+    rows = ['password = "abc123"', "token=abcdef0123", "secret: x", "$token = $request->input('t');", "api_key => 'a b c'", "no secrets here"]
+    out = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "t string").select(texts.redact(texts.redact("t"))).collect()]
+    assert out == ['password = "[REDACTED:PASSWORD]"', "token=[REDACTED:API_KEY_OR_TOKEN]", "secret: [REDACTED:SECRET]", rows[3], "api_key => '[REDACTED:API_KEY_OR_TOKEN]'", rows[5]]
+
+
+def test_group_key_ignores_all_white_space(spark):
+    df = spark.createDataFrame([(1, "AB", 7), (1, "ab\n", 8), (1, " \t", 9)], "p bigint, c string, s bigint").select(identity.group_key("p", "c", "s"))
+    assert [r[0] for r in df.collect()] == ["1\0ab", "1\0ab", "1\0\0scan:9"]

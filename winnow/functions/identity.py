@@ -25,10 +25,9 @@ def finding_fingerprint(rule: str, cwe: str, path: str, line: str, snippet: str,
 
 def group_key(project_id: str, commit_sha: str, scan_id: str) -> Column:
     """Project and commit; a blank commit falls back to the scan."""
-    return F.expr(
-        f"CASE WHEN trim({commit_sha}) <> '' THEN concat({project_id}, '\\u0000', lower(trim({commit_sha}))) "
-        f"ELSE concat({project_id}, '\\u0000\\u0000scan:', {scan_id}) END"
-    )
+    commit = F.lower(trim_all(commit_sha))
+    scan = F.concat(F.col(project_id), F.lit(NUL + NUL + "scan:"), F.col(scan_id))
+    return F.when(commit != "", F.concat(F.col(project_id), F.lit(NUL), commit)).otherwise(scan)
 
 
 def reviewer_group_key(project_id, commit_sha) -> Column:

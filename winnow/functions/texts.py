@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from winnow.functions.common import col, text, trim_all
 
-# Fixed values: (pattern, replacement).  The opening of the assignment or header
-# stays, the value becomes a typed marker.
+# Fixed values: (names, marker).  The opening of the assignment or header stays,
+# the value becomes a typed marker, whatever its length, quoted or not.
+SECRET_KINDS = [("api[_-]?key|token", "API_KEY_OR_TOKEN"), ("password|passwd", "PASSWORD"), ("secret|credential", "SECRET")]
 SECRET_PATTERNS = [
-    (r"(?i)(authorization[\"']?\s*[:=]\s*[\"']?bearer\s+)[A-Za-z0-9._~+/-]{8,}=*",
-     "$1[REDACTED:BEARER_TOKEN]"),
-    (r"(?i)((?:api[_-]?key|token)[\w-]*[\"']?\s*(?:=>|=|:)\s*\\?[\"'])[^\"'\\\s\[]{8,}",
-     "$1[REDACTED:API_KEY_OR_TOKEN]"),
-    (r"(?i)((?:password|passwd)[\w-]*[\"']?\s*(?:=>|=|:)\s*\\?[\"'])[^\"'\\\s\[]{8,}",
-     "$1[REDACTED:PASSWORD]"),
-    (r"(?i)((?:secret|credential)[\w-]*[\"']?\s*(?:=>|=|:)\s*\\?[\"'])[^\"'\\\s\[]{8,}",
-     "$1[REDACTED:SECRET]"),
+    (r"(?i)(authorization[\"']?\s*[:=]\s*[\"']?bearer\s+)[A-Za-z0-9._~+/-]{8,}=*", "$1[REDACTED:BEARER_TOKEN]"),
 ]
+for _names, _marker in SECRET_KINDS:
+    _opening = rf"(?i)((?:{_names})[\w-]*[\"']?[ \t]*(?:=>|=|:)[ \t]*"
+    SECRET_PATTERNS += [
+        (_opening + r"\\?[\"'])[^\"'\\\[\n][^\"'\\\n]*", f"$1[REDACTED:{_marker}]"),
+        (_opening + r")[^\s\"'\\\[$(){},;<>|=:][^\s\"'\\(){},;<>|]*", f"$1[REDACTED:{_marker}]"),
+    ]
 
 
 def redact(value) -> Column:

@@ -41,7 +41,7 @@ CODE_LINES = [
     '    exec("run " . $v4 . $v2); // %d',
     "    foreach ($v2 as $i) { $h = md5($password); } // %d",
     "    User::create($request->all()); // %d",
-    '    $api_key = "live-9f83nfu2b8vd0193-%d";',
+    '    $api_key = "k%d-winnow-sample-0000";',
     "    $c = file_get_contents(basename($v3)); // %d",
     '    $d = unserialize($_POST["p"]); DB::select("SELECT 1 FROM t WHERE x = $v1"); // %d',
     "    $n = 40 + %d; return $n ? 1 : 2;",
