@@ -73,3 +73,6 @@ def op9_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op3_quotation_linking"] = quotes.CONVERSATIONS_SQL
