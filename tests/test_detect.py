@@ -97,3 +97,15 @@ def test_reachability(spark):
 def test_argument_shape(spark, argument, shape):
     df = spark.createDataFrame([(argument,)], "a string")
     assert df.select(detect.argument_shape("a")).first()[0] == shape
+
+
+def test_scopes_of_a_long_file(spark, monkeypatch):
+    """A file of many blocks has the scopes it would have as one group."""
+    monkeypatch.setattr(detect, "SCOPE_BLOCK", 7)
+    text = ["function a() {", "if ($x) {", *["$y = 1;"] * 20, "trim($y);" , "for (;;) {}", "function b() {", *["while ($z) {}"] * 9]
+    rows = spark.createDataFrame([("f", i, t) for i, t in enumerate(["<?php", "if ($q) {}", *text], 1)], "file_path string, line_no int, text string")
+    got = {r["line_no"]: (r["scope_start"], r["line_depth_in_function"], r["cyclomatic_complexity"]) for r in detect.scope_features(rows).collect()}
+    second = 3 + text.index("function b() {")
+    assert got[1] == got[2] == (None, 0, 1)
+    assert {got[i] for i in range(3, second)} == {(3, i - 3, 3) for i in range(3, second)}
+    assert {got[i] for i in range(second, second + 10)} == {(second, i, 10) for i in range(10)}

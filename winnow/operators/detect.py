@@ -160,28 +160,38 @@ SANITIZER = (
 )
 
 
+#: lines of a file in one block; a longer file is several tasks
+SCOPE_BLOCK = 4096
+
+
 def scope_features(lines: DataFrame, file_keys=("file_path",)) -> DataFrame:
     """Per line: enclosing function start, depth in it, its complexity, and whether it sanitises.
 
-    A file is at most ``max_file_bytes`` (the source skips larger ones), so a
-    file's lines are a bounded group.  Both windows share one shuffle on the file.
+    Files may be of any length.  The header above is looked up within a block of
+    lines; a block begins with the last header of the blocks before it, of which
+    there is one row each.  A scope's sums are combined before they move.
     """
     keys = list(file_keys)
-    up_to_here = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    scope = Window.partitionBy(*keys, "scope_start")
     code = F.col("_code")
     rows = lines.withColumn("_code", blank_strings(code_only("text")))
     rows = rows.withColumn("_header", F.when(code.rlike(SCOPE_HEADER), F.col("line_no"))).withColumn(
         "_n", F.regexp_count(F.regexp_replace(code, NOT_TERNARY, ""), F.lit(DECISION))
-    ).withColumn("_s", code.rlike(SANITIZER))
-    rows = rows.withColumn("scope_start", F.last("_header", ignorenulls=True).over(up_to_here))
+    ).withColumn("_s", code.rlike(SANITIZER)).withColumn("_block", F.floor(F.col("line_no") / SCOPE_BLOCK)).drop("_code")
+    up_to_here = Window.partitionBy(*keys, "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_near", F.last("_header", ignorenulls=True).over(up_to_here))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy(*keys, "_block").agg(F.max("_header").alias("_last"))
+    heads = heads.select(*keys, "_block", F.last("_last", ignorenulls=True).over(before).alias("_far"))
+    rows = rows.join(heads, [*keys, "_block"], "left").withColumn("scope_start", F.coalesce("_near", "_far"))
+    sums = rows.filter("scope_start IS NOT NULL").groupBy(*keys, "scope_start").agg(F.sum("_n").alias("_sum"), F.bool_or("_s").alias("_any"))
+    rows = rows.join(sums, [*keys, "scope_start"], "left")
     inside = F.col("scope_start").isNotNull()
     return rows.select(
         *[c for c in lines.columns],
         "scope_start",
         F.when(inside, F.col("line_no") - F.col("scope_start")).otherwise(0).cast("int").alias("line_depth_in_function"),
-        F.when(inside, 1 + F.sum("_n").over(scope)).otherwise(1).cast("int").alias("cyclomatic_complexity"),
-        F.when(inside & F.bool_or("_s").over(scope), 1).otherwise(0).alias("has_sanitizer_in_ast"),
+        F.when(inside, 1 + F.col("_sum")).otherwise(1).cast("int").alias("cyclomatic_complexity"),
+        F.when(inside & F.col("_any"), 1).otherwise(0).alias("has_sanitizer_in_ast"),
     )
 
 

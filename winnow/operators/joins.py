@@ -190,6 +190,9 @@ def scan_detail(f, r, fb, a, af, scan_id=None, user_id=None, page: int = 1, size
         rows = rows.orderBy(F.col("tp_probability").desc_nulls_last(), "id").offset((page - 1) * size).limit(size)
     rows = with_feedback(with_rule(rows, r), fb.select("finding_id", "source"))
     rows = rows.withColumn("trusted_final_label", scoring.trusted_label("final_label", "feedback_source"))
+    if size is not None:
+        # reviews of one page only: its few ids reach the assessments before they are ranked
+        a = a.join(rows.select(F.col("id").alias("finding_id")), "finding_id", "left_semi")
     best = latest.latest_assessment(a)
     if user_id is not None:
         mine = af.filter(F.col("user_id") == user_id).select("assessment_id", F.col("verdict").alias("own_verdict"), "reviewed_at", "id")

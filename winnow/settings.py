@@ -29,7 +29,7 @@ class Settings:
     excerpt_chars: int = 4000
     review_run_size: int = 10
     stale_after_seconds: int = 480
-    max_file_bytes: int = 1_000_000
+    max_file_bytes: int = 0  # no limit
     max_report_bytes: int = 51200 * 1024
     senior_commits: int = 200
     mid_commits: int = 30

@@ -41,11 +41,11 @@ def excluded_path(path, excludes=None) -> Column:
 
 
 def source_file_status(path, size_bytes, s: Settings = DEFAULTS, excludes=None, extension="php") -> Column:
-    """scanned, excluded, other (extension) or skipped (too large)."""
+    """scanned, excluded, other (extension) or skipped (over a limit the settings give)."""
     return (
         F.when(excluded_path(path, excludes), "excluded")
         .when(~F.lower(col(path)).endswith("." + extension), "other")
-        .when(col(size_bytes) > s.max_file_bytes, "skipped")
+        .when((col(size_bytes) > s.max_file_bytes) & F.lit(s.max_file_bytes > 0), "skipped")
         .otherwise("scanned")
     )
 
