@@ -23,7 +23,7 @@ def brute(pieces, word):
     def rest(w):
         return stop * (w == b"") + sum(p * rest(w[len(t) :]) for t, p in then.items() if w.startswith(t))
 
-    return sum(p * rest(word[len(t) :]) for t, p in first.items() if word.startswith(t))
+    return sum(p * rest(word[len(t) :]) for t, p in first.items() if word.startswith(t)) / (1 - first[b""] * stop)
 
 
 def forward(pieces, words, weights=None):
@@ -53,6 +53,14 @@ def test_expected_uses_raise_the_likelihood(pieces):
     assert (forward(again, words)[0] * weights).sum() > (before * weights).sum()
 
 
+def test_long_words_are_words_too(pieces, monkeypatch):
+    words, weights = [b"abba" * 20, b"c" * 30, b"ab"], np.array([1.0, 2.0, 3.0])
+    want = forward(pieces, words, weights)
+    monkeypatch.setattr(lattice, "LONG", 5)
+    got = forward(pieces, words, weights)
+    assert all(np.allclose(a, b) for a, b in zip(want, got))
+
+
 def tokens(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return [w for w in re.split("[\x20\x09-\x0d]+", low) if w] + [None]
