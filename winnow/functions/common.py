@@ -19,7 +19,7 @@ def text(c) -> Column:
 
 def trim_all(c) -> Column:
     """Trim every kind of ASCII whitespace, not only blanks."""
-    return F.regexp_replace(text(c), r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$", "")
+    return F.btrim(text(c), F.lit(" \t\n\r\x00\x0b"))
 
 
 def lookup(c, table: dict, default=None) -> Column:

@@ -23,6 +23,7 @@ def local_session(cores: str = "*", app: str = "winnow") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("spark.winnow.testdata.spread", str(spark.sparkContext.defaultParallelism))
     return tune(spark)
 
 
