@@ -141,7 +141,8 @@ def _repeats(keyed: DataFrame, least: int, phrase: int) -> tuple[DataFrame, Data
     twins = known.groupBy("h1", "h2").agg(F.min("key").alias("twin"), F.count(F.lit(1)).alias("copies"))
     texts = known.select("key", "h1", "h2", "n_words").join(twins, ["h1", "h2"]).select("key", "twin", "n_words", "copies")
     single = known.join(twins.select(F.col("twin").alias("key")).distinct(), "key", "left_semi").select("key", F.posexplode("phrases").alias("nth", "phrase"))
-    repeated = single.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
+    # written, so that both sides of the join are plain shuffles, of which Spark splits a hot phrase
+    repeated = staged(single.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase"), "phrases")
     wanted = single.join(repeated, "phrase", "left_semi").groupBy("key").agg(F.collect_set("nth").alias("wanted"))
     matched = keyed.join(wanted, keyed["_key"] == wanted["key"])
     runs = staged(_windows(matched, least, phrase), "runs").dropDuplicates(["key", "phrase", "begin"])
@@ -162,7 +163,7 @@ def _repeats(keyed: DataFrame, least: int, phrase: int) -> tuple[DataFrame, Data
         F.when(F.col("n") > 1, full).otherwise(F.coalesce("some", F.lit(0).cast("long"))).alias("again"),
         F.coalesce("elsewhere", F.lit(0).cast("long")).alias("elsewhere"),
     )
-    marks = runs.select("key", "phrase", "whole", "begin", "left", F.size("windows").alias("n")).join(judged.where("again <> 0"), ["phrase", "whole"])
+    marks = runs.select("key", "phrase", "whole", "begin", "left", F.size("windows").alias("n")).join(staged(judged.where("again <> 0"), "judged"), ["phrase", "whole"])
     later = F.when(F.struct("key", "begin") == F.col("first"), F.col("elsewhere")).otherwise(F.col("again"))
     marks = marks.select("key", F.struct("begin", "left", "n", "again", later.alias("later")).alias("run")).groupBy("key").agg(F.collect_list("run").alias("runs"))
     lengths = texts.groupBy("key").agg(F.max("n_words").alias("n_words"))
