@@ -24,8 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: entries a worker remembers per memory; beyond, the memory starts anew
-REMEMBERED = 300_000
+#: entries a worker remembers per memory, some 100 MB in all; beyond, the memory starts anew
+REMEMBERED = 80_000
 #: longer matches are encoded each time, so that memories stay small
 REMEMBERED_CHARS = 48
 
@@ -142,17 +142,23 @@ class TreeEncoder:
 
 
 class _Matches(dict):
-    """match -> (ids, number, ids as text, decoded bytes), worked out at first sight."""
+    """match -> (ids, number, ids as text, decoded bytes), worked out at first sight.
+
+    A full memory becomes the old one, from which what is met again comes back.
+    """
 
     def __init__(self, coder: TreeEncoder):
         super().__init__()
-        self.coder = coder
+        self.coder, self.old = coder, {}
 
     def __missing__(self, match: str) -> tuple:
-        ids = self.coder.encode(match.encode())
-        entry = (ids, len(ids), ",".join(map(str, ids)), self.coder.decode(ids))
+        entry = self.old.get(match)
+        if entry is None:
+            ids = self.coder.encode(match.encode())
+            entry = (ids, len(ids), ",".join(map(str, ids)), self.coder.decode(ids))
         if len(match) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[match] = entry
         return entry
