@@ -4,10 +4,12 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from winnow.llm import chosen_path, decontaminate, sparse_suffix
 from winnow.llm.components import components
+from winnow.llm.scan import blocks
 
 
 def words(text):
@@ -171,3 +173,17 @@ def test_items_in_blocks(spark, odd, empty, monkeypatch):
     assert decontaminate.clean(odd, benchmark).columns == odd.columns
     assert decontaminate.find(empty, benchmark).count() == 0
     assert decontaminate.find(odd, benchmark.limit(0)).count() == 0
+
+
+def found_in(items, texts):
+    index = decontaminate.build(list(range(len(items))), items)
+    return {(first + r, i): c for first, data, offsets in blocks(pa.array(texts), fold=True) for r, i, c in decontaminate.search(index, data, offsets)}
+
+
+@pytest.mark.parametrize("inserted", [20, 30, 200, 3000])
+def test_items_split_by_inserted_text_are_found_at_every_offset(inserted, monkeypatch):
+    monkeypatch.setattr(decontaminate, "COUNTED", 100)
+    item = [f"i{k}" for k in range(36)]
+    split = item[:18] + [f"x{k}" for k in range(inserted)] + item[18:]
+    texts = [" ".join([f"y{k}" for k in range(offset)] + split + ["tail"] * 40) for offset in range(64)]
+    assert found_in([" ".join(item), "i0 i1 i2 i3 i4 and then quite another end"], texts) == {(r, 0): 28 / 32 for r in range(64)}

@@ -1,14 +1,11 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
-
-Items are sets of word shingles, partitioned by size into classes of powers of
-two.  For a class of size up to B a document is the sequence of its windows of
-2B shingles, half overlapping, so that an item inside it lies within one window
-however long the document is, and containment of 0.8 of the item's shingles
-means a Jaccard likeness of at least 0.19 with that window.  Windows of all
-classes come from one hierarchy of block minima.  A window and an item that
-agree in any of ``HASHES`` minima are a candidate; a pair of likeness 0.19 is
-missed once in 25,000 times.  Candidates are then counted exactly, shingle by
-shingle, over the window.
+"""Benchmark decontamination: containment of items' shingles in whole documents, without misses.
+
+An item is the set of its word shingles.  It is found if a document holds
+``CONTAINED`` of them anywhere, so text put between its parts does not hide it.
+Of an item's n shingles of which k must be held, any n - k + 1 include one that
+is held; its n - k + 1 shingles that the fewest other items have propose it.
+Every shingle of a document is looked up; a proposed item's distinct shingles
+are then counted over all shingles of the row.
 
 Items go to the tasks in blocks of at most ``ITEM_BLOCK`` items, so what is
 broadcast is bounded; a larger benchmark takes more passes over the documents,
@@ -17,6 +14,7 @@ and nothing is shuffled but the found pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,16 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.scan import Words, blocks, mix, ngrams
+from winnow.llm.scan import Lookup, Words, blocks, mix, ngrams
 
 SHINGLE = 5
 CONTAINED = 0.8
-HASHES = 48
-SMALLEST = 8
 #: items per pass; some 50 shingles each make about 60 MB
 ITEM_BLOCK = 20_000
-
-_SALTS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
+#: shingles of proposed items counted at once
+COUNTED = 1 << 20
 
 
 @dataclass
@@ -42,58 +38,56 @@ class Index:
     """One block of items."""
 
     ids: list
-    shingles: list[np.ndarray]  # sorted, distinct
-    classes: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # size class -> for each hash: sorted minima, item of each
+    lookup: Lookup  # distinct shingles of all items of five words and more; a shingle's number is its place
+    bounds: np.ndarray  # shingles[bounds[i]:bounds[i + 1]] are the numbers of item i's
+    shingles: np.ndarray
+    proposed: np.ndarray  # proposes[proposed[s]:proposed[s + 1]] are the items that shingle s proposes
+    proposes: np.ndarray
     short: dict[int, tuple[np.ndarray, np.ndarray]]  # words of items under five words -> sorted hashes, item of each
 
 
-def build(ids: list, texts: list[str | None], hashes: int = HASHES) -> Index:
+def build(ids: list, texts: list[str | None], contained: float = CONTAINED) -> Index:
     column = pa.array([t or "" for t in texts], pa.string())
-    shingles, words_in = [], []
+    sets: list[np.ndarray] = []
+    short: dict[int, list[tuple[int, int]]] = {}
     for _, data, offsets in blocks(column, fold=True):
         words = Words(data, offsets)
         grams, sizes = ngrams(words.hashes(), words.counts, SHINGLE)
-        shingles += [np.unique(x) for x in np.split(grams, np.cumsum(sizes)[:-1])]
-        words_in += words.counts.tolist()
-    groups: dict[int, list[int]] = {}
-    short: dict[int, list[int]] = {}
-    for i, (s, n) in enumerate(zip(shingles, words_in)):
-        if 0 < n < SHINGLE:
-            short.setdefault(n, []).append(i)
-        elif n:
-            groups.setdefault(max(SMALLEST, 1 << (len(s) - 1).bit_length()), []).append(i)
-    classes = {}
-    for size, members in groups.items():
-        tables = []
-        for salt in _SALTS[:hashes]:
-            minima = np.array([_values(shingles[i], salt).min() for i in members], dtype=np.uint32)
-            order = np.argsort(minima, kind="stable")
-            tables.append((minima[order], np.array(members)[order]))
-        classes[size] = tables
+        for x, n in zip(np.split(grams, np.cumsum(sizes)[:-1]), words.counts.tolist()):
+            if 0 < n < SHINGLE:
+                short.setdefault(n, []).append((int(x[0]), len(sets)))
+            sets.append(np.unique(x) if n >= SHINGLE else x[:0])
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    known, shingles, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    item = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((shingles, times[shingles], item))
+    needed = np.array([max(1, math.ceil(contained * n - 1e-9)) for n in sizes.tolist()], dtype=np.int64)
+    rare = order[np.arange(len(order)) - bounds[item] <= (sizes - needed)[item]]
+    rare = rare[np.argsort(shingles[rare], kind="stable")]
+    proposed = np.searchsorted(shingles[rare], np.arange(len(known) + 1))
     keyed = {}
     for n, members in short.items():
-        values = np.array([shingles[i][0] for i in members], dtype=np.uint64)
-        order = np.argsort(values, kind="stable")
-        keyed[n] = values[order], np.array(members)[order]
-    return Index(ids, shingles, classes, keyed)
+        members.sort()
+        keyed[n] = np.array([h for h, _ in members], dtype=np.uint64), np.array([i for _, i in members])
+    return Index(ids, Lookup(known), bounds, shingles, proposed, item[rare], keyed)
 
 
-def _values(shingles: np.ndarray, salt: np.uint64) -> np.ndarray:
-    return ((shingles * salt) >> np.uint64(32)).astype(np.uint32)
+def _spread(starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the ranges, place) for every place in ranges of n from starts."""
+    at = np.repeat(np.arange(len(n)), n)
+    return at, starts[at] + np.arange(len(at)) - (np.cumsum(n) - n)[at]
 
 
 def _pairs(sorted_values: np.ndarray, items: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position in seen, item) for every equal value."""
     lo = np.searchsorted(sorted_values, seen, side="left")
-    n = np.searchsorted(sorted_values, seen, side="right") - lo
-    hit = np.flatnonzero(n)
-    at = np.repeat(hit, n[hit])
-    step = np.arange(len(at)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])
-    return at, items[lo[at] + step]
+    at, place = _spread(lo, np.searchsorted(sorted_values, seen, side="right") - lo)
+    return at, items[place]
 
 
 def search(index: Index, data: np.ndarray, offsets: np.ndarray, contained: float = CONTAINED) -> list[tuple[int, int, float]]:
-    """(row, item, containment) of every item found in a block of texts."""
+    """(row, item, containment) of every item found in a block of texts; ``contained`` as the index was built with."""
     words = Words(data, offsets)
     hashes = words.hashes()
     grams, sizes = ngrams(hashes, words.counts, SHINGLE, short=False)
@@ -103,42 +97,26 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, contained: float
         at, item = _pairs(values, items, runs)
         rows = np.repeat(np.arange(words.rows), per_row)[at]
         found.update({(int(r), int(i)): 1.0 for r, i in zip(rows, item)})
-    if not len(grams) or not index.classes:
-        return [(r, i, c) for (r, i), c in found.items()]
-    ends = np.cumsum(sizes)
-    # every row is padded to whole blocks of SMALLEST, so that blocks never span two rows
-    per_row = -(-sizes // SMALLEST)
-    first = np.cumsum(per_row) - per_row
-    rows = np.repeat(np.arange(words.rows), sizes)
-    slot = (first * SMALLEST - (ends - sizes))[rows] + np.arange(len(grams))
-    owner = np.repeat(np.arange(words.rows), per_row)
-    padded = np.full(len(owner) * SMALLEST, np.iinfo(np.uint32).max, dtype=np.uint32)
-    candidates: set[tuple[int, int, int, int]] = set()
-    for k, salt in enumerate(_SALTS[: len(next(iter(index.classes.values())))]):
-        padded[slot] = _values(grams, salt)
-        minima, own, begin, size = padded.reshape(-1, SMALLEST).min(axis=1), owner, np.arange(len(owner)) - first[owner], SMALLEST
-        while True:
-            if size in index.classes:
-                both = minima.copy()
-                same = own[1:] == own[:-1]
-                both[:-1][same] = np.minimum(minima[:-1][same], minima[1:][same])
-                at, item = _pairs(*index.classes[size][k], both)
-                candidates.update(zip(own[at].tolist(), begin[at].tolist(), [size] * len(at), item.tolist()))
-            if size >= max(index.classes):
-                break
-            # the next class: blocks 2i and 2i+1 of a row become one
-            head = begin % 2 == 0
-            merged = minima.copy()
-            tail = np.flatnonzero(~head)
-            merged[tail - 1] = np.minimum(minima[tail - 1], minima[tail])
-            minima, own, begin, size = merged[head], own[head], begin[head] // 2, size * 2
-    for row, block, size, item in candidates:
-        lo = ends[row] - sizes[row] + block * size
-        window = grams[lo : min(lo + 2 * size, ends[row])]
-        known = index.shingles[item]
-        share = np.isin(known, window).sum() / len(known)
-        if share >= contained and share > found.get((row, item), 0):
-            found[row, item] = float(share)
+    number = index.lookup(grams)
+    hit = np.flatnonzero(number >= 0)
+    n_known, n_items = len(index.proposed) - 1, len(index.ids)
+    if len(hit):
+        # every known shingle of a row once
+        held = np.unique(np.repeat(np.arange(words.rows), sizes)[hit] * n_known + number[hit])
+        row, shingle = np.divmod(held, n_known)
+        at, place = _spread(index.proposed[shingle], index.proposed[shingle + 1] - index.proposed[shingle])
+        row, item = np.divmod(np.unique(row[at] * n_items + index.proposes[place]), n_items)
+        n = index.bounds[item + 1] - index.bounds[item]
+        total, first = np.cumsum(n), 0
+        while first < len(item):
+            last = max(first + 1, int(np.searchsorted(total, total[first] - n[first] + COUNTED, side="right")))
+            at, place = _spread(index.bounds[item[first:last]], n[first:last])
+            key = row[first:last][at] * n_known + index.shingles[place]
+            there = held[np.minimum(np.searchsorted(held, key), len(held) - 1)] == key
+            share = np.bincount(at, weights=there, minlength=last - first) / n[first:last]
+            for k in np.flatnonzero(share >= contained).tolist():
+                found[int(row[first + k]), int(item[first + k])] = float(share[k])
+            first = last
     return [(r, i, c) for (r, i), c in found.items()]
 
 
@@ -152,14 +130,14 @@ def _runs(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, n
     return mix(value + np.uint64(n))[left[: len(value)] >= n], sizes
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[Index]:
+def item_blocks(benchmark: DataFrame, contained: float) -> Iterator[Index]:
     """Indexes of at most ``ITEM_BLOCK`` items each; only one block is on the driver at a time."""
     n = benchmark.count()
     parts = max(1, -(-2 * n // ITEM_BLOCK))
     for k in range(parts):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).select("item_id", "text").distinct().collect()
         if rows:
-            yield build([r["item_id"] for r in rows], [r["text"] for r in rows])
+            yield build([r["item_id"] for r in rows], [r["text"] for r in rows], contained)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED) -> DataFrame:
@@ -168,13 +146,12 @@ def find(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED) ->
     Null, empty and wordless texts hold nothing and are held by nothing; an item
     of one to four words is found as that run of words.  Repeated rows of a
     document give one row each, repeated equal items one; ids may be null.
-    Containment is over one window of the item's size class, two to four times
-    as long as the item.
+    Containment is over the whole document.
     """
     spark = docs.sparkSession
     id_type, item_type = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id")))
     out = spark.createDataFrame([], f"doc_id {id_type}, item_id {item_type}, containment double")
-    for index in item_blocks(benchmark):
+    for index in item_blocks(benchmark, contained):
         out = out.unionByName(docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(_finder(spark, index, item_type, contained), out.schema))
     return out
 
@@ -194,7 +171,7 @@ def _finder(spark, index: Index, item_type: str, contained: float):
 
 def clean(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """The documents that hold no item: a column-preserving filter in the scanning tasks themselves."""
-    for index in item_blocks(benchmark):
+    for index in item_blocks(benchmark, contained):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         place = docs.columns.index("text")
 
