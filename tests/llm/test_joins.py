@@ -187,3 +187,10 @@ def test_items_split_by_inserted_text_are_found_at_every_offset(inserted, monkey
     split = item[:18] + [f"x{k}" for k in range(inserted)] + item[18:]
     texts = [" ".join([f"y{k}" for k in range(offset)] + split + ["tail"] * 40) for offset in range(64)]
     assert found_in([" ".join(item), "i0 i1 i2 i3 i4 and then quite another end"], texts) == {(r, 0): 28 / 32 for r in range(64)}
+
+
+@pytest.mark.parametrize("length", [1, 2, 4, 5, 6, 7, 9])
+def test_short_items_are_found_wherever_they_are(length):
+    items = [" ".join(f"i{n}x{k}" for k in range(length)) for n in range(400)]
+    texts = [" ".join([f"y{n}x{k}" for k in range(before)] + [item] + [f"z{n}x{k}" for k in range(60)]) for before in (0, 3, 37) for n, item in enumerate(items)]
+    assert found_in(items, texts) == {(part * 400 + n, n): 1.0 for part in range(3) for n in range(400)}
