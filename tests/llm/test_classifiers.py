@@ -79,3 +79,20 @@ def test_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_votes.score(odd, quality_votes.train(odd, none, F.lit(True))).count() == odd.count()
     assert toxic_segments.score(odd, toxic_segments.train(odd, none, F.lit(True))).where("predicted = 1").count() in (0, odd.count())
+
+
+@pytest.mark.parametrize("toxic", [None, 0, 1])
+def test_one_class_of_labels_drops_no_document(spark, odd, toxic):
+    labels = spark.createDataFrame([] if toxic is None else [(d, 1, toxic) for d in (1, 2, 6, 10)], "doc_id long, quality int, toxic int")
+    model = toxic_segments.train(odd, labels, F.lit(True))
+    assert toxic_segments.accepted(odd, model).count() == odd.count()
+    assert toxic_segments.score(odd, model).where("predicted = 1 or score >= 0.5").count() == 0
+
+
+def test_rare_toxic_labels_are_learnt(labelled):
+    docs, labels = (df.where("doc_id % 5 <> 0 or doc_id % 80 = 0") for df in labelled)
+    assert labels.where("toxic = 1").count() == 5
+    model = toxic_segments.train(docs, labels, F.lit(True), bound=60)
+    kept = {r["doc_id"] for r in toxic_segments.accepted(docs, model).collect()}
+    assert not kept & set(range(0, 400, 80))
+    assert len(kept) >= 315  # of 320

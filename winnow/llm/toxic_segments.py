@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.labelled import SAMPLE_ROWS, sample
+from winnow.llm.labelled import SAMPLE_ROWS, sample_each
 from winnow.llm.scan import BYTE_VALUES, NON_LETTERS, Lookup, Words, blocks, span_hashes, staged
 
 DRIFT = 0.2
@@ -36,6 +36,8 @@ Z = 1.96
 SIGNIFICANT = 0.05
 MAX_TERMS = 100_000
 PREFIX = 6
+#: log odds at most where one class of labels has no words: those of one clean row
+UNTAUGHT = -math.log(3)
 _PREFIXED = np.uint64(0x5DEECE66D)
 
 
@@ -129,13 +131,20 @@ def _scan(model: Model, column: pa.Array, spans: bool) -> tuple[np.ndarray, ...]
     return n, statistic, top, number, passages
 
 
-def fit(rows: DataFrame) -> Model:
-    """A model from ``_text`` and ``_label`` rows; their number is the caller's bound, so are the words gathered."""
+def fit(rows: DataFrame, shift: float = 0.0) -> Model:
+    """A model from ``_text`` and ``_label`` rows; their number is the caller's bound, so are the words gathered.
+
+    ``shift`` is added to the log odds.  Without words of both classes nothing
+    tells texts apart: all have the smoothed base rate, and none is predicted
+    toxic, not even if all rows are or if there are none.
+    """
     counts = _counts(rows)
     totals = counts.agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).first()
     nt, no = float(totals["t"] or 0) / 2, float(totals["o"] or 0) / 2  # each word counts itself and its beginning
     if not nt or not no:
-        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0))
+        n = rows.agg(F.count_if(F.col("_label") == 1).alias("toxic"), F.count_if(F.col("_label") != 1).alias("other")).first()
+        base = math.log((n["toxic"] + 0.5) / (n["other"] + 0.5)) + shift
+        return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), intercept=min(base, UNTAUGHT))
     total, prior = nt + no, PRIOR_SHARE * (nt + no)
     alpha = prior * (F.col("toxic") + F.col("other")) / total
     a, b = F.col("toxic") + alpha, F.col("other") + alpha
@@ -154,6 +163,7 @@ def fit(rows: DataFrame) -> Model:
     model.k = len(clean) / weight if weight else 1.0
     seen = rows.mapInArrow(_statistics(model), "label int, n double, statistic double, top double").toPandas()
     model.intercept, model.slope = _logistic(seen)
+    model.intercept += shift
     return model
 
 
@@ -224,8 +234,9 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column, bound: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``bound`` labelled documents for which ``training`` (over labels) holds."""
-    return fit(staged(sample(docs, labels, "toxic", training, bound), "toxic-sample"))
+    """Fit on at most ``bound`` labelled documents for which ``training`` (over labels) holds, rare toxic ones always among them."""
+    rows, shift = sample_each(docs, labels, "toxic", training, bound)
+    return fit(staged(rows, "toxic-sample"), shift)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
