@@ -194,3 +194,12 @@ def test_short_items_are_found_wherever_they_are(length):
     items = [" ".join(f"i{n}x{k}" for k in range(length)) for n in range(400)]
     texts = [" ".join([f"y{n}x{k}" for k in range(before)] + [item] + [f"z{n}x{k}" for k in range(60)]) for before in (0, 3, 37) for n, item in enumerate(items)]
     assert found_in(items, texts) == {(part * 400 + n, n): 1.0 for part in range(3) for n in range(400)}
+
+
+@pytest.mark.parametrize("records", range(1, 9))
+def test_batches_that_end_with_a_bucket(records):
+    sizes = [2, 3, 2, 2, 1, 4, 6, 2, 5, 2]
+    rows = pa.record_batch({"path": [p for p, n in enumerate(sizes) for _ in range(n)]})
+    got = list(chosen_path._pieces(rows.slice(at, records) for at in range(0, rows.num_rows, records)))
+    assert [p for table in got for p in table["path"].to_pylist()] == rows["path"].to_pylist()
+    assert sum(len(set(table["path"].to_pylist())) for table in got) == len(sizes)

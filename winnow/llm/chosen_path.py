@@ -214,7 +214,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         if not batch.num_rows:
             continue
         path = batch.column(0).to_numpy()
-        if path[-1] == path[0] and (not held or held[-1].column(0)[-1].as_py() == path[0]):
+        if path[-1] == path[0]:
+            if held and held[-1].column(0)[-1].as_py() != path[0]:
+                yield pa.Table.from_batches(held)
+                held = []
             held.append(batch)
             continue
         cut = int(np.flatnonzero(path != path[-1])[-1]) + 1
