@@ -1,8 +1,9 @@
 """The pair operators against brute force."""
 
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
@@ -203,3 +204,11 @@ def test_batches_that_end_with_a_bucket(records):
     got = list(chosen_path._pieces(rows.slice(at, records) for at in range(0, rows.num_rows, records)))
     assert [p for table in got for p in table["path"].to_pylist()] == rows["path"].to_pylist()
     assert sum(len(set(table["path"].to_pylist())) for table in got) == len(sizes)
+
+
+@pytest.mark.parametrize("recall", [0.9, 0.999, 0.99999])
+def test_roots_drawn_reach_the_recall(recall):
+    roots = chosen_path._roots(chosen_path.runs_for(recall), 0.8)
+    below = 1 - math.exp(-(1 - math.exp(-1)))  # two more levels
+    missed = math.prod(0.2 + 0.8 * (1 - below) ** n for n in Counter(place for _, place in roots).values())
+    assert missed <= 1 - recall

@@ -44,12 +44,19 @@ _SALTS = mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64)) | np.uint64(1)
 _PLACES = mix(np.arange(5001, 5001 + HASHES, dtype=np.uint64))
 
 
-def runs_for(recall: float = RECALL, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold is in one bucket with probability ``recall``, if all its buckets need ``depth`` levels."""
+def runs_for(recall: float = RECALL, depth: int = DEPTH, similar: float = SIMILAR) -> int:
+    """Runs after which a pair at the threshold is in one bucket with probability ``recall``, if all its buckets need ``depth`` levels.
+
+    The first level is one draw for all documents, so its places are counted as drawn; roots at one place share their first token.
+    """
     survive = 1.0
-    for _ in range(depth):
+    for _ in range(depth - 1):
         survive = 1 - math.exp(-survive)
-    return math.ceil(math.log(1 - recall) / math.log(1 - survive))
+    runs, at = 0, np.zeros(HASHES)
+    while np.prod(1 - similar + similar * (1 - survive) ** at) > 1 - recall:
+        runs += 1
+        at = np.bincount([i for _, i in _roots(runs, similar)], minlength=HASHES)
+    return runs
 
 
 def _chosen(paths: np.ndarray, similar: float) -> np.ndarray:
@@ -347,7 +354,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _classes(keyed: DataFrame, similar: float = SIMILAR, recall: float = RECALL, bucket: int = BUCKET, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
     keyed = keyed.select("doc_id", "_key", "text")
-    known = staged(_embed(keyed, _roots(runs_for(recall), similar)), "embedded")
+    known = staged(_embed(keyed, _roots(runs_for(recall, similar=similar), similar)), "embedded")
     first = F.min(F.struct("key", "n", "paths", "low"))
     sets = staged(known.groupBy("k1", "k2").agg(first.alias("f"), F.count(F.lit(1)).alias("copies")).select("k1", "k2", "copies", F.col("f.key").alias("node"), "f.n", "f.paths", "f.low"), "sets")
     groups = staged(components(candidate_links(sets.where("n > 0"), similar, bucket)), "groups")
