@@ -15,7 +15,6 @@ from winnow.operators import metrics, sets
 from winnow.operators.onerow import beside
 from winnow.plans import export, ingest, snapshot, training
 from winnow.session import scratch
-from winnow.settings import Settings
 from winnow.sinks import files as sink
 from winnow.sources import files, reports
 from winnow.streaming import jobs, state
@@ -279,20 +278,17 @@ def _(t):
     return metrics.dataset_fingerprint(rows).select(training.random_seed("dataset_fingerprint").alias("seed"))
 
 
-SMALL_FOREST = Settings(trees=20, tree_depth=8)
-
-
 @query("ml_05_train_and_gate")
 def _(t):
     registry = scratch(t.spark, "registry")
-    training.train_and_gate(t.findings, t.scans, t.feedback, registry, SMALL_FOREST)
+    training.train_and_gate(t.findings, t.scans, t.feedback, registry)
     return training.states(t.spark, registry).select("sample_size", "precision", "recall", "f1_score", "flagged_count", "deployment_status", "rejection_reason")
 
 
 @query("ml_08_batch_scoring")
 def _(t):
-    attempt = training.train_and_gate(t.findings, t.scans, t.feedback, None, SMALL_FOREST)
-    scored = training.score(t.findings, attempt.model, cfg=SMALL_FOREST)
+    attempt = training.train_and_gate(t.findings, t.scans, t.feedback)
+    scored = training.score(t.findings, attempt.model)
     return scored.groupBy("predicted_label").agg(F.count(F.lit(1)).alias("findings"), F.round(F.avg("tp_probability"), 4).alias("mean_probability"))
 
 

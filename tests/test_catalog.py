@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check_oracles import plain
+from winnow.plans import training
+from winnow.settings import DEFAULTS
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["ag_03_noisy_rules", "ag_06_project_rollup", "ag_11_outcome_vs_human", "det_01_rule_scan", "jn_10_register_rules",
@@ -32,3 +34,17 @@ def test_query_equals_sql(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["rule_id", "total_seen", "total_false_positive", "historical_fp_rate", "recommended_action"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["ml_05_train_and_gate", "ml_08_batch_scoring"])
+def test_the_forest_is_the_documented_one(spark, name, monkeypatch):
+    seen = []
+
+    def attempt(f, s, fb, registry=None, cfg=DEFAULTS):
+        seen.append((cfg.trees, cfg.tree_depth))
+        raise InterruptedError
+
+    monkeypatch.setattr(training, "train_and_gate", attempt)
+    with pytest.raises(InterruptedError):
+        entry.queries()[name](spark, SF)
+    assert seen == [(100, 10)]
