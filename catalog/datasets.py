@@ -326,7 +326,7 @@ def _(t):
 
 
 @query("snk_02_export_partitions", "snapshot", "feedback", "fs", "review", sql=QUAR + """
-SELECT split AS name, count(*) AS records FROM snapshot GROUP BY 1 UNION ALL SELECT 'quarantine', count(*) FROM q UNION ALL SELECT 'review_queue', least(500, count(*)) FROM review""")
+SELECT split AS name, count(*) AS records FROM snapshot GROUP BY 1 UNION ALL SELECT 'quarantine', count(*) FROM q UNION ALL SELECT 'review_queue', count(*) FROM review""")
 def _(t):
     """Writes the whole export to the shared folder and counts what is in the written files."""
     from winnow.session import scratch

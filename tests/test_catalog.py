@@ -1,5 +1,10 @@
 """A sample of the named queries against their SQL; tools/check_oracles.py runs them all."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -36,6 +41,21 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_the_core_stands_alone(tmp_path):
+    """Without the separable folders, with and without the pipeline's file, all other queries are registered."""
+    root = Path(entry.__file__).parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and set(e.oracle_sql()) <= set(q); print(*sorted(q))"
+    names = []
+    for _ in range(2):
+        run = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+        assert run.returncode == 0, run.stderr
+        names.append(run.stdout.split())
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    assert names[0] == names[1] and not [n for n in names[0] if n.startswith("op") or n == "pipeline"]
+
+
 @pytest.mark.parametrize("name", ["ml_05_train_and_gate", "ml_08_batch_scoring"])
 def test_the_forest_is_the_documented_one(spark, name, monkeypatch):
     seen = []
