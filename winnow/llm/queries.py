@@ -7,8 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import bpe_tree, chosen_path, coin_tossing, decontaminate, lattice, quality_votes, quotes, resharding, sparse_suffix, toxic_segments
-from winnow.llm.scan import fold, read
+from winnow.llm import (
+    bpe_tree,
+    chosen_path,
+    coin_tossing,
+    decontaminate,
+    frames,
+    lattice,
+    merkle,
+    quality_votes,
+    quotes,
+    repeated_lines,
+    resharding,
+    sparse_suffix,
+    toxic_segments,
+)
+from winnow.llm.scan import fold, read, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +90,26 @@ def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_quotation_linking"] = quotes.CONVERSATIONS_SQL
+
+
+@query
+def op11_compressed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as frames in the shared folder, then cut and rearranged from there."""
+    return frames.transformed(staged(frames.stored(read(spark, sf_dir, "documents")), "frames"))
+
+
+@query
+def op12_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the documents without repeated lines."""
+    return repeated_lines.digests(repeated_lines.without_repeated_lines(read(spark, sf_dir, "documents")))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, and which tampered ones fail."""
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_compressed_frames"] = frames.FIM_SQL
+ORACLES["op12_bloom_lines"] = repeated_lines.LINES_SQL
+ORACLES["op13_merkle_manifest"] = merkle.MANIFEST_SQL
