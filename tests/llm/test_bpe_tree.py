@@ -2,11 +2,14 @@ import hashlib
 import random
 
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
 
-from winnow.llm.bpe_tree import TreeEncoder, encode_decode, load_ranks
+from winnow.llm import bpe_tree
+from winnow.llm.bpe_tree import Coder, TreeEncoder, encode_decode, load_ranks
+from winnow.llm.scan import blocks
 
 PATH = public.path("byte_bpe_multi_50k.tiktoken")
 
@@ -47,3 +50,40 @@ def test_table(spark, odd, empty, library):
         assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, row["ids"])).encode()).hexdigest()
     assert encode_decode(odd, PATH, public.PATTERN, ids=False).count() == odd.count()
     assert encode_decode(empty, PATH, public.PATTERN).count() == 0
+
+
+def block(texts):
+    (_, data, offsets), = blocks(pa.array(texts, pa.string()), limit=1 << 30)
+    return texts, data, offsets
+
+
+def test_small_memories_change_nothing(library, monkeypatch):
+    """Generations turn over many times within a block and between blocks."""
+    monkeypatch.setattr(bpe_tree, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe_tree, "REMEMBERED_MATCHES", 7)
+    coder, rng = Coder(load_ranks(PATH), public.PATTERN), random.Random(5)
+    known = ["".join(rng.choice("aeioubcdfé🙂 ") for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    for _ in range(12):
+        texts = [" ".join(rng.choices(known, k=rng.randrange(9))) for _ in range(20)]
+        ids, bounds, decoded = coder.encode(*block(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode_ordinary(t) for t in texts]
+        assert b"".join(decoded.to_pylist()).decode() == "".join(texts)
+
+
+def test_matches_of_one_hash_are_told_apart(library, monkeypatch):
+    class Same(bpe_tree.Spans):
+        def hashes(self, starts, ends):
+            return super().hashes(starts, ends) & 3
+
+    monkeypatch.setattr(bpe_tree, "Spans", Same)
+    coder = Coder(load_ranks(PATH), public.PATTERN)
+    texts = ["many words fall on four hashes", "and are told apart", ""]
+    for _ in range(2):
+        ids, bounds, _ = coder.encode(*block(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_patterns_that_leave_text_out():
+    coder = Coder(load_ranks(PATH), r"[a-zé]+")
+    ids, bounds, decoded = coder.encode(*block(["one, twé 3 four", "12", "x"]))
+    assert [b"".join(decoded.to_pylist()[a:b]).decode() for a, b in zip(bounds, bounds[1:])] == ["onetwéfour", "", "x"]

@@ -1,6 +1,6 @@
 """Arrays of words, shingles and their hashes for blocks of texts, and the few table helpers the operators share.
 
-Texts reach Python as Arrow batches.  A block of about 2 MB is treated at once:
+Texts reach Python as Arrow batches.  A block of about 1 MB is treated at once:
 its bytes are one numpy array, words are spans of it, and a word's hash comes
 from prefix sums of a polynomial, so no step loops over words.  Hashes have 64
 bits and depend only on the bytes (A-Z count as a-z), never on the process.
@@ -8,6 +8,7 @@ bits and depend only on the bytes (A-Z count as a-z), never on the process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from winnow.session import scratch
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: the C library's way to give free memory back, where it has one
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -108,19 +111,32 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES, fold: bool = False) -> It
 
     ``fold`` lowers the letters of every script, each code point to one.
     """
-    column = column.cast(pa.large_string()).fill_null("")
-    column = pc.utf8_lower(column) if fold else column
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, dtype=np.uint8)
+    lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
-        rows = offsets[first : last + 1]
+        part = column.slice(first, last - first).cast(pa.large_string()).fill_null("")
+        part = pc.utf8_lower(part) if fold else part
+        rows = np.frombuffer(part.buffers()[1], dtype=np.int64)[part.offset : part.offset + len(part) + 1]
+        raw = part.buffers()[2]
+        data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, dtype=np.uint8)
         yield first, data[rows[0] : rows[-1]], rows - rows[0]
         first = last
 
 
+def release() -> None:
+    """Gives the memory of past batches back; a worker lives on for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of some 4 MB: every task holds a few of them, in the JVM and in its worker.  Safe to call again."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 class Words:
     """Words of a block: starts, ends (byte positions), row of each, ``bounds[r]:bounds[r+1]`` the words of row r."""
 
