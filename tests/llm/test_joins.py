@@ -84,6 +84,28 @@ def test_one_of_each_class(odd, empty):
     assert chosen_path.join(odd).count() == odd.count()
 
 
+def test_texts_of_one_id_are_nodes_of_their_own(spark):
+    """One doc_id on different texts: links, classes, survivors and cuts are those of each text by itself."""
+    rng = random.Random(5)
+    a, b, c = (rng.choices([f"{x}{i}" for i in range(400)], k=180) for x in "abc")
+    a2, b2 = [*a[:-1], "other"], [*b[:-1], "other"]
+    rows = [(1, " ".join(x)) for x in (a, b)] + [(2, " ".join(a2)), (3, " ".join(b2)), (4, " ".join(c)), (1, " ".join(a)), (2, " ".join(c[:90] + a[:80]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(enumerate(t for _, t in rows))
+    want = brute_classes(texts)
+    first = {}
+    for i, (cls, _) in want.items():
+        first[cls] = min(first.get(cls, 9), rows[i][0])
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in chosen_path.join(docs).collect())
+    assert got == sorted((rows[i][0], first[cls], n) for i, (cls, n) in want.items())
+    kept = sorted(map(tuple, chosen_path.one_of_each(docs).collect()))
+    assert kept == sorted([rows[0], rows[1], rows[4], rows[6]])
+    passage = rng.choices([f"p{i}" for i in range(900)], k=100)
+    texts = [(0, " ".join(passage + c)), (5, " ".join(passage + a)), (5, " ".join(b)), (5, " ".join(b))]
+    left = sorted(map(tuple, sparse_suffix.without_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()))
+    assert [(i, words(t)) for i, t in left] == sorted([(0, passage + c), (5, a), (5, b), (5, b)])
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(60)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.components import components
-from winnow.llm.scan import Words, blocks, mix, ngrams, staged, unique_per_row
+from winnow.llm.scan import Words, blocks, mix, ngrams, release, staged, unique_per_row
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -82,11 +82,11 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
 
 
 def _embed(docs: DataFrame, roots: list[tuple[int, int]]) -> DataFrame:
-    """key, k1, k2 (of the set), n, first-level paths, low bytes of all tokens."""
+    """doc_id, key, h, k1, k2 (of the set), n, first-level paths, low bytes of all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, grams, sizes in shingle_sets(batch.column(2)):
+            for first, grams, sizes in shingle_sets(batch.column(3)):
                 rows = len(sizes)
                 filled = np.flatnonzero(sizes)
                 starts = (np.cumsum(sizes) - sizes)[filled]
@@ -102,18 +102,18 @@ def _embed(docs: DataFrame, roots: list[tuple[int, int]]) -> DataFrame:
                 lists = np.where(sizes > 0, paths.shape[1], 0)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, rows),
-                        batch.column(1).slice(first, rows),
+                        *(batch.column(i).slice(first, rows) for i in range(3)),
                         *(pa.array(s.view(np.int64)) for s in sums),
                         pa.array(sizes),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]).astype(np.int32)), pa.array(paths[sizes > 0].reshape(-1).view(np.int64))),
                         pa.array([x.tobytes() for x in low], pa.binary()),
                     ],
-                    ["doc_id", "key", "k1", "k2", "n", "paths", "low"],
+                    ["doc_id", "key", "h", "k1", "k2", "n", "paths", "low"],
                 )
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "_key", "text").mapInArrow(run, f"doc_id {kind}, key long, k1 long, k2 long, n long, paths array<long>, low binary")
+    return docs.select("doc_id", "_key", "_h", "text").mapInArrow(run, f"doc_id {kind}, key long, h long, k1 long, k2 long, n long, paths array<long>, low binary")
 
 
 def _alike(low: np.ndarray, similar: float) -> list[tuple[int, int]]:
@@ -318,6 +318,7 @@ def _verify(groups: DataFrame, similar: float) -> DataFrame:
             root = np.empty(len(ids), dtype=np.int64)
             root[order] = ids[order][_forest(len(ids), pairs.tolist())]
             yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), pa.array(ids), pa.array(root), pa.array(linked @ copies)], ["root0", "node", "root", "links"])
+        release()
 
     return groups.mapInArrow(run, "root0 long, node long, root long, links long")
 
@@ -329,6 +330,7 @@ def _with_shingles(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum(sizes)
                 sets = [grams[e - n : e].tobytes() for e, n in zip(ends, sizes)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(sets)) for i in range(4)), pa.array(sets, pa.binary())], ["root", "blocks", "node", "copies", "shingles"])
+        release()
 
     return docs.select("root", "blocks", "node", "copies", "text").mapInArrow(run, "root long, blocks long, node long, copies long, shingles binary")
 
@@ -341,27 +343,33 @@ def join(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL, buck
     documents with an equal set of shingles, itself included, ``class_id`` the
     smallest doc_id of the documents connected by links.  Texts without words
     (null, empty) have equal, empty sets.  Texts of one to four words are one
-    shingle.  Rows with one doc_id are one document if their texts are equal and
-    share a class if not; a null doc_id is identified by its text (and its
-    class, if all are null, by a hash of it).
+    shingle.  Nodes are sets of shingles, so texts of one doc_id count and link
+    each by itself: every row gives one row, with the class and links of its own
+    text, and repeated rows count like copies.  A null doc_id is identified by
+    its text (and its class, if all are null, by a hash of it).  Texts may be of
+    any length; an empty table gives an empty one.
     """
     return _classes(_keyed(docs.select("doc_id", "text")), similar, recall, bucket, block_documents).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    """With _key, the document's number, and _h, a hash of its text: both together name a text."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    return docs.withColumn("_key", key).withColumn("_h", F.xxhash64("text", F.lit(3)))
 
 
 def _classes(keyed: DataFrame, similar: float = SIMILAR, recall: float = RECALL, bucket: int = BUCKET, block_documents: int = BLOCK_DOCUMENTS) -> DataFrame:
-    keyed = keyed.select("doc_id", "_key", "text")
+    keyed = keyed.select("doc_id", "_key", "_h", "text")
     known = staged(_embed(keyed, _roots(runs_for(recall, similar=similar), similar)), "embedded")
-    first = F.min(F.struct("key", "n", "paths", "low"))
-    sets = staged(known.groupBy("k1", "k2").agg(first.alias("f"), F.count(F.lit(1)).alias("copies")).select("k1", "k2", "copies", F.col("f.key").alias("node"), "f.n", "f.paths", "f.low"), "sets")
-    groups = staged(components(candidate_links(sets.where("n > 0"), similar, bucket)), "groups")
-    members = groups.join(sets.select("node", "n", "copies"), "node")
+    first = F.min(F.struct("key", "h", "n", "paths", "low"))
+    sets = known.groupBy("k1", "k2").agg(first.alias("f"), F.count(F.lit(1)).alias("copies"))
+    # a set's number names it, not its document, which may have other texts too
+    sets = staged(sets.select("k1", "k2", "copies", F.monotonically_increasing_id().alias("node"), F.col("f.key").alias("doc"), "f.h", "f.n", "f.paths", "f.low"), "sets")
+    groups = staged(components(candidate_links(sets.where("n > 0").select("node", "paths", "low"), similar, bucket)), "groups")
+    members = groups.join(sets.select("node", "n", "copies", "doc", "h"), "node")
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / block_documents)).cast("long").alias("blocks"))
-    members = members.join(sizes, "root").select("root", "blocks", "node", "copies")
-    texts = _with_shingles(keyed.join(members, keyed["_key"] == members["node"]))
+    members = members.join(sizes, "root").select("root", "blocks", "node", "copies", "doc", "h")
+    texts = _with_shingles(keyed.join(members, (keyed["_key"] == members["doc"]) & (keyed["_h"] == members["h"])))
     own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks"))
     dealt = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "node", "copies", "shingles")
@@ -371,13 +379,23 @@ def _classes(keyed: DataFrame, similar: float = SIMILAR, recall: float = RECALL,
     parts = components(split.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = counted.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     classes = counted.join(parts.withColumnRenamed("root", "part"), "node", "left").select("node", "links", F.coalesce("part", "root").alias("class_id"))
-    named = sets.select("k1", "k2", "copies", "node").join(classes, "node", "left")
-    named = named.select("k1", "k2", F.coalesce("class_id", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    return known.select("doc_id", F.col("key").alias("_key"), "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "_key", "class_id", "n_links", "n_copies")
+    named = sets.select("k1", "k2", "copies", "node", "doc", "h").join(classes, "node", "left").withColumn("part", F.coalesce("class_id", "node")).drop("class_id")
+    # a class is called after its smallest document
+    heads = named.where("links is not null").groupBy("part").agg(F.min(F.struct("doc", "h")).alias("head"))
+    named = named.join(heads, "part", "left").withColumn("head", F.coalesce("head", F.struct("doc", "h")))
+    named = named.select("k1", "k2", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    rows = known.select("doc_id", F.col("key").alias("_key"), F.col("h").alias("_h"), "k1", "k2").join(named, ["k1", "k2"])
+    return rows.select("doc_id", "_key", "_h", F.col("head.doc").alias("class_id"), "head", "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The first document of each class, with all its columns; of repeated rows one stays."""
-    keyed = _keyed(docs)
-    first = _classes(keyed, similar).where("_key = class_id").select("_key").distinct()
-    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    """The first document of each class, with all its columns; of repeated rows one stays.
+
+    Different texts of one doc_id are documents of their own: both stay if they
+    are no copies of anything.  Null, empty and wordless texts are one class, of which one stays.
+    """
+    named = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], "doc_id", "text")
+    keyed = _keyed(named)
+    first = _classes(keyed, similar).select("head").distinct().select(F.col("head.doc").alias("_key"), F.col("head.h").alias("_h"))
+    kept = keyed.join(first, ["_key", "_h"], "left_semi").dropDuplicates(["_key", "_h"])
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -12,7 +12,9 @@ anywhere.
 
 Counts are combined before every shuffle, so a passage that a third of all
 documents share reaches its reducer as one row per task.  Equal texts are one
-text; its copies are repeated as a whole.  Words are runs of other than ASCII
+node, named by its smallest doc_id and two hashes of the text, so rows of one
+doc_id with different texts are different nodes; its copies are repeated as a
+whole.  Words are runs of other than ASCII
 white space, without regard to case.
 """
 
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.scan import Spans, Words, blocks, fresh, mix, ngrams, staged
+from winnow.llm.scan import Spans, Words, blocks, fresh, mix, ngrams, release, staged
 
 LEAST = 50
 PHRASE = 25
 _ORDER = np.uint64(0x6A09E667F3BCC909)
+#: a text: its first document and two hashes, in the order of "earlier"
+NODE = "struct<doc:long,h1:long,h2:long>"
 
 
 def _runs(grams: np.ndarray, sizes: np.ndarray, least: int, phrase: int) -> tuple[np.ndarray, ...]:
@@ -51,20 +55,20 @@ def _runs(grams: np.ndarray, sizes: np.ndarray, least: int, phrase: int) -> tupl
 
 
 def _suffixes(docs: DataFrame, least: int, phrase: int) -> DataFrame:
-    """key, n_words, hash of the whole text, and the first phrases of its retained suffixes."""
+    """key, n_words and the first phrases of the retained suffixes of every row (_key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in blocks(batch.column(3), fold=True):
+            for first, data, offsets in blocks(batch.column(1), fold=True):
                 words = Words(data, offsets)
                 grams, sizes = ngrams(words.hashes(), words.counts, phrase, short=False)
                 row, place, _, _ = _runs(grams, sizes, least, phrase)
                 found = grams[(np.cumsum(sizes) - sizes)[row] + place] if len(row) else np.zeros(0, dtype=np.uint64)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=words.rows))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, words.rows) for i in range(3)), pa.array(words.counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.view(np.int64)))], ["key", "h1", "h2", "n_words", "phrases"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, words.rows), pa.array(words.counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.view(np.int64)))], ["key", "n_words", "phrases"])
+        release()
 
-    hashed = docs.select("_key", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), "text")
-    return hashed.mapInArrow(run, "key long, h1 long, h2 long, n_words long, phrases array<long>")
+    return docs.select("_key", "text").mapInArrow(run, f"key {NODE}, n_words long, phrases array<long>")
 
 
 def _windows(matched: DataFrame, least: int, phrase: int) -> DataFrame:
@@ -100,7 +104,9 @@ def _windows(matched: DataFrame, least: int, phrase: int) -> DataFrame:
                     ["key", "phrase", "whole", "begin", "left", "windows"],
                 )
 
-    return matched.select("_key", "wanted", "text").mapInArrow(run, "key long, phrase long, whole long, begin long, left int, windows array<long>")
+        release()
+
+    return matched.select("_key", "wanted", "text").mapInArrow(run, f"key {NODE}, phrase long, whole long, begin long, left int, windows array<long>")
 
 
 def _spans(marks: DataFrame, least: int) -> DataFrame:
@@ -125,7 +131,7 @@ def _spans(marks: DataFrame, least: int) -> DataFrame:
 
     pair = [("start", pa.int64()), ("end", pa.int64())]
     spans, cuts = pa.list_(pa.struct([*pair, ("removable", pa.int64())])), pa.list_(pa.struct(pair))
-    return marks.mapInArrow(run, "key long, spans array<struct<start:long,end:long,removable:long>>, cuts array<struct<start:long,end:long>>")
+    return marks.mapInArrow(run, f"key {NODE}, spans array<struct<start:long,end:long,removable:long>>, cuts array<struct<start:long,end:long>>")
 
 
 def _true(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -134,13 +140,17 @@ def _true(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _repeats(keyed: DataFrame, least: int, phrase: int) -> tuple[DataFrame, DataFrame]:
-    """(key, twin, n_words, copies, first) of all texts, and (key, spans, cuts) of one of each equal texts."""
+    """(key, twin, n_words, copies) of all documents, and (key, spans, cuts) of one of each equal texts, the twin.
+
+    ``keyed`` has _key (``NODE``: the row's own document and its text's hashes) and text; equal rows are one document.
+    """
     if least - phrase + 1 > 62:
         raise ValueError("a run's windows are bits of one number: take a longer phrase")
     known = staged(_suffixes(keyed, least, phrase), "suffixes")
-    twins = known.groupBy("h1", "h2").agg(F.min("key").alias("twin"), F.count(F.lit(1)).alias("copies"))
-    texts = known.select("key", "h1", "h2", "n_words").join(twins, ["h1", "h2"]).select("key", "twin", "n_words", "copies")
-    single = known.join(twins.select(F.col("twin").alias("key")).distinct(), "key", "left_semi").select("key", F.posexplode("phrases").alias("nth", "phrase"))
+    each = known.select("key", "n_words", F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2")).distinct()
+    twins = each.groupBy("h1", "h2").agg(F.min("key").alias("twin"), F.count(F.lit(1)).alias("copies"))
+    texts = each.join(twins, ["h1", "h2"]).select("key", "twin", "n_words", "copies")
+    single = known.join(twins.select(F.col("twin").alias("key")), "key", "left_semi").select("key", F.posexplode("phrases").alias("nth", "phrase"))
     # written, so that both sides of the join are plain shuffles, of which Spark splits a hot phrase
     repeated = staged(single.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase"), "phrases")
     wanted = single.join(repeated, "phrase", "left_semi").groupBy("key").agg(F.collect_set("nth").alias("wanted"))
@@ -171,7 +181,9 @@ def _repeats(keyed: DataFrame, least: int, phrase: int) -> tuple[DataFrame, Data
 
 
 def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    """The row's document (a null doc_id: a hash of its text) and text."""
+    text = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc"), *text)
 
 
 def repeats(docs: DataFrame, least: int = LEAST, phrase: int = PHRASE) -> DataFrame:
@@ -179,10 +191,12 @@ def repeats(docs: DataFrame, least: int = LEAST, phrase: int = PHRASE) -> DataFr
 
     A passage is a maximal stretch of a text whose windows of ``least`` words
     all occur again, in another text or elsewhere in this one.  ``removable``
-    counts its words in windows that have an earlier occurrence (by doc_id and
-    place).  Of equal texts of at least ``least`` words each is one passage, all
-    but the first removable.  Null, empty and shorter texts have none.  Rows of
-    one doc_id should have one text; null ids are told apart by their texts.
+    counts its words in windows that have an earlier occurrence (by doc_id, then
+    a hash of the text, and place).  Of equal texts of at least ``least`` words each is one passage, all
+    but the first removable.  Null, empty and shorter texts have none.  Equal
+    rows of one doc_id are one document; different texts of one doc_id are
+    documents of their own, whose rows have that doc_id.  Null ids are told
+    apart by their texts.  Texts may be of any length.
     """
     keyed = docs.select("doc_id", "text", _key().alias("_key"))
     texts, spans = _repeats(keyed, least, phrase)
@@ -190,7 +204,7 @@ def repeats(docs: DataFrame, least: int = LEAST, phrase: int = PHRASE) -> DataFr
     copied = texts.where((F.col("copies") > 1) & (F.col("n_words") >= least))
     whole = copied.join(spans.select(F.col("key").alias("twin"), F.aggregate("cuts", F.lit(0).cast("long"), lambda a, c: a + c["end"] - c["start"]).alias("cut")), "twin", "left")
     whole = whole.select("key", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.when(F.col("key") == F.col("twin"), F.coalesce("cut", F.lit(0).cast("long"))).otherwise(F.col("n_words")).alias("removable"))
-    part = own.join(copied.select("key").distinct(), "key", "left_anti")
+    part = own.join(copied.select("key"), "key", "left_anti")
     ids = keyed.select("_key", "doc_id").distinct()
     return part.unionByName(whole).join(ids, F.col("key") == F.col("_key")).select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("removable").alias("removable_words"))
 
@@ -199,40 +213,34 @@ def without_repeats(docs: DataFrame, least: int = LEAST, phrase: int = PHRASE) -
     """The documents with every removable passage cut out of their texts, all columns kept.
 
     The first occurrence of a passage stays.  ``n_chars``, where there is such a
-    column, is counted anew for a changed text.  A document of which nothing is
-    left is left out, and so are later copies of a text of at least ``least``
-    words; untouched documents, empty ones too, stay as they are.
+    column, is counted anew for a changed text.  A document of which only white
+    space is left is left out, and so are later copies of a text of at least ``least``
+    words; untouched documents, empty ones too, stay as they are.  Documents are
+    told apart as in ``repeats``: texts of one doc_id are cut each by itself, and equal
+    rows alike.  Only touched texts go through Python.
     """
-    key, order, cut = (fresh(docs, c) for c in ("_key", "_order", "_cuts"))
+    key, cut, gone, new = (fresh(docs, c) for c in ("_key", "_cuts", "_gone", "_new"))
     keyed = docs.withColumn(key, _key())
     texts, spans = _repeats(keyed.select(F.col(key).alias("_key"), "text"), least, phrase)
-    known = texts.dropDuplicates(["key"]).join(spans.select("key", "cuts"), "key", "left")
-    gone = (F.col("key") != F.col("twin")) & (F.col("n_words") >= least)
-    orders = known.where(gone | (F.size("cuts") > 0)).select(F.col("key").alias(key), F.lit(True).alias(order), F.when(gone, F.lit(None)).otherwise(F.col("cuts")).alias(cut))
-    columns, place = docs.columns, docs.columns.index("text")
-    counted = columns.index("n_chars") if "n_chars" in columns else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            orders, texts = batch.column(len(columns) + 1).to_pylist(), batch.column(place)
-            touched = batch.column(len(columns)).is_valid().to_numpy(zero_copy_only=False)
-            if not touched.any():
-                yield pa.RecordBatch.from_arrays(batch.columns[: len(columns)], columns)
-                continue
-            keep, changed = np.ones(batch.num_rows, dtype=bool), {}
-            for r in np.flatnonzero(touched).tolist():
-                if orders[r] is None:
-                    keep[r] = False
-                    continue
-                changed[r] = _cut(texts[r].as_py(), [(c["start"], c["end"]) for c in orders[r]])
-                keep[r] = bool(changed[r].strip())
-            out = list(batch.columns[: len(columns)])
-            out[place] = pa.array([changed.get(r, t) for r, t in enumerate(texts.to_pylist())], out[place].type)
-            if counted is not None:
-                out[counted] = pa.array([len(changed[r]) if r in changed else n for r, n in enumerate(out[counted].to_pylist())], out[counted].type)
-            yield pa.RecordBatch.from_arrays(out, columns).filter(pa.array(keep))
-
-    return keyed.join(orders, key, "left").select(*columns, order, cut).mapInArrow(run, docs.schema)
+    later = (F.col("key") != F.col("twin")) & (F.col("n_words") >= least)
+    orders = texts.join(spans.select("key", "cuts"), "key", "left").where(later | (F.size("cuts") > 0)).select(F.col("key").alias(key), later.alias(gone), "cuts")
+    orders = orders.withColumnRenamed("cuts", cut)
+
+    @F.arrow_udf("string")
+    def left(column: pa.Array, cuts: pa.Array) -> pa.Array:
+        out = [None if t is None else _cut(t, [(c["start"], c["end"]) for c in k]) for t, k in zip(column.to_pylist(), cuts.to_pylist())]
+        release()
+        return pa.array([t if t and t.strip() else None for t in out], pa.string())
+
+    some = F.col(cut).isNotNull()
+    joined = keyed.join(orders, key, "left").where(~F.coalesce(F.col(gone), F.lit(False)))
+    # a row without cuts sends two nulls
+    done = joined.withColumn(new, left(F.when(some, F.col("text")), F.col(cut))).where(~some | F.col(new).isNotNull())
+    changed = {"text": F.when(some, F.col(new)).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(some, F.length(new).cast(kind)).otherwise(F.col("n_chars"))
+    return done.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def _cut(text: str, cuts: list[tuple[int, int]]) -> str:
