@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.scan import Lookup, Words, blocks, mix, ngrams
+from winnow.llm.scan import Lookup, Words, blocks, mix, ngrams, release
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -170,17 +170,24 @@ def _finder(spark, index: Index, item_type: str, contained: float):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED) -> DataFrame:
-    """The documents that hold no item: a column-preserving filter in the scanning tasks themselves."""
+    """The documents that hold no item, all columns kept; only the text goes to Python and one bit comes back.
+
+    Null, empty and wordless texts hold nothing and stay; so does all, if the
+    benchmark is empty.  Repeated rows stay or go together; a text of any length
+    is searched whole.
+    """
     for index in item_blocks(benchmark, contained):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        place = docs.columns.index("text")
+        docs = docs.where(_holds_none(docs.sparkSession.sparkContext.broadcast(index), contained)(F.col("text")))
+    return docs
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, place=place) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, dtype=bool)
-                for first, data, offsets in blocks(batch.column(place), fold=True):
-                    keep[[first + r for r, _, _ in search(shared.value, data, offsets, contained)]] = False
-                yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def _holds_none(shared, contained: float):
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        keep = np.ones(len(texts), dtype=bool)
+        for first, data, offsets in blocks(texts, fold=True):
+            keep[[first + r for r, _, _ in search(shared.value, data, offsets, contained)]] = False
+        release()
+        return pa.array(keep)
+
+    return kept

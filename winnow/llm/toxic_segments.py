@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.labelled import SAMPLE_ROWS, sample_each
-from winnow.llm.scan import BYTE_VALUES, NON_LETTERS, Lookup, Words, blocks, span_hashes, staged
+from winnow.llm.scan import BYTE_VALUES, NON_LETTERS, Lookup, Words, blocks, release, span_hashes, staged
 
 DRIFT = 0.2
 PRIOR_SHARE = 0.1
@@ -240,14 +240,20 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, bound: int = SAM
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents not predicted toxic, all columns kept; the filter runs in the scanning tasks."""
+    """The documents not predicted toxic, all columns kept.
+
+    Only the text goes to Python and one bit comes back, in the scanning tasks.
+    Null, empty and wordless texts have no toxic segment and are judged by the
+    model's intercept alone; repeated rows are judged alike; texts may be of any
+    length; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
         m = shared.value
-        for batch in batches:
-            _, statistic, _, _, _ = _scan(m, batch.column(place), False)
-            yield batch.filter(pa.array(m.intercept + m.slope * np.log1p(statistic) < 0))
+        _, statistic, _, _, _ = _scan(m, texts, False)
+        release()
+        return pa.array(m.intercept + m.slope * np.log1p(statistic) < 0)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(kept(F.col("text")))
