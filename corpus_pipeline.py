@@ -8,32 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from winnow.llm import bpe_tree, chosen_path, decontaminate, sparse_suffix, toxic_segments
-from winnow.llm.scan import fold, read, staged
+from winnow.llm.scan import fold, read, small_batches, staged
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model learns from four of five labelled documents."""
+    small_batches(spark)
     model = toxic_segments.train(docs, read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     return toxic_segments.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    small_batches(spark)
     return chosen_path.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more stay where they come first."""
+    small_batches(spark)
     return sparse_suffix.without_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, and digests of them and of what they decode to."""
+    small_batches(spark)
     return bpe_tree.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
