@@ -8,7 +8,6 @@ from catalog.registry import query
 from catalog.tables import CTE
 from winnow import fixed_values as fv
 from winnow.functions import fixes, texts
-from winnow.functions.common import any_of
 from winnow.operators import dataflow, detect, features
 from winnow.sources import files
 
@@ -26,47 +25,89 @@ CTE["code"] = (["code_lines"], f"SELECT *, regexp_replace(text, {q(detect.COMMEN
 CTE["blank"] = (["code"], f"SELECT *, regexp_replace(code, {q(detect.STRING)}, '\"\"', 'g') AS bare FROM code")
 M = fv.DETECTION_MESSAGES
 D = detect
-RULE_SQL = {
-    "sql-injection": f"CASE WHEN {rl('code', D.SQL_CALL + D.BUILT)} THEN {q(M['sql_built'])} WHEN {rl('code', D.SQL_CALL + D.DYNAMIC)} THEN {q(M['sql_dynamic'])} END",
-    "command-injection": f"CASE WHEN {rl('bare', '`[^`]*`')} THEN {q(M['shell_backtick'])} WHEN {rl('code', D.SHELL_CALL + D.DYNAMIC)} THEN {q(M['shell_dynamic'])} END",
-    "unserialize-user-input": f"CASE WHEN {rl('code', D.UNSERIALIZE + chr(92) + 's*' + D.REQUEST)} THEN {q(M['unserialize_request'])} WHEN {rl('code', D.UNSERIALIZE + D.DYNAMIC)} THEN {q(M['unserialize_dynamic'])} END",
-    "path-traversal": f"CASE WHEN {rl('code', D.INCLUDE + D.DYNAMIC)} THEN {q(M['include_dynamic'])} WHEN {rl('code', D.FILE_CALL + D.BUILT)} THEN {q(M['path_built'])} WHEN {rl('code', D.FILE_CALL + D.DYNAMIC)} THEN {q(M['path_dynamic'])} END",
-    "xss-unescaped-output": f"CASE WHEN {rl('code', D.OUTPUT + D.DYNAMIC)} AND NOT {rl('code', D.ESCAPER)} THEN {q(M['output_unescaped'])} END",
-    "mass-assignment": f"CASE WHEN {rl('code', D.ASSIGN_CALL + D.REQUEST)} THEN {q(M['mass_assignment'])} END",
-    "weak-hashing": f"CASE WHEN {rl('code', D.HASH_CREDENTIAL)} THEN regexp_extract(code, {q(D.HASH_CALL)}, 1) || {q(M['hash_credential'])} WHEN {rl('code', D.HASH_CALL)} THEN regexp_extract(code, {q(D.HASH_CALL)}, 1) || {q(M['hash_weak'])} END",
-    "hardcoded-secret": f"CASE WHEN regexp_extract(code, {q(D.SECRET)}, 1)<>'' AND NOT regexp_matches(regexp_extract(code, {q(D.SECRET)}, 1), {q(D.PLACEHOLDER)}) THEN {q(M['secret'])} END",
-}
+#: what each kind of code line (its number) holds, stated by hand: rule, which call of the line, message
+HITS = [
+    (4, "xss-unescaped-output", 1, M["output_unescaped"]),
+    (6, "command-injection", 1, M["shell_dynamic"]),
+    (7, "weak-hashing", 1, "md5" + M["hash_credential"]),
+    (8, "mass-assignment", 1, M["mass_assignment"]),
+    (9, "hardcoded-secret", 1, M["secret"]),
+    (10, "path-traversal", 1, M["path_dynamic"]),
+    (11, "unserialize-user-input", 1, M["unserialize_request"]),
+    (11, "sql-injection", 1, M["sql_built"]),
+    (13, "command-injection", 1, M["shell_dynamic"]),
+    (13, "command-injection", 2, M["shell_dynamic"]),
+    (13, "command-injection", 3, M["shell_dynamic"]),
+    (14, "sql-injection", 1, M["sql_built"]),
+    (14, "path-traversal", 1, M["path_dynamic"]),
+    (15, "xss-unescaped-output", 1, M["output_unescaped"]),
+    (16, "command-injection", 1, M["shell_backtick"]),
+]
+#: sinks: line kind, number on the line, kind, name, traced arguments, shape, variables, request input, fitting sanitizer
+SINKS = [
+    (4, 1, "html_output", "echo", ['"<b>" . $v2'], "concatenation", "v2", "", False),
+    (6, 1, "command_execution", "exec", ['"run " . $v4 . $v2'], "concatenation", "v2,v4", "", False),
+    (10, 1, "path_access", "file_get_contents", ["basename($v3)"], "function_call", "v3", "", True),
+    (11, 1, "deserialization", "unserialize", ['$_POST["p"]'], "array_access", "", "body", False),
+    (11, 2, "sql_query", "select", ['"SELECT 1 FROM t WHERE x = $v1"'], "interpolation", "v1", "", False),
+    (13, 1, "command_execution", "system", ["$a"], "variable", "a", "", False),
+    (13, 2, "command_execution", "system", ["$v1"], "variable", "v1", "", False),
+    (13, 3, "command_execution", "exec", ['"id"'], "literal", "", "", False),
+    (13, 4, "command_execution", "exec", ["$v2"], "variable", "v2", "", False),
+    (14, 1, "sql_query", "mysqli_query", ['"SELECT " . $v2'], "concatenation", "v2", "", False),
+    (14, 2, "path_access", "copy", ["$v1", '"/tmp/c%d"'], "multiple", "v1", "", False),
+    (15, 1, "html_output", "echo", ["$x"], "variable", "x", "", False),
+    (16, 1, "command_execution", "backtick", ["$v1"], "variable", "v1", "", False),
+]
+#: assignments that sinks can reach: line kind, variable, variables of the right side, request input, sink kind it cleans for
+ASSIGNED = [(1, "v1", "", "query", ""), (2, "v2", "v1", "", ""), (3, "v3", "v2", "", "html_output"), (5, "v4", "", "", ""), (15, "x", "", "request", ""), (17, "v2", "v2", "", "")]
+
+
+def values(rows, names):
+    lit = lambda v: str(v) if isinstance(v, (bool, int)) else q(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows) + f") v({names})"
+
+
+def listed(c):
+    return f"list_filter(string_split({c}, ','), lambda x: x <> '')"
 
 
 def rule_id(short):
     return next(r for r in fv.DETECTION_RULES if r[0].endswith(short))[0]
 
 
+HITS_SQL = values([(tpl, rule_id(short), n, m) for tpl, short, n, m in HITS], "kind, rule_id, occurrence, message")
+CTE["hits"] = (["code_lines"], f"SELECT c.*, v.rule_id, v.occurrence, v.message FROM code_lines c JOIN {HITS_SQL} ON v.kind = c.tpl")
+CTE["sinks"] = (["scoped"], f"""
+SELECT file_path, line_no, coalesce(s,0) AS scope, sink_no, sink_kind, sink_name, replace(arguments, '%d', CAST(digit AS VARCHAR)) AS arguments, shape, uses, input, clean
+FROM scoped JOIN {values([(*r[:4], " | ".join(r[4]), *r[5:]) for r in SINKS], "kind, sink_no, sink_kind, sink_name, arguments, shape, uses, input, clean")} ON v.kind = tpl""")
+
+
 def rule_sql(short):
-    return f"SELECT file_path, line_no AS line_number, {q(rule_id(short))} AS rule_id, m AS message FROM (SELECT *, {RULE_SQL[short]} AS m FROM blank) WHERE m IS NOT NULL"
+    return f"SELECT file_path, line_no AS line_number, rule_id, occurrence, message FROM hits WHERE rule_id = {q(rule_id(short))}"
 
 
 def _one_rule(short):
     def run(t):
-        return detect.scan_lines(t.code_lines, [rule_id(short)]).select("file_path", "line_number", "rule_id", "message")
+        return detect.scan_lines(t.code_lines, [rule_id(short)]).select("file_path", "line_number", "rule_id", "occurrence", "message")
     return run
 
 
 for _i, _short in enumerate(["sql-injection", "command-injection", "unserialize-user-input", "path-traversal",
                              "xss-unescaped-output", "mass-assignment", "weak-hashing", "hardcoded-secret"]):
-    query(f"det_{_i + 2:02d}_{_short.replace('-', '_')}", "blank", sql=rule_sql(_short))(_one_rule(_short))
+    query(f"det_{_i + 2:02d}_{_short.replace('-', '_')}", "hits", sql=rule_sql(_short))(_one_rule(_short))
 
 
-@query("det_01_rule_scan", "blank", sql=", h AS (" + " UNION ALL ".join(f"SELECT file_path, {q(rule_id(s))} AS rule_id, text FROM (SELECT *, {e} AS m FROM blank) WHERE m IS NOT NULL" for s, e in RULE_SQL.items()) + """)
-SELECT rule_id, count(*) AS hits, count(DISTINCT file_path) AS files, CAST(sum(length(trim(text))) AS BIGINT) AS snippet_chars FROM h GROUP BY 1""")
+@query("det_01_rule_scan", "hits", sql="""
+SELECT rule_id, count(*) AS hits, count(DISTINCT file_path) AS files, CAST(sum(length(trim(text))) AS BIGINT) AS snippet_chars FROM hits GROUP BY 1""")
 def _(t):
     return detect.scan_lines(t.code_lines).groupBy("rule_id").agg(
         F.count(F.lit(1)).alias("hits"), F.count_distinct("file_path").alias("files"),
         F.sum(F.length("snippet")).alias("snippet_chars"))
 
 
-@query("det_01_files_scanned", "blank", sql=", h AS (" + " UNION ALL ".join(f"SELECT file_path FROM (SELECT *, {e} AS m FROM blank) WHERE m IS NOT NULL" for e in RULE_SQL.values()) + """)
-, f AS (SELECT file_path, max(line_no) AS lines FROM code_lines GROUP BY 1), n AS (SELECT file_path, count(*) AS findings FROM h GROUP BY 1)
+@query("det_01_files_scanned", "hits", sql="""
+, f AS (SELECT file_path, max(line_no) AS lines FROM code_lines GROUP BY 1), n AS (SELECT file_path, count(*) AS findings FROM hits GROUP BY 1)
 SELECT f.file_path, f.lines, coalesce(findings,0) AS findings FROM f LEFT JOIN n ON n.file_path=f.file_path""")
 def _(t):
     return detect.scan_summary(t.code_lines, detect.scan_lines(t.code_lines))
@@ -94,88 +135,44 @@ def _(t):
     return detect.scope_features(t.code_lines).select("file_path", "line_no", "has_sanitizer_in_ast")
 
 
-def sink_sql():
-    parts = []
-    for k in D.SINK_ORDER:
-        n = D._groups(k)
-        name = "concat(" + ", ".join(f"regexp_extract(code, {q(D.sink_pattern(k))}, {i + 1})" for i in range(n)) + ")"
-        rest = f"regexp_extract(code, {q(D.sink_pattern(k))}, {n + 1})"
-        arg = f"trim(regexp_replace(regexp_extract({rest}, {q(D.FIRST_ARGUMENT)}, 1), '[\\s;]+$', ''))"
-        parts.append((k, name, arg))
-    kind = "CASE " + " ".join(f"WHEN {n}<>'' THEN '{k}'" for k, n, _ in parts) + " END"
-    name = "lower(CASE " + " ".join(f"WHEN {n}<>'' THEN {n}" for _, n, _ in parts) + " END)"
-    arg = "CASE " + " ".join(f"WHEN {n}<>'' THEN {a}" for _, n, a in parts) + " END"
-    return f"SELECT file_path, line_no, coalesce(s,0) AS scope, {kind} AS sink_kind, {name} AS sink_name, {arg} AS argument FROM scoped"
-
-
-CTE["sinks"] = (["scoped"], f"SELECT * FROM ({sink_sql()}) WHERE sink_kind IS NOT NULL")
-SHAPE = """CASE WHEN a='' THEN 'none' WHEN regexp_matches(a, '^"[^"]*\\$[^"]*"$') THEN 'interpolation'
- WHEN regexp_matches(a, '^(?:"[^"]*"|''[^'']*''|[0-9.]+|[A-Z_]+|\\w+::[A-Z_]+|true|false|null)$') THEN 'literal' WHEN regexp_matches(a, '^\\$\\w+$') THEN 'variable'
- WHEN regexp_matches(b, '\\?[^?>-].*:') THEN 'conditional' WHEN regexp_matches(b, '(?:""|\\$[\\w>\\[\\]-]+|\\))\\s*\\.\\s*(?:""|\\$|\\w)') THEN 'concatenation'
- WHEN regexp_matches(a, '^[A-Za-z_]\\w*\\s*\\(') THEN 'function_call' WHEN regexp_matches(a, '^(?:\\$\\w+|\\w+)(?:\\?->|->|::)\\w+\\s*\\(') THEN 'method_call'
- WHEN regexp_matches(a, '^\\[') THEN 'array' WHEN regexp_matches(a, '^\\$\\w+\\[') THEN 'array_access' WHEN regexp_matches(a, '^\\$\\w+(?:\\?->|->|::\\$)\\w+') THEN 'property_access' ELSE 'expression' END"""
-
-
-@query("det_13_sink_on_line", "sinks", sql="SELECT file_path, line_no, sink_kind, sink_name, argument FROM sinks")
+@query("det_13_sink_on_line", "sinks", sql="SELECT file_path, line_no, sink_no, sink_kind, sink_name, arguments FROM sinks")
 def _(t):
-    rows = t.code_lines.withColumn("s", detect.sink_on_line(detect.code_only("text"))).filter("s IS NOT NULL")
-    return rows.select("file_path", "line_no", F.col("s.kind").alias("sink_kind"), F.col("s.name").alias("sink_name"), "s.argument")
+    found = dataflow.sinks(detect.statements(t.code_lines).withColumn("scope", F.lit(0)), ["file_path"])
+    return found.select("file_path", "line_no", "sink_no", "sink_kind", "sink_name", F.array_join("arguments", " | ").alias("arguments"))
 
 
-@query("det_16_argument_shape", "sinks", sql=f"SELECT shape, count(*) AS sinks FROM (SELECT {SHAPE} AS shape FROM (SELECT trim(argument) AS a, regexp_replace(trim(argument), {q(D.STRING)}, '\"\"', 'g') AS b FROM sinks)) GROUP BY 1")
+@query("det_16_argument_shape", "sinks", sql="SELECT shape, count(*) AS sinks FROM sinks GROUP BY 1")
 def _(t):
-    rows = t.code_lines.withColumn("s", detect.sink_on_line(detect.code_only("text"))).filter("s IS NOT NULL")
-    return rows.groupBy(detect.argument_shape("s.argument").alias("shape")).agg(F.count(F.lit(1)).alias("sinks"))
-
-
-def ctx_sql(e):
-    alls = {**fv.REQUEST_SUPERGLOBALS, **fv.REQUEST_METHOD_CONTEXTS}
-    case = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in alls.items()) + " END"
-    lists = (f"list_concat(list_concat(regexp_extract_all({e}, {q(dataflow.SUPERGLOBAL)}, 1), regexp_extract_all({e}, {q(dataflow.REQUEST_CALL)}, 1)), "
-             f"regexp_extract_all({e}, {q(dataflow.REQUEST_CALL)}, 2))")
-    return f"list_distinct(list_transform(list_filter({lists}, lambda x: x<>''), lambda x: {case}))"
-
-
-def san_sql(e):
-    return "CASE sink_kind " + " ".join(
-        f"WHEN '{k}' THEN regexp_matches({e}, {q('(?i)(?:^|[^' + chr(92) + 'w$])' + any_of(v) + chr(92) + 's*' + chr(92) + '(')})"
-        for k, v in fv.PATH_SANITIZERS.items()) + " ELSE false END"
-
-
-def vars_sql(e):
-    return f"list_distinct(list_filter(regexp_extract_all({e}, {q(dataflow.VARIABLE)}, 1), lambda v: v NOT IN ('this','request','req')))"
+    rows = t.code_lines.select(F.explode(detect.sinks_in(detect.code_only("text"))).alias("s"))
+    return rows.groupBy(detect.arguments_shape("s.arguments").alias("shape")).agg(F.count(F.lit(1)).alias("sinks"))
 
 
 TRACE_SQL = f"""
-, defs AS (SELECT file_path, coalesce(s,0) AS scope, line_no, unnest(regexp_extract_all(code, {q(dataflow.ASSIGNMENT)}, 1)) AS var, unnest(regexp_extract_all(code, {q(dataflow.ASSIGNMENT)}, 2)) AS rhs,
-   generate_subscripts(regexp_extract_all(code, {q(dataflow.ASSIGNMENT)}, 1), 1) AS pos FROM scoped)
-, walk AS (
-  SELECT file_path, scope, line_no, sink_kind, unnest({vars_sql('argument')}) AS var, line_no AS before, CAST([] AS VARCHAR[]) AS seen FROM sinks
-  UNION ALL
-  SELECT file_path, scope, line_no, sink_kind, v, dl, seen2 FROM (
-    SELECT w.file_path, w.scope, w.line_no, w.sink_kind, unnest({vars_sql('d.rhs')}) AS v, d.line_no AS dl, list_append(w.seen, w.var) AS seen2
-    FROM walk w JOIN defs d ON d.file_path=w.file_path AND d.scope=w.scope AND d.var=w.var AND d.line_no<=w.before
-    WHERE NOT EXISTS (SELECT 1 FROM defs e WHERE e.file_path=w.file_path AND e.scope=w.scope AND e.var=w.var AND e.line_no<=w.before AND (e.line_no>d.line_no OR (e.line_no=d.line_no AND e.pos>d.pos))))
-  WHERE NOT list_contains(seen2, v))
-, best AS (SELECT w.*, (SELECT arg_max(struct_pack(l := d.line_no, rhs := d.rhs), d.line_no*1000+d.pos) FROM defs d WHERE d.file_path=w.file_path AND d.scope=w.scope AND d.var=w.var AND d.line_no<=w.before) AS d FROM walk w)
-, facts AS (SELECT file_path, line_no, sink_kind, CAST(NULL AS VARCHAR) AS var, CAST(NULL AS INTEGER) AS vl, argument AS e, false AS unresolved FROM sinks
-  UNION ALL SELECT file_path, line_no, sink_kind, var, d.l, coalesce(d.rhs,''), d IS NULL FROM best)
-, agg AS (SELECT file_path, line_no, list_sort(list_distinct(flatten(list({ctx_sql('e')})))) AS c, bool_or({san_sql('e')}) AS san, bool_or(unresolved) AS un, count(DISTINCT CASE WHEN vl IS NOT NULL THEN var || ':' || vl END) AS steps FROM facts GROUP BY 1,2)
-SELECT s.file_path, s.line_no, s.sink_kind, CAST(len(c)>0 AS INT) AS reaches_request_input, CAST(steps AS INT) AS taint_steps, CAST(san AS INT) AS sanitised_before_sink,
-  CASE WHEN len(c)>1 THEN 'mixed' WHEN len(c)=1 THEN c[1] WHEN un THEN 'unknown' ELSE 'none' END AS attacker_reachable_context FROM sinks s JOIN agg USING (file_path, line_no)"""
+, defs AS (SELECT file_path, coalesce(s,0) AS scope, line_no*10 AS pos, var, uses, input, cleans FROM scoped JOIN {values(ASSIGNED, "kind, var, uses, input, cleans")} ON v.kind = tpl)
+, ends AS (SELECT *, line_no*10 + sink_no AS pos FROM sinks)
+, users AS (SELECT file_path, scope, pos, uses, input, cleans FROM defs UNION ALL SELECT file_path, scope, pos, uses, input, CASE WHEN clean THEN sink_kind ELSE '' END FROM ends)
+, edges AS (SELECT u.file_path, u.scope, u.pos, u.var, max(d.pos) AS target FROM (SELECT file_path, scope, pos, unnest({listed('uses')}) AS var FROM users) u
+   LEFT JOIN defs d ON d.file_path=u.file_path AND d.scope=u.scope AND d.var=u.var AND d.pos<u.pos GROUP BY 1,2,3,4)
+, walk AS (SELECT file_path, scope, pos AS sink, pos FROM ends
+   UNION SELECT w.file_path, w.scope, w.sink, e.target FROM walk w JOIN edges e ON e.file_path=w.file_path AND e.scope=w.scope AND e.pos=w.pos WHERE e.target IS NOT NULL)
+, agg AS (SELECT k.file_path, k.scope, k.pos AS sink, list_sort(list_distinct(list_filter(list(u.input), lambda x: x <> ''))) AS c, bool_or(u.cleans = k.sink_kind) AS san, count(*) - 1 AS steps,
+   bool_or(EXISTS (SELECT 1 FROM edges e WHERE e.file_path=u.file_path AND e.scope=u.scope AND e.pos=u.pos AND e.target IS NULL)) AS un
+   FROM walk w JOIN users u ON u.file_path=w.file_path AND u.scope=w.scope AND u.pos=w.pos JOIN ends k ON k.file_path=w.file_path AND k.scope=w.scope AND k.pos=w.sink GROUP BY 1,2,3)
+SELECT k.file_path, k.line_no, k.sink_no, k.sink_kind, CAST(len(c)>0 AS INT) AS reaches_request_input, CAST(steps AS INT) AS taint_steps, CAST(san AS INT) AS sanitised_before_sink,
+  CASE WHEN len(c)>1 THEN 'mixed' WHEN len(c)=1 THEN c[1] WHEN un THEN 'unknown' ELSE 'none' END AS attacker_reachable_context FROM ends k JOIN agg a ON a.file_path=k.file_path AND a.scope=k.scope AND a.sink=k.pos"""
 @query("det_14_request_reachability", "sinks", sql=TRACE_SQL)
 def _(t):
     return dataflow.trace(t.code_lines).select(
-        "file_path", "line_no", "sink_kind", "reaches_request_input", "taint_steps", "sanitised_before_sink", "attacker_reachable_context")
+        "file_path", "line_no", "sink_no", "sink_kind", "reaches_request_input", "taint_steps", "sanitised_before_sink", "attacker_reachable_context")
 
 
-@query("det_15_attacker_context", "sinks", sql=TRACE_SQL.replace("SELECT s.file_path, s.line_no, s.sink_kind", "SELECT attacker_reachable_context, sanitised_before_sink, count(*) AS sinks FROM (SELECT s.file_path, s.line_no, s.sink_kind") + ") GROUP BY 1,2")
+@query("det_15_attacker_context", "sinks", sql=TRACE_SQL.replace("SELECT k.file_path, k.line_no, k.sink_no, k.sink_kind, CAST", "SELECT attacker_reachable_context, sanitised_before_sink, count(*) AS sinks FROM (SELECT k.file_path, k.line_no, k.sink_no, k.sink_kind, CAST") + ") GROUP BY 1,2")
 def _(t):
     return dataflow.trace(t.code_lines).groupBy("attacker_reachable_context", "sanitised_before_sink").agg(F.count(F.lit(1)).alias("sinks"))
 
 
-@query("det_17_feature_vectors", "scoped", "blank", sql=", h AS (" + " UNION ALL ".join(
-    f"SELECT file_path, line_no, {q(rule_id(s))} AS rule_id, {next(r for r in fv.DETECTION_RULES if r[0] == rule_id(s))[1]} AS cwe_id FROM (SELECT *, {e} AS m FROM blank) WHERE m IS NOT NULL" for s, e in RULE_SQL.items()) + """)
+@query("det_17_feature_vectors", "scoped", "hits", sql=f"""
+, h AS (SELECT h.*, v.cwe_id FROM hits h LEFT JOIN {values([(r[0], r[1]) for r in fv.DETECTION_RULES if r[1] is not None], 'rule, cwe_id')} ON v.rule = h.rule_id)
 SELECT h.file_path, h.line_no AS line_number, h.rule_id, h.cwe_id, 'php' AS file_extension, CAST(starts_with(h.file_path,'src/tests/') AS INT) AS is_test_file, CAST(cc AS INT) AS cyclomatic_complexity, sanitizer AS has_sanitizer_in_ast, CAST(depth AS INT) AS line_depth, CAST(0 AS DOUBLE) AS rate, 'unknown' AS author, -2 AS taint_steps
 FROM h JOIN scoped s ON s.file_path=h.file_path AND s.line_no=h.line_no""")
 def _(t):
@@ -187,7 +184,7 @@ def _(t):
                           F.col(v + "developer_experience_lvl").alias("author"), v + "taint_steps")
 
 
-@query("ud_01_custom_rule", "code", sql="SELECT file_path, line_no AS line_number, 'team.no-config' AS rule_id, 'config() is read here' AS message FROM code WHERE regexp_matches(code, '\\bconfig\\(')")
+@query("ud_01_custom_rule", "code", sql="SELECT file_path, line_no AS line_number, 'team.no-config' AS rule_id, 'config() is read here' AS message FROM code WHERE tpl = 5")
 def _(t):
     rule = detect.Rule("team.no-config", None, "LOW", "reads configuration", lambda c: F.when(c.rlike(r"\bconfig\("), "config() is read here"))
     detect.register_rule(rule)

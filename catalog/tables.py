@@ -25,7 +25,13 @@ CODE = ["function f%d($a) {", '    $v1 = $_GET["k%d"];', "    $v2 = trim($v1) .
         "    foreach ($v2 as $i) { $h = md5($password); } // %d", "    User::create($request->all()); // %d",
         '    $api_key = "k%d-winnow-sample-0000";', "    $c = file_get_contents(basename($v3)); // %d",
         '    $d = unserialize($_POST["p"]); DB::select("SELECT 1 FROM t WHERE x = $v1"); // %d',
-        "    $n = 40 + %d; return $n ? 1 : 2;"]
+        "    $n = 40 + %d; return $n ? 1 : 2;",
+    '    system($a); system($v1); exec("id"); exec($v2); // %d',
+    '    mysqli_query($link, "SELECT " . $v2); copy($v1, "/tmp/c%d");',
+    '    $x = request("q%d"); echo $x;',
+    "    $o = `ls $v1`; // %d",
+    "    $v2 = trim($v2); // %d",
+]
 
 CTE: dict[str, tuple[list[str], str]] = {}
 
@@ -112,7 +118,8 @@ CTE["commits"] = ([], """
 SELECT o_orderkey AS commit_id, 'dev-' || c_nationkey || '-' || c_mktsegment AS author FROM orders JOIN customer ON o_custkey=c_custkey""")
 CTE["code_lines"] = ([], f"""
 SELECT {pick('doc_id % 4', ['app/', 'src/tests/', 'Vendor/', 'lib/public/'])} || source || '/D' || doc_id || '.php' AS file_path,
-  doc_id, CAST(line_no AS INT) AS line_no, replace({pick(f'(line_no*5+doc_id) % {len(CODE)}', CODE)}, '%d', CAST(doc_id % 9 AS VARCHAR)) || ' // ' || t AS text
+  doc_id, CAST(line_no AS INT) AS line_no, (line_no*5+doc_id) % {len(CODE)} AS tpl, length(t) % 9 AS digit,
+  replace({pick(f'(line_no*5+doc_id) % {len(CODE)}', CODE)}, '%d', CAST(length(t) % 9 AS VARCHAR)) || ' // ' || t AS text
 FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)""")
 
 # ---- derived expressions shared by several oracles ---------------------------

@@ -109,3 +109,118 @@ def test_scopes_of_a_long_file(spark, monkeypatch):
     assert got[1] == got[2] == (None, 0, 1)
     assert {got[i] for i in range(3, second)} == {(3, i - 3, 3) for i in range(3, second)}
     assert {got[i] for i in range(second, second + 10)} == {(second, i, 10) for i in range(10)}
+
+
+def lines(spark, *files):
+    rows = [(f"{k}.php", i + 1, t) for k, text in enumerate(files) for i, t in enumerate(text.split("\n"))]
+    return spark.createDataFrame(rows, "file_path string, line_no int, text string")
+
+
+def test_every_call_of_a_line_is_a_finding(spark):
+    code = ("system($a); system($b); exec($c);", "exec(system($q)); exec('ls'); $x = `ls $d` . `id`;", "echo e($x); echo $y; print $z; echo htmlspecialchars($n);",
+            "md5($password); sha1($f); md5('x');", "mysqli_query($link, 'SELECT 1'); mysqli_query($link, $s); DB::select($s, [1]);",
+            'include $a; include "b.php"; unlink("t/" . $c); fopen($d);', '$secret = "abcdefabcdef1"; $token = "changeme-changeme"; $password = "qwertyqwerty1";')
+    got = {}
+    for r in detect.scan_lines(lines(spark, "\n".join(code))).orderBy("rule_id", "occurrence").collect():
+        got.setdefault((r["line_number"], r["rule_id"].split(".")[-1]), []).append((r["occurrence"], r["message"]))
+    assert {k: [n for n, _ in v] for k, v in got.items()} == {
+        (1, "command-injection"): [1, 2, 3], (2, "command-injection"): [1, 2, 3, 4], (3, "xss-unescaped-output"): [1, 2], (4, "weak-hashing"): [1, 2, 3],
+        (5, "sql-injection"): [1, 2], (6, "path-traversal"): [1, 2, 3], (7, "hardcoded-secret"): [1, 2]}
+    assert [m.split("(")[0] for _, m in got[4, "weak-hashing"]] == ["md5", "sha1", "md5"]
+    assert [m for _, m in got[2, "command-injection"]][:2] == ["Backtick shell execution"] * 2
+
+
+def test_a_rule_of_ones_own_may_give_one_message_or_several(spark):
+    from pyspark.sql import functions as F
+
+    one = detect.Rule("t.one", None, "LOW", "", lambda c: F.when(c.contains("x"), "m"))
+    many = detect.Rule("t.many", 7, "LOW", "", lambda c: F.transform(F.regexp_extract_all(c, F.lit("x"), F.lit(0)), lambda g: F.lit("m")))
+    detect.register_rule(one)
+    detect.register_rule(many)
+    try:
+        found = detect.scan_lines(lines(spark, "x x x\ny"), ["t.one", "t.many"]).collect()
+    finally:
+        detect.RULES.pop("t.one"), detect.RULES.pop("t.many")
+    assert sorted((r["rule_id"], r["occurrence"], r["cwe_id"]) for r in found) == [("t.many", 1, 7), ("t.many", 2, 7), ("t.many", 3, 7), ("t.one", 1, None)]
+
+
+@pytest.mark.parametrize("code,sinks", [
+    ("copy($a, f($b, 'x)')); rename($c);", [("copy", ["$a", "f($b, 'x)')"]), ("rename", ["$c"])]),
+    ("pg_query($link, $sql); pg_query($only); mysqli_query($l, \"a, $b\", 1);", [("pg_query", ["$sql"]), ("pg_query", ["$only"]), ("mysqli_query", ['"a, $b"'])]),
+    ("printf('%s', $a, [1, 2]); vprintf();", [("printf", ["'%s'", "$a", "[1, 2]"]), ("vprintf", [])]),
+    ("echo $a, 'b'; print($c); include_once dirname(__FILE__) . '/x';", [("echo", ["$a", "'b'"]), ("print", ["($c)"]), ("include", ["dirname(__FILE__) . '/x'"])]),
+    ("$r = `ls $a $b`;", [("backtick", ["$a", "$b"])]),
+    ("eval($b); system($a); echo $a;", [("system", ["$a"]), ("echo", ["$a"])]),
+    ("$o->exec($a); A::copy($b); function system($c) { }", []),
+    ("$s = 'system($x)'; // exec($y)", []),
+    ("\\exec($a); $db->query($q)->fetch(); DB::statement('x');", [("exec", ["$a"]), ("query", ["$q"]), ("statement", ["'x'"])]),
+])
+def test_arguments_by_balanced_brackets(spark, code, sinks):
+    found = lines(spark, code).select(detect.sinks_in(detect.code_only("text")).alias("s")).first()["s"]
+    assert [(x["name"], x["arguments"]) for x in found] == sinks
+
+
+def test_methods_that_only_a_hint_makes_sinks(spark):
+    from pyspark.sql import functions as F
+
+    df = lines(spark, "User::create($a); $st->execute([$b]); $st->bindValue(1, $c); $pdo->exec($d); system($e);")
+    found = {h: [(x["name"], x["arguments"], x["bound"]) for x in df.select(detect.sinks_in(detect.code_only("text"), F.lit(h)).alias("s")).first()["s"]]
+             for h in ("mass_assignment", "sql_query", "command_execution")}
+    assert found == {
+        "mass_assignment": [("create", ["$a"], False)],
+        "sql_query": [("execute", ["[$b]"], True), ("bindvalue", ["$c"], True), ("exec", ["$d"], False)],
+        "command_execution": [("system", ["$e"], False)]}
+
+
+def test_statements_go_on_over_open_brackets(spark, monkeypatch):
+    code = "<?php\n$x = f(\n  $_GET['a'],\n  [1,\n  2]);\nmysqli_query(\n  $link,\n  $x\n); exec($x);\n)\necho 1;"
+    for size in (4096, 2):
+        monkeypatch.setattr(detect, "SCOPE_BLOCK", size)
+        found = {r["line_no"]: r["_code"].count("\n") for r in detect.statements(lines(spark, code)).collect()}
+        assert found == {1: 0, 2: 3, 6: 3, 10: 0, 11: 0}
+    traced = {(r["line_no"], r["sink_name"]): r for r in dataflow.trace(lines(spark, code)).collect()}
+    assert set(traced) == {(6, "mysqli_query"), (9, "exec"), (11, "echo")}
+    assert traced[6, "mysqli_query"]["attacker_reachable_context"] == traced[9, "exec"]["attacker_reachable_context"] == "query"
+    monkeypatch.setattr(detect, "STATEMENT_LINES", 3)
+    open_file = "f(\n" + "\n".join("exec($a);" for _ in range(9))
+    assert {r["line_no"] for r in detect.statements(lines(spark, open_file)).collect()} == {1, *range(4, 11)}
+
+
+def test_flow_through_reassignments_helpers_and_arguments(spark):
+    """T1 to T4, loops, order on one line, single quotes, raw bodies, bound parameters."""
+    files = [
+        '$x = $_GET["q"];\n$x = trim($x);\necho $x;',
+        "$sql = 'a' . $_POST['b'];\nmysqli_query($link, $sql);",
+        "$x = request('q');\necho $x;",
+        "$d = $_COOKIE['d'];\n$o = `ls $d`;",
+        "$a = $a . 'x';\nexec($a);",
+        "exec($a); $a = $_GET['x']; exec($a);",
+        "$v = $_GET['v'];\necho 'costs $v';",
+        "$b = file_get_contents('php://input');\nunserialize($b);",
+        "$a = request()->query('x');\n$b = $a;\n$a = 'safe';\ncopy($a, $b);",
+        "echo request()->all()['x'], $_POST['y'];",
+        "$n = 5;\nprintf('%d', $n);",
+    ]
+    got = {}
+    for r in dataflow.trace(lines(spark, *files)).orderBy("line_no", "sink_no").collect():
+        got.setdefault(int(r["file_path"][:-4]), []).append((r["sink_name"], r["reaches_request_input"], r["attacker_reachable_context"], r["taint_steps"], r["argument_shape"]))
+    assert got == {
+        0: [("echo", 1, "query", 2, "variable")],
+        1: [("mysqli_query", 1, "body", 1, "variable")],
+        2: [("echo", 1, "request", 1, "variable")],
+        3: [("backtick", 1, "cookie", 1, "variable")],
+        4: [("exec", 0, "unknown", 1, "variable")],
+        5: [("exec", 0, "unknown", 0, "variable"), ("exec", 1, "query", 1, "variable")],
+        6: [("echo", 0, "none", 0, "literal")],
+        7: [("file_get_contents", 0, "none", 0, "literal"), ("unserialize", 1, "raw_body", 1, "variable")],
+        8: [("query", 0, "none", 0, "literal"), ("copy", 1, "query", 3, "multiple")],
+        9: [("echo", 1, "mixed", 0, "multiple")],
+        10: [("printf", 0, "none", 1, "multiple")],
+    }
+
+
+def test_the_states_of_a_trace_are_few(spark):
+    """Many ways through the same assignments are one state each."""
+    code = "$a0 = $_GET['x'];\n$b0 = 1;\n" + "\n".join(f"$a{i} = $a{i - 1} . $b{i - 1};\n$b{i} = $a{i - 1} . $b{i - 1};" for i in range(1, 9)) + "\nexec($a8 . $b8);"
+    r, = dataflow.trace(lines(spark, code)).collect()
+    assert (r["reaches_request_input"], r["taint_steps"]) == (1, 18)

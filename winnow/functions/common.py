@@ -12,6 +12,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, also where the body's lambdas use it for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def text(c) -> Column:
     """Null as the empty string."""
     return F.coalesce(col(c).cast("string"), F.lit(""))

@@ -1,8 +1,10 @@
 """Detection rules and code features over source lines.
 
-Line-local approximation of what a parser would see: comments are cut, the
-first argument of a call decides, and every rule reports a line once.  All rules
-are one projection over the lines, so a scan is a single narrow pass.
+Line-local approximation of what a parser would see: comments are cut and the
+first argument of a call decides.  Every call of a line is a finding of its own,
+numbered per rule.  All rules are one projection over the lines, so a scan is a
+single narrow pass.  Sinks come from the tokens of whole statements: brackets
+opened on one line may close on a later one.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from winnow import fixed_values as fv
 from winnow.functions import scoring
-from winnow.functions.common import any_of, col
+from winnow.functions.common import any_of, col, let
 
 MSG = fv.DETECTION_MESSAGES
 
@@ -30,19 +32,27 @@ BUILT = r"""\s*(?:"[^"]*\$[^"]*"|(?:"[^"]*"|'[^']*')\s*\.|\$[\w\[\]'">-]+\s*\.\s
 REQUEST = (
     r"(?:\$_(?:GET|POST|REQUEST|COOKIE)\b|\$?\w+(?:\(\))?->" + any_of(fv.REQUEST_READ_METHODS) + r"\s*\()"
 )
+NO_NAME_BEFORE = r"(?<![\w>:$])"
+
+
+def _calls(names) -> str:
+    """Calls of plain functions, wherever on the line: what stands before is looked at, not consumed."""
+    return NO_NAME_BEFORE + any_of(names) + r"\s*\("
+
+
 SQL_CALL = (
-    r"(?i)(?:\bDB::" + any_of(fv.DB_STATIC_METHODS) + r"|->" + any_of([*fv.BUILDER_RAW_METHODS, "raw"])
-    + r"|" + CALL_START + r"(?:mysqli_query|pg_query))\s*\((?:\$\w+\s*,)?"
+    r"(?i)(?:(?:\bDB::" + any_of(fv.DB_STATIC_METHODS) + r"|->" + any_of([*fv.BUILDER_RAW_METHODS, "raw"])
+    + r")\s*\(|" + NO_NAME_BEFORE + r"(?:mysqli_query|pg_query)\s*\((?:\$\w+\s*,)?+)"
 )
-SHELL_CALL = r"(?i)" + CALL_START + any_of(fv.SHELL_FUNCTIONS) + r"\s*\("
-UNSERIALIZE = r"(?i)" + CALL_START + r"unserialize\s*\("
+SHELL_CALL = r"(?i)" + _calls(fv.SHELL_FUNCTIONS)
+UNSERIALIZE = r"(?i)" + _calls(["unserialize"])
 INCLUDE = r"(?i)\b(?:include|require)(?:_once)?\b\s*\(?"
-FILE_CALL = r"(?i)" + CALL_START + any_of(fv.FILE_FUNCTIONS) + r"\s*\("
-OUTPUT = r"(?i)\b(?:echo|print)\b\s*\(?"
-ESCAPER = r"(?i)" + CALL_START + any_of(fv.OUTPUT_ESCAPERS) + r"\s*\("
-ASSIGN_CALL = r"(?i)(?:::|->)" + any_of(fv.ASSIGNING_METHODS) + r"\s*\([^;]*"
-HASH_CALL = r"(?i)" + CALL_START + "(" + "|".join(fv.WEAK_HASHES) + r")\s*\("
-HASH_CREDENTIAL = HASH_CALL + r"[^)]*(?:\$|->|\[['\"])\w*" + any_of(fv.CREDENTIAL_HINTS)
+FILE_CALL = r"(?i)" + _calls(fv.FILE_FUNCTIONS)
+#: an escaper anywhere in the statement's rest makes the output escaped
+OUTPUT = r"(?i)\b(?:echo|print)\b\s*\(?(?![^;]*" + NO_NAME_BEFORE + any_of(fv.OUTPUT_ESCAPERS) + r"\s*\()"
+ASSIGN_CALL = r"(?i)(?:::|->)" + any_of(fv.ASSIGNING_METHODS) + r"\s*\("
+HASH_CALL = r"(?i)" + NO_NAME_BEFORE + "(" + "|".join(fv.WEAK_HASHES) + r")\s*\("
+CREDENTIAL = r"[^)]*(?:\$|->|\[['\"])\w*" + any_of(fv.CREDENTIAL_HINTS)
 SECRET = r"""(?i)(?:api_?key|token|secret|password|passwd|credential)\w*['"]?\]?\s*(?:=>|=)\s*['"]([^'"\s|]{12,})['"]"""
 PLACEHOLDER = r"(?i)" + any_of(fv.SECRET_PLACEHOLDERS)
 
@@ -58,7 +68,7 @@ def blank_strings(code) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """A detection rule: ``match`` gives the message, or null for no hit."""
+    """A detection rule: ``match`` gives the messages of all hits on a line, in order; one message (or null) counts as one hit."""
 
     id: str
     cwe: int | None
@@ -67,45 +77,56 @@ class Rule:
     match: Callable[[Column], Column]
 
 
+def every(code: Column, start: str, *kinds: tuple[str, str]) -> Column:
+    """A message for each match of ``start`` that is followed by one of the kinds (pattern, message), the first that fits."""
+    found = [F.regexp_extract_all(code, F.lit(start + f"(?=({pattern})|)(?=" + "|".join(p for p, _ in kinds) + ")"), F.lit(1)) for pattern, _ in kinds]
+    out = F.transform(found[-1], lambda g: F.lit(kinds[-1][1]))
+    for fits, (_, message) in reversed(list(zip(found[:-1], kinds[:-1]))):
+        out = _prefer(fits, message, out)
+    return out
+
+
+def _prefer(fits: Column, message: str, others: Column) -> Column:
+    return F.zip_with(fits, others, lambda g, other: F.when(g != "", F.lit(message)).otherwise(other))
+
+
 def _sql(c):
-    return F.when(c.rlike(SQL_CALL + BUILT), MSG["sql_built"]).when(c.rlike(SQL_CALL + DYNAMIC), MSG["sql_dynamic"])
+    return every(c, SQL_CALL, (BUILT, MSG["sql_built"]), (DYNAMIC, MSG["sql_dynamic"]))
 
 
 def _command(c):
-    return F.when(blank_strings(c).rlike(r"`[^`]*`"), MSG["shell_backtick"]).when(
-        c.rlike(SHELL_CALL + DYNAMIC), MSG["shell_dynamic"])
+    ticks = F.transform(F.regexp_extract_all(blank_strings(c), F.lit("`[^`]*`"), F.lit(0)), lambda x: F.lit(MSG["shell_backtick"]))
+    return F.concat(ticks, every(c, SHELL_CALL, (DYNAMIC, MSG["shell_dynamic"])))
 
 
 def _unserialize(c):
-    return F.when(c.rlike(UNSERIALIZE + r"\s*" + REQUEST), MSG["unserialize_request"]).when(
-        c.rlike(UNSERIALIZE + DYNAMIC), MSG["unserialize_dynamic"])
+    return every(c, UNSERIALIZE, (r"\s*" + REQUEST, MSG["unserialize_request"]), (DYNAMIC, MSG["unserialize_dynamic"]))
 
 
 def _path(c):
-    return (
-        F.when(c.rlike(INCLUDE + DYNAMIC), MSG["include_dynamic"])
-        .when(c.rlike(FILE_CALL + BUILT), MSG["path_built"])
-        .when(c.rlike(FILE_CALL + DYNAMIC), MSG["path_dynamic"])
+    return F.concat(
+        every(c, INCLUDE, (DYNAMIC, MSG["include_dynamic"])),
+        every(c, FILE_CALL, (BUILT, MSG["path_built"]), (DYNAMIC, MSG["path_dynamic"])),
     )
 
 
 def _output(c):
-    return F.when(c.rlike(OUTPUT + DYNAMIC) & ~c.rlike(ESCAPER), MSG["output_unescaped"])
+    return every(c, OUTPUT, (DYNAMIC, MSG["output_unescaped"]))
 
 
 def _mass(c):
-    return F.when(c.rlike(ASSIGN_CALL + REQUEST), MSG["mass_assignment"])
+    return every(c, ASSIGN_CALL, (r"[^;]*" + REQUEST, MSG["mass_assignment"]))
 
 
 def _hash(c):
-    name = F.regexp_extract(c, HASH_CALL, 1)
-    return F.when(c.rlike(HASH_CREDENTIAL), F.concat(name, F.lit(MSG["hash_credential"]))).when(
-        name != "", F.concat(name, F.lit(MSG["hash_weak"])))
+    names = F.regexp_extract_all(c, F.lit(HASH_CALL), F.lit(1))
+    credential = F.regexp_extract_all(c, F.lit(HASH_CALL + f"(?=({CREDENTIAL})|)"), F.lit(2))
+    return F.zip_with(names, credential, lambda n, g: F.concat(n, F.when(g != "", MSG["hash_credential"]).otherwise(MSG["hash_weak"])))
 
 
 def _secret(c):
-    value = F.regexp_extract(c, SECRET, 1)
-    return F.when((value != "") & ~value.rlike(PLACEHOLDER), MSG["secret"])
+    values = F.regexp_extract_all(c, F.lit(SECRET), F.lit(1))
+    return F.transform(F.filter(values, lambda v: ~v.rlike(PLACEHOLDER)), lambda v: F.lit(MSG["secret"]))
 
 
 _MATCHERS = [_sql, _command, _unserialize, _path, _output, _mass, _hash, _secret]
@@ -121,27 +142,27 @@ def register_rule(rule: Rule) -> None:
 
 
 def scan_lines(lines: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """Normalized findings of every rule on every line."""
+    """Normalized findings of every rule on every line; ``occurrence`` numbers the calls of one rule on one line."""
     chosen = [RULES[r] for r in (rules or RULES)]
-    hits = F.array_compact(F.array(*[_hit(r) for r in chosen]))
-    out = lines.withColumn("_code", code_only("text")).withColumn("_hit", F.explode(hits))
+    code = lines.withColumn("_code", code_only("text"))
+    kinds = {r.id: code.select(r.match(F.col("_code")).alias("m")).schema["m"].dataType.typeName() for r in chosen}
+    hits = F.flatten(F.array(*[_hits(r, kinds[r.id] == "array") for r in chosen]))
+    out = code.withColumn("_hit", F.explode(hits))
     keep = [c for c in lines.columns if c not in ("text", "line_no")]
     return out.select(
         *keep, F.col("_hit.rule_id").alias("rule_id"), F.col("_hit.cwe_id").alias("cwe_id"),
         F.greatest(F.lit(1), F.col("line_no")).alias("line_number"), F.col("_hit.severity").alias("severity"),
-        F.col("_hit.message").alias("message"), F.trim("text").alias("snippet"),
+        F.col("_hit.message").alias("message"), F.trim("text").alias("snippet"), F.col("_hit.occurrence").alias("occurrence"),
     )
 
 
-def _hit(rule: Rule) -> Column:
-    message = rule.match(F.col("_code"))
-    return F.when(
-        message.isNotNull(),
-        F.struct(
-            F.lit(rule.id).alias("rule_id"), F.lit(rule.cwe).cast("int").alias("cwe_id"),
-            F.lit(rule.severity).alias("severity"), message.alias("message"),
-        ),
-    )
+def _hits(rule: Rule, several: bool) -> Column:
+    found = rule.match(F.col("_code"))
+    messages = found if several else F.array_compact(F.array(found))
+    return F.transform(messages, lambda m, i: F.struct(
+        F.lit(rule.id).alias("rule_id"), F.lit(rule.cwe).cast("int").alias("cwe_id"),
+        F.lit(rule.severity).alias("severity"), m.alias("message"), (i + 1).alias("occurrence"),
+    ))
 
 
 def scan_summary(lines: DataFrame, found: DataFrame) -> DataFrame:
@@ -203,56 +224,148 @@ FUNCTION_SINKS = {
     "deserialization": fv.SINK_CALLS["deserialization"],
     "html_output": fv.SINK_CALLS["html_output"],
 }
-METHOD_SINKS = {
-    "sql_query": ["query", "selectraw", "select", "statement", "unprepared", "prepare"],
+METHOD_SINKS = {"sql_query": ["query", "selectraw", "select", "statement", "unprepared", "prepare"]}
+#: a string, a shell string, a name, a variable, an operator that matters, or any character, each with the white space after it
+TOKEN = (
+    rf"(?s)(?:{STRING}|`(?:[^`\\]|\\.)*`|\$\w+|[A-Za-z_\\][\w\\]*|[0-9]+|\?->|->|::|=>|[=!<>]=+|[-+*/.%&|^?]=|.)\s*"
+)
+#: methods that are sinks only where the rule says so
+HINTED_METHODS = {
     "mass_assignment": fv.SINK_CALLS["mass_assignment"],
+    "sql_query": ["exec", "execute", "bindparam", "bindvalue"],
 }
-FIRST_ARGUMENT = r"""^\s*((?:[^,"'()]|\([^()]*\)|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')*)"""
+STATEMENT_SINKS = {"echo": ("html_output", "echo"), "print": ("html_output", "print"), **{
+    w: ("path_access", "include") for w in ("include", "include_once", "require", "require_once")}}
+LAST_ARGUMENT = ["mysql_query", "pg_query", "sqlite_query"]
+SECOND_ARGUMENT = ["mysqli_query", "mysqli_real_query", "mysqli_multi_query", "bindparam", "bindvalue"]
+FIRST_TWO = ["copy", "rename"]
+ALL_ARGUMENTS = ["printf", "vprintf", "echo", "execute"]
+MAYBE_SINK = r"(?i)`|->|::|\b" + any_of([*STATEMENT_SINKS, *(n for names in FUNCTION_SINKS.values() for n in names)]) + r"\b"
+
 
+def tokens(code) -> Column:
+    return F.regexp_extract_all(col(code), F.lit(TOKEN), F.lit(0))
 
-def sink_pattern(kind: str) -> str:
-    """Group 1 is the name of the sink, group 2 the rest of the line after its opening."""
-    options = []
-    if kind in FUNCTION_SINKS:
-        options.append(CALL_START + "(" + "|".join(FUNCTION_SINKS[kind]) + r")\s*\(")
-    if kind in METHOD_SINKS:
-        options.append(r"(?:->|::)(" + "|".join(METHOD_SINKS[kind]) + r")\s*\(")
-    if kind == "html_output":
-        options.append(r"\b(echo|print)\b\s*")
-    if kind == "path_access":
-        options.append(r"\b(include|include_once|require|require_once)\b\s*")
-    return "(?i)(?:" + "|".join(options) + ")(.*)$"
 
+def split_arguments(rest: Column) -> Column:
+    """The arguments at the head of ``rest``, tokens after an opening bracket or a statement's word.
+
+    Depth runs over the tokens; commas at depth zero cut; the closing bracket, a semicolon or the end finishes.
+    """
+    def step(s, t):
+        word, last = F.trim(F.regexp_replace(t, r"\s+$", "")), F.element_at(s["args"], -1)
+        added = F.concat(F.slice(s["args"], F.lit(1), F.size(s["args"]) - 1), F.array(F.concat(last, t)))
+        deeper, higher, flat = word.isin("(", "[", "{"), word.isin(")", "]", "}"), s["depth"] == 0
+        end = s["done"] | (flat & (higher | (word == ";")))
+        return F.struct(
+            F.when(end, s["depth"]).when(deeper, s["depth"] + 1).when(higher, s["depth"] - 1).otherwise(s["depth"]).alias("depth"),
+            end.alias("done"),
+            F.when(end, s["args"]).when(flat & (word == ","), F.concat(s["args"], F.array(F.lit("")))).otherwise(added).alias("args"),
+        )
 
-SINK_ORDER = ["command_execution", "sql_query", "path_access", "deserialization", "html_output"]
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.array(F.lit("")).alias("args"))
+    args = F.aggregate(rest, start, step, lambda s: s["args"])
+    return F.filter(F.transform(args, lambda a: F.regexp_replace(a, r"^\s+|\s+$", "")), lambda a: a != "")
 
 
-def _groups(kind: str) -> int:
-    return (kind in FUNCTION_SINKS) + (kind in METHOD_SINKS) + (kind in ("html_output", "path_access"))
+def _named(word: Column, names) -> Column:
+    return F.lower(word).isin(list(names))
 
 
-def _describe(kind: str, code: Column) -> Column:
-    n = _groups(kind)
-    name = F.concat(*[F.regexp_extract(code, sink_pattern(kind), i + 1) for i in range(n)])
-    rest = F.regexp_extract(code, sink_pattern(kind), n + 1)
-    argument = F.trim(F.regexp_replace(F.regexp_extract(rest, FIRST_ARGUMENT, 1), r"[\s;]+$", ""))
-    return F.when(
-        name != "",
-        F.struct(F.lit(kind).alias("kind"), F.lower(name).alias("name"), argument.alias("argument")),
+def sinks_in(code, hint=None) -> Column:
+    """All sinks of a statement in order: array of (kind, name, arguments that are traced, bound, nth token, lines before).
+
+    With a hint only sinks of that kind, and the methods that only it makes sinks.
+    """
+    h = F.lit(None).cast("string") if hint is None else col(hint)
+    full = let(tokens(code), lambda raw: let(F.transform(raw, lambda t: F.regexp_replace(t, r"\s+$", "")), lambda words: _sinks(raw, words, h)))
+    return F.when(col(code).rlike(MAYBE_SINK), full).otherwise(F.array().cast(
+        "array<struct<kind:string,name:string,arguments:array<string>,bound:boolean,nth:int,down:int>>"))
+
+
+def _sinks(raw: Column, every_token: Column, h: Column) -> Column:
+    """The sinks among the tokens of a statement, with and without the white space after them."""
+    def describe(t, i):
+        return F.when(t.rlike(r"^[A-Za-z_\\`]"), named(t, i))
+
+    def named(t, i):
+        before = F.when(i > 0, F.get(every_token, i - 1))
+        after = F.get(every_token, i + 1)
+        call, method = after == "(", before.isin("->", "?->", "::")
+        word = F.lower(F.regexp_replace(t, r"^\\", ""))
+        kind = F.when(F.substring(t, 1, 1) == "`", "command_execution")
+        for w, (k, _) in STATEMENT_SINKS.items():
+            kind = kind.when((word == w) & F.coalesce(~method, F.lit(True)), k)
+        plain = F.coalesce(~before.isin("->", "?->", "::", "function", "new"), F.lit(True))
+        for k, names in FUNCTION_SINKS.items():
+            kind = kind.when(call & plain & _named(word, names), k)
+        kind = kind.when(call & method & _named(word, METHOD_SINKS["sql_query"]), "sql_query")
+        for k, names in HINTED_METHODS.items():
+            kind = kind.when((h == k) & call & method & _named(word, names), k)
+        return F.when(kind.isNotNull() & (h.isNull() | (h == kind)), F.struct(kind.alias("kind"), word.alias("word"), i.alias("nth")))
+
+    def traced(x):
+        tick = F.substring(x["word"], 1, 1) == "`"
+        statement = _named(x["word"], STATEMENT_SINKS)
+        args = split_arguments(F.slice(raw, x["nth"] + F.when(statement, 2).otherwise(3), F.greatest(F.lit(0), F.size(raw))))
+        one, w = F.slice(args, 1, 1), x["word"]
+        chosen = (
+            F.when(tick, F.regexp_extract_all(F.get(raw, x["nth"]), F.lit(r"\$\w+"), F.lit(0)))
+            .when(w.isin(*LAST_ARGUMENT), F.slice(args, F.greatest(F.size(args), F.lit(1)), 1)).when(w.isin(*SECOND_ARGUMENT), F.slice(args, 2, 1))
+            .when(w.isin(*FIRST_TWO), F.slice(args, 1, 2)).when(w.isin(*ALL_ARGUMENTS), args).otherwise(one)
+        )
+        name = F.when(tick, "backtick")
+        for word, (_, n) in STATEMENT_SINKS.items():
+            name = name.when(w == word, n)
+        before = F.array_join(F.slice(raw, F.lit(1), x["nth"]), "")
+        return F.struct(
+            x["kind"].alias("kind"), name.otherwise(w).alias("name"), chosen.alias("arguments"), w.isin("execute", "bindparam", "bindvalue").alias("bound"),
+            x["nth"].alias("nth"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).alias("down"),
+        )
+
+    return F.transform(F.array_compact(F.transform(every_token, describe)), traced)
+
+
+#: lines of the longest statement; brackets left open beyond are a broken file, whose lines then stand for themselves
+STATEMENT_LINES = 256
+
+
+def statements(lines: DataFrame, keys=("file_path",), extra=()) -> DataFrame:
+    """Code joined over open brackets: keys, line_no (of the first line), _code, and ``extra`` columns of the first line.
+
+    The depth before a line is a prefix sum of its file in two levels, within
+    blocks of lines and over blocks, so a file may be of any length.
+    """
+    keys = list(keys)
+    rows = lines.withColumn("_code", code_only("text"))
+    bare = F.regexp_replace(blank_strings("_code"), "`[^`]*`", "")
+    net = F.length(F.regexp_replace(bare, r"[^(\[]", "")) - F.length(F.regexp_replace(bare, r"[^)\]]", ""))
+    rows = rows.select(*keys, "line_no", "_code", net.alias("_net"), F.floor(F.col("line_no") / SCOPE_BLOCK).alias("_block"), *extra)
+    blocks = rows.groupBy(*keys, "_block").agg(F.sum("_net").alias("_sum"))
+    over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_far"))
+    near = Window.partitionBy(*keys, "_block").orderBy("line_no")
+    upto = near.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_near", F.coalesce(F.sum("_net").over(upto), F.lit(0))).join(blocks, [*keys, "_block"])
+    # a block begins a statement of its own only where no bracket is open
+    rows = rows.withColumn("_start", F.when(F.col("_near") + F.col("_far") <= 0, F.col("line_no")))
+    rows = rows.withColumn("_last", F.last("_start", ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    heads = rows.groupBy(*keys, "_block").agg(F.max("_start").alias("_head"))
+    heads = heads.select(*keys, "_block", F.last("_head", ignorenulls=True).over(over).alias("_before"))
+    rows = rows.join(heads, [*keys, "_block"]).withColumn("_of", F.coalesce("_last", "_before", "line_no"))
+    rows = rows.withColumn("_of", F.when(F.col("line_no") - F.col("_of") < STATEMENT_LINES, F.col("_of")).otherwise(F.col("line_no")))
+    line = F.struct("line_no", "_code", *extra)
+    joined = rows.groupBy(*keys, "_of").agg(F.array_sort(F.collect_list(line)).alias("_lines"))
+    return joined.select(
+        *keys, F.col("_of").cast("int").alias("line_no"), F.array_join(F.transform("_lines", lambda x: x["_code"]), "\n").alias("_code"),
+        *[F.col("_lines")[0][c].alias(c) for c in extra],
     )
 
 
-def sink_on_line(code, hint=None) -> Column:
-    """struct(kind, name, argument): of the hinted kind if there is a hint, else of the first kind found."""
-    c = col(code)
-    if hint is None:
-        return F.coalesce(*[_describe(k, c) for k in SINK_ORDER])
-    h = col(hint)
-    every = F.coalesce(*[_describe(k, c) for k in SINK_ORDER])
-    out = F.when(h.isNull(), every)
-    for k in [*SINK_ORDER, "mass_assignment"]:
-        out = out.when(h == k, _describe(k, c))
-    return out
+def arguments_shape(arguments) -> Column:
+    """Shape of a sink's traced arguments: none, multiple, or that of the one."""
+    a = col(arguments)
+    return F.when(F.size(a) == 0, "none").when(F.size(a) > 1, "multiple").otherwise(argument_shape(F.get(a, 0)))
 
 
 def argument_shape(argument) -> Column:

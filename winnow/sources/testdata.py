@@ -45,6 +45,11 @@ CODE_LINES = [
     "    $c = file_get_contents(basename($v3)); // %d",
     '    $d = unserialize($_POST["p"]); DB::select("SELECT 1 FROM t WHERE x = $v1"); // %d',
     "    $n = 40 + %d; return $n ? 1 : 2;",
+    '    system($a); system($v1); exec("id"); exec($v2); // %d',
+    '    mysqli_query($link, "SELECT " . $v2); copy($v1, "/tmp/c%d");',
+    '    $x = request("q%d"); echo $x;',
+    "    $o = `ls $v1`; // %d",
+    "    $v2 = trim($v2); // %d",
 ]
 
 
@@ -268,12 +273,12 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a source file: every line is code plus its text as a comment."""
+    """Each document as a source file: every line is code with a digit from its text, and the text as a comment."""
     from winnow.sources.files import explode_lines
 
     lines = explode_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     folders = ["app/", "src/tests/", "Vendor/", "lib/public/"]
-    code = f"replace({_pick(f'(line_no * 5 + doc_id) % {len(CODE_LINES)}', CODE_LINES)}, '%d', string(doc_id % 9))"
+    code = f"replace({_pick(f'(line_no * 5 + doc_id) % {len(CODE_LINES)}', CODE_LINES)}, '%d', string(length(text) % 9))"
     return _columns(lines, {
         "file_path": f"concat({_pick('doc_id % 4', folders)}, source, '/D', doc_id, '.php')",
         "text": f"concat({code}, ' // ', text)",
