@@ -333,33 +333,30 @@ STATEMENT_LINES = 256
 def statements(lines: DataFrame, keys=("file_path",), extra=()) -> DataFrame:
     """Code joined over open brackets: keys, line_no (of the first line), _code, and ``extra`` columns of the first line.
 
-    The depth before a line is a prefix sum of its file in two levels, within
-    blocks of lines and over blocks, so a file may be of any length.
+    The depth before a line is a prefix sum over the few lines of its file that
+    leave a bracket open or close one, and only they are sorted.  Lines of one
+    line's statements, nearly all, stay where they are; the others are joined.
     """
     keys = list(keys)
-    rows = lines.withColumn("_code", code_only("text"))
+    rows = lines.select(*keys, "line_no", code_only("text").alias("_code"), *extra)
     bare = F.regexp_replace(blank_strings("_code"), "`[^`]*`", "")
     net = F.length(F.regexp_replace(bare, r"[^(\[]", "")) - F.length(F.regexp_replace(bare, r"[^)\]]", ""))
-    rows = rows.select(*keys, "line_no", "_code", net.alias("_net"), F.floor(F.col("line_no") / SCOPE_BLOCK).alias("_block"), *extra)
-    blocks = rows.groupBy(*keys, "_block").agg(F.sum("_net").alias("_sum"))
-    over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*keys, "_block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_far"))
-    near = Window.partitionBy(*keys, "_block").orderBy("line_no")
-    upto = near.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_near", F.coalesce(F.sum("_net").over(upto), F.lit(0))).join(blocks, [*keys, "_block"])
-    # a block begins a statement of its own only where no bracket is open
-    rows = rows.withColumn("_start", F.when(F.col("_near") + F.col("_far") <= 0, F.col("line_no")))
-    rows = rows.withColumn("_last", F.last("_start", ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    heads = rows.groupBy(*keys, "_block").agg(F.max("_start").alias("_head"))
-    heads = heads.select(*keys, "_block", F.last("_head", ignorenulls=True).over(over).alias("_before"))
-    rows = rows.join(heads, [*keys, "_block"]).withColumn("_of", F.coalesce("_last", "_before", "line_no"))
-    rows = rows.withColumn("_of", F.when(F.col("line_no") - F.col("_of") < STATEMENT_LINES, F.col("_of")).otherwise(F.col("line_no")))
-    line = F.struct("line_no", "_code", *extra)
-    joined = rows.groupBy(*keys, "_of").agg(F.array_sort(F.collect_list(line)).alias("_lines"))
-    return joined.select(
+    uneven = rows.where(F.col("_code").rlike(r"[()\[\]]")).select(*keys, "line_no", net.alias("_net")).where("_net <> 0")
+    up = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    deep = uneven.withColumn("_after", F.sum("_net").over(up))
+    # from below: the nearest line further down that closes the last bracket
+    below = Window.partitionBy(*keys).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    deep = deep.withColumn("_end", F.last(F.when(F.col("_after") <= 0, F.col("line_no")), ignorenulls=True).over(below))
+    opened = deep.where((F.col("_after") > 0) & (F.col("_after") - F.col("_net") <= 0))
+    last = F.col("line_no") + F.lit(STATEMENT_LINES - 1)
+    spans = opened.select(*keys, F.col("line_no").alias("_of"), F.explode(F.sequence(F.col("line_no"), F.least(F.coalesce("_end", last), last))).alias("line_no"))
+    placed = rows.join(spans, [*keys, "line_no"], "left")
+    single = placed.where("_of IS NULL").select(*keys, F.col("line_no").cast("int").alias("line_no"), "_code", *extra)
+    joined = placed.where("_of IS NOT NULL").groupBy(*keys, "_of").agg(F.array_sort(F.collect_list(F.struct("line_no", "_code", *extra))).alias("_lines"))
+    return single.unionByName(joined.select(
         *keys, F.col("_of").cast("int").alias("line_no"), F.array_join(F.transform("_lines", lambda x: x["_code"]), "\n").alias("_code"),
         *[F.col("_lines")[0][c].alias(c) for c in extra],
-    )
+    ))
 
 
 def arguments_shape(arguments) -> Column:
