@@ -113,11 +113,25 @@ def _(t):
     return detect.scan_summary(t.code_lines, detect.scan_lines(t.code_lines))
 
 
-CTE["scoped"] = (["blank"], f"""
-SELECT *, CASE WHEN s IS NULL THEN 0 ELSE line_no-s END AS depth, CASE WHEN s IS NULL THEN 1 ELSE 1+sum(n) OVER (PARTITION BY file_path, s) END AS cc,
-  CASE WHEN s IS NOT NULL AND bool_or(san) OVER (PARTITION BY file_path, s) THEN 1 ELSE 0 END AS sanitizer
-FROM (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY file_path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS s FROM
- (SELECT *, CASE WHEN {rl('bare', D.SCOPE_HEADER)} THEN line_no END AS h, len(regexp_extract_all(regexp_replace(bare, {q(D.NOT_TERNARY)}, '', 'g'), {q(D.DECISION)})) AS n, {rl('bare', D.SANITIZER)} AS san FROM blank))""")
+#: what each kind of code line does to scopes, stated by hand: braces left open or closed, decisions, sanitizers; a kind that opens is a header
+BRACES = {0: 1, 18: 1, 19: -1, 20: -1}
+DECISIONS = {3: 2, 7: 1, 12: 1}
+SANITIZERS = [3]
+
+
+def by_kind(numbers):
+    return "CASE tpl " + " ".join(f"WHEN {k} THEN {v}" for k, v in numbers.items()) + " ELSE 0 END"
+
+
+CTE["scoped"] = (["code_lines"], f"""
+WITH l AS (SELECT *, {by_kind(BRACES)} AS b, {by_kind(DECISIONS)} AS n, tpl IN ({", ".join(map(str, SANITIZERS))}) AS san FROM code_lines)
+, d AS (SELECT *, sum(b) OVER (PARTITION BY file_path ORDER BY line_no) AS after, max(line_no) OVER (PARTITION BY file_path) AS eof FROM l)
+, span AS (SELECT h.file_path, h.line_no AS s, coalesce(min(e.line_no), any_value(h.eof)) AS e
+  FROM d h LEFT JOIN d e ON e.file_path=h.file_path AND e.line_no>h.line_no AND e.after<h.after WHERE h.b=1 GROUP BY 1, 2)
+, total AS (SELECT span.file_path, s, e, sum(n) AS n, bool_or(san) AS san FROM span JOIN l ON l.file_path=span.file_path AND line_no BETWEEN s AND e GROUP BY 1, 2, 3)
+, inner_most AS (SELECT l.file_path, line_no, max(s) AS s FROM l JOIN total t ON t.file_path=l.file_path AND line_no BETWEEN s AND e GROUP BY 1, 2)
+SELECT l.*, i.s, coalesce(l.line_no-i.s, 0) AS depth, 1+coalesce(t.n, 0) AS cc, CASE WHEN t.san THEN 1 ELSE 0 END AS sanitizer
+FROM l LEFT JOIN inner_most i ON i.file_path=l.file_path AND i.line_no=l.line_no LEFT JOIN total t ON t.file_path=l.file_path AND t.s=i.s""")
 
 
 @query("det_10_enclosing_scope", "scoped", sql="SELECT file_path, line_no, coalesce(s,0) AS scope_start, CAST(depth AS INT) AS depth FROM scoped")

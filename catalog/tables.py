@@ -31,6 +31,9 @@ CODE = ["function f%d($a) {", '    $v1 = $_GET["k%d"];', "    $v2 = trim($v1) .
     '    $x = request("q%d"); echo $x;',
     "    $o = `ls $v1`; // %d",
     "    $v2 = trim($v2); // %d",
+    "    $g%d = function ($v1) use ($v2) {",
+    "    }; // %d",
+    "} // %d",
 ]
 
 CTE: dict[str, tuple[list[str], str]] = {}

@@ -102,7 +102,7 @@ def test_argument_shape(spark, argument, shape):
 def test_scopes_of_a_long_file(spark, monkeypatch):
     """A file of many blocks has the scopes it would have as one group."""
     monkeypatch.setattr(detect, "SCOPE_BLOCK", 7)
-    text = ["function a() {", "if ($x) {", *["$y = 1;"] * 20, "trim($y);" , "for (;;) {}", "function b() {", *["while ($z) {}"] * 9]
+    text = ["function a() {", "if ($x) {", *["$y = 1;"] * 20, "trim($y);" , "for (;;) {}", "}}", "function b() {", *["while ($z) {}"] * 9]
     rows = spark.createDataFrame([("f", i, t) for i, t in enumerate(["<?php", "if ($q) {}", *text], 1)], "file_path string, line_no int, text string")
     got = {r["line_no"]: (r["scope_start"], r["line_depth_in_function"], r["cyclomatic_complexity"]) for r in detect.scope_features(rows).collect()}
     second = 3 + text.index("function b() {")
@@ -111,6 +111,51 @@ def test_scopes_of_a_long_file(spark, monkeypatch):
     assert {got[i] for i in range(second, second + 10)} == {(second, i, 10) for i in range(10)}
 
 
+NESTED = """<?php
+abstract class K {
+    abstract function m($x);
+    abstract function n(
+        $x
+    ): int;
+    public $p = 1;
+    function outer($a) { if ($a) { return 1; }
+        $f = function ($b) use ($a) {
+            return $b && $a;
+        };
+        $g = fn($z) => $z ? 1 : 2; while ($a) {}
+        $h = fn($z) => e2($z); $i = function () { return 1; };
+        echo "} {"; // }
+        return htmlspecialchars($a);
+    } function next() { }
+    const C = 1;
+}
+if ($top) { for (;;) {} }
+function open() {
+    case(1);""".split("\n")
+
+
+def test_scopes_end_and_nest(spark, monkeypatch):
+    """A line is in the scope that begins last of those it lies in; sums are the whole scope's; blocks change nothing."""
+    want = {  # line: start, complexity, sanitizer
+        3: (3, 1, 0), 4: (4, 1, 0), 5: (4, 1, 0), 6: (4, 1, 0), 8: (8, 5, 1), 9: (9, 2, 0), 10: (9, 2, 0), 11: (9, 2, 0),
+        12: (12, 3, 0), 13: (13, 1, 0), 14: (8, 5, 1), 15: (8, 5, 1), 16: (16, 1, 0), 20: (20, 2, 0), 21: (20, 2, 0)}
+    rows = [(f, i, t, f"x{i}") for f in ("a", "b") for i, t in enumerate(NESTED, 1)]
+    df = spark.createDataFrame(rows, "file_path string, line_no int, text string, note string")
+    for size in (4096, 7, 2, 1):
+        monkeypatch.setattr(detect, "SCOPE_BLOCK", size)
+        out = detect.scope_features(df)
+        assert out.columns == [*df.columns, "scope_start", "line_depth_in_function", "cyclomatic_complexity", "has_sanitizer_in_ast"]
+        got = {(r[0], r["line_no"]): r for r in out.collect()}
+        assert len(got) == len(rows) and all(r["note"] == f"x{r['line_no']}" for r in got.values())
+        for (_, i), r in got.items():
+            start, cc, san = want.get(i, (None, 1, 0))
+            assert (i, r["scope_start"], r["line_depth_in_function"], r["cyclomatic_complexity"], r["has_sanitizer_in_ast"]) == (i, start, i - start if start else 0, cc, san)
+
+
+def test_scopes_of_no_lines(spark):
+    assert detect.scope_features(spark.createDataFrame([], "file_path string, line_no int, text string")).collect() == []
+
+
 def lines(spark, *files):
     rows = [(f"{k}.php", i + 1, t) for k, text in enumerate(files) for i, t in enumerate(text.split("\n"))]
     return spark.createDataFrame(rows, "file_path string, line_no int, text string")

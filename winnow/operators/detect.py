@@ -181,38 +181,109 @@ SANITIZER = (
 )
 
 
+#: a function's header, an arrow function's, a brace, the end of a declaration without a body
+SCOPE_MARK = SCOPE_HEADER + r"|[{}]|^\s*\)\s*(?::[^;{}()]*)?;"
+SCOPE_MARK_AFTER_HEADER = SCOPE_HEADER + r"|[{};]"
 #: lines of a file in one block; a longer file is several tasks
 SCOPE_BLOCK = 4096
 
 
+def _scope_changes(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Where the innermost scope changes: keys, line_no (from which it holds), _own (holds on that line alone), _at, _scope.
+
+    Running sums of decisions and sanitizers are taken per block of lines; from
+    there on only lines with a header or a brace move, and the last of each block.
+    An opening brace of level n is closed by the next brace of level n, and after a
+    scope's end its parent is the last scope one less deep: both are windows per
+    level, in one pass over sorted marks, without a stack.
+    """
+    code, pos = F.col("_code"), ["line_no", "_i"]
+    kind = lambda m: F.when(m.rlike("^(?i)function"), "function").when(m.rlike("^(?i)fn"), "fn").otherwise(F.substring(m, -1, 1))
+    marks = F.when(code.rlike(SCOPE_HEADER), F.regexp_extract_all(code, F.lit(SCOPE_MARK_AFTER_HEADER), F.lit(0))).when(
+        code.rlike("[{}]|" + r"^\s*\)"), F.regexp_extract_all(code, F.lit(SCOPE_MARK), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    rows = lines.select(*keys, "line_no", blank_strings(code_only("text")).alias("_code")).select(
+        *keys, "line_no", F.floor(F.col("line_no") / SCOPE_BLOCK).alias("_block"), F.transform(marks, kind).alias("_marks"),
+        F.regexp_count(F.regexp_replace(code, NOT_TERNARY, ""), F.lit(DECISION)).cast("long").alias("_n"), code.rlike(SANITIZER).cast("long").alias("_s"))
+    block = Window.partitionBy(*keys, "_block").orderBy("line_no")
+    up = block.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*keys, "line_no", "_marks", "_n", "_s", F.sum("_n").over(up).alias("_pn"), F.sum("_s").over(up).alias("_ps"),
+                       F.lead("line_no").over(block).isNull().alias("_last")).where("_last OR size(_marks) > 0")
+    file = Window.partitionBy(*keys)
+    above = file.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    of_block = lambda c: F.when(F.col("_last"), F.col(c))
+    rows = rows.select(*keys, "line_no", "_marks", "_n", "_s", *[(F.col(c) + F.coalesce(F.sum(of_block(c)).over(above), F.lit(0))).alias(c) for c in ("_pn", "_ps")],
+                       F.max("line_no").over(file).alias("_eof"), *[F.sum(of_block(c)).over(file).alias("_t" + c[2:]) for c in ("_pn", "_ps")])
+    here = file.orderBy(*pos)
+    rows = rows.select("*", F.posexplode("_marks").alias("_i", "_mark")).drop("_marks")
+    step = F.when(F.col("_mark") == "{", 1).when(F.col("_mark") == "}", -1).otherwise(0)
+    rows = rows.withColumn("_head", F.lag(F.struct("_mark", *pos, "_pn", "_ps", "_n", "_s")).over(here)).withColumn(
+        "_depth", F.sum(step).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_level", F.when(F.col("_mark") == "{", F.col("_depth")).when(F.col("_mark") == "}", F.col("_depth") + 1))
+    rows = rows.withColumn("_close", F.lead(F.struct(*pos, "_pn", "_ps")).over(Window.partitionBy(*keys, "_level").orderBy(*pos)))
+
+    def scope(start, n, s):
+        return F.struct(start.cast("long").alias("start"), (n + 1).cast("int").alias("complexity"), (s > 0).cast("int").alias("sanitizer"))
+
+    def change(line, i, deeper, what):
+        return F.struct(line.cast("long").alias("_line"), i.alias("_i"), F.lit(deeper).alias("_deeper"), what.alias("_new"))
+
+    c, h, e = F.col, F.col("_head"), F.col("_close")
+    body = (c("_mark") == "{") & (h["_mark"] == "function")
+    bare = (c("_mark") == ";") & (h["_mark"] == "function")
+    arrow = c("_mark") == "fn"
+    nothing = F.lit(None).cast("struct<start:bigint,complexity:int,sanitizer:int>")
+    whole = scope(h["line_no"], F.coalesce(F.when(bare, c("_pn")), e["_pn"], c("_tn")) - h["_pn"] + h["_n"], F.coalesce(F.when(bare, c("_ps")), e["_ps"], c("_ts")) - h["_ps"] + h["_s"])
+    found = F.array_compact(F.array(
+        F.when(body | bare, change(h["line_no"], h["_i"], 1, whole)),
+        F.when(body & e.isNotNull(), change(e["line_no"], e["_i"], -1, nothing)),
+        F.when(bare, change(c("line_no"), c("_i"), -1, nothing)),
+        F.when(arrow, change(c("line_no"), c("_i"), 0, scope(c("line_no"), c("_n"), c("_s")))),
+    ))
+    rows = rows.select(*keys, "_eof", F.explode(found).alias("x")).select(*keys, "_eof", "x.*")
+    order = ["_line", "_i"]
+    here = file.orderBy(*order)
+    rows = rows.withColumn("_deep", F.sum("_deeper").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    level = Window.partitionBy(*keys, "_deep").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_scope", F.last(F.when(F.col("_deeper") == 1, F.col("_new")), ignorenulls=True).over(level))
+    # an end holds from the line after it; a change is repeated at the start of each later block it holds in
+    starts = F.col("_line") + F.when(F.col("_deeper") == -1, 1).otherwise(0)
+    rows = rows.withColumn("_from", starts).withColumn("_to", F.coalesce(F.lead("_from").over(here), F.col("_eof")))
+    number = lambda x: F.floor(F.col(x) / SCOPE_BLOCK)
+    later = F.when(number("_to") > number("_from"), F.transform(F.sequence(number("_from") + 1, number("_to")), lambda b: b * SCOPE_BLOCK))
+    at = F.explode(F.concat(F.array("_from"), F.coalesce(later, F.array().cast("array<bigint>"))))
+    own = F.when((F.col("_deeper") == 0), F.col("_new"))
+    return rows.select(*keys, at.alias("line_no"), "_line", "_i", own.alias("_own"), F.struct(*order, F.col("_scope")).alias("_state"))
+
+
 def scope_features(lines: DataFrame, file_keys=("file_path",)) -> DataFrame:
     """Per line: enclosing function start, depth in it, its complexity, and whether it sanitises.
 
-    Files may be of any length.  The header above is looked up within a block of
-    lines; a block begins with the last header of the blocks before it, of which
-    there is one row each.  A scope's sums are combined before they move.
+    A scope runs from its header's line to the line of its closing brace (to the
+    file's end where that is missing); a declaration without a body ends at its
+    semicolon, an arrow function with its line.  A line belongs to the scope that
+    begins last of those it lies in; complexity and sanitizers are the whole scope's,
+    closures in it included.  Files may be of any length: lines meet the changes of
+    scope of their own block of lines.
     """
     keys = list(file_keys)
-    code = F.col("_code")
-    rows = lines.withColumn("_code", blank_strings(code_only("text")))
-    rows = rows.withColumn("_header", F.when(code.rlike(SCOPE_HEADER), F.col("line_no"))).withColumn(
-        "_n", F.regexp_count(F.regexp_replace(code, NOT_TERNARY, ""), F.lit(DECISION))
-    ).withColumn("_s", code.rlike(SANITIZER)).withColumn("_block", F.floor(F.col("line_no") / SCOPE_BLOCK)).drop("_code")
-    up_to_here = Window.partitionBy(*keys, "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_near", F.last("_header", ignorenulls=True).over(up_to_here))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    heads = rows.groupBy(*keys, "_block").agg(F.max("_header").alias("_last"))
-    heads = heads.select(*keys, "_block", F.last("_last", ignorenulls=True).over(before).alias("_far"))
-    rows = rows.join(heads, [*keys, "_block"], "left").withColumn("scope_start", F.coalesce("_near", "_far"))
-    sums = rows.filter("scope_start IS NOT NULL").groupBy(*keys, "scope_start").agg(F.sum("_n").alias("_sum"), F.bool_or("_s").alias("_any"))
-    rows = rows.join(sums, [*keys, "scope_start"], "left")
-    inside = F.col("scope_start").isNotNull()
+    names = [c for c in lines.columns if c not in (*keys, "line_no")]
+    kind = lines.schema["line_no"].dataType
+    changes = _scope_changes(lines, keys).withColumn("_is_line", F.lit(False))
+    rows = lines.select(*keys, F.col("line_no").cast("long").alias("line_no"), *names, F.lit(True).alias("_is_line"))
+    rows = rows.unionByName(changes, allowMissingColumns=True).withColumn("_block", F.floor(F.col("line_no") / SCOPE_BLOCK))
+    up = Window.partitionBy(*keys, "_block").orderBy("line_no", "_is_line").rowsBetween(Window.unboundedPreceding, 0)
+    single = F.when(F.col("_own").isNotNull() & (F.col("_line") == F.col("line_no")), F.struct("_line", "_i", F.col("_own")))
+    rows = rows.withColumn("_near", F.max("_state").over(up)).withColumn("_single", F.max(single).over(up)).where("_is_line")
+    alone = (F.col("_single._line") == F.col("line_no")) & F.coalesce(
+        (F.col("_near._scope.start") < F.col("line_no")) | (F.col("_near._line") < F.col("line_no")) | (F.col("_single._i") >= F.col("_near._i")), F.lit(True))
+    rows = rows.withColumn("_in", F.when(alone, F.col("_single._own")).otherwise(F.col("_near._scope")))
+    inside, line = F.col("_in").isNotNull(), F.col("line_no").cast(kind)
     return rows.select(
-        *[c for c in lines.columns],
-        "scope_start",
-        F.when(inside, F.col("line_no") - F.col("scope_start")).otherwise(0).cast("int").alias("line_depth_in_function"),
-        F.when(inside, 1 + F.col("_sum")).otherwise(1).cast("int").alias("cyclomatic_complexity"),
-        F.when(inside & F.col("_any"), 1).otherwise(0).alias("has_sanitizer_in_ast"),
+        *[line.alias(c) if c == "line_no" else F.col(c) for c in lines.columns],
+        F.col("_in.start").cast(kind).alias("scope_start"),
+        F.when(inside, F.col("line_no") - F.col("_in.start")).otherwise(0).cast("int").alias("line_depth_in_function"),
+        F.when(inside, F.col("_in.complexity")).otherwise(1).cast("int").alias("cyclomatic_complexity"),
+        F.when(inside, F.col("_in.sanitizer")).otherwise(0).cast("int").alias("has_sanitizer_in_ast"),
     )
 
 

@@ -50,6 +50,9 @@ CODE_LINES = [
     '    $x = request("q%d"); echo $x;',
     "    $o = `ls $v1`; // %d",
     "    $v2 = trim($v2); // %d",
+    "    $g%d = function ($v1) use ($v2) {",
+    "    }; // %d",
+    "} // %d",
 ]
 
 
