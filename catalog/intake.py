@@ -364,11 +364,21 @@ def _(t):
     return state.retrain_due(t.findings, derived.model_states(t))
 
 
-@query("ss_04_retrain_stream")
+@query("ss_04_retrain_stream", "decisions", sql=STATE_SQL + """, d AS (SELECT finding_id, max(decided_at) AS at FROM decisions WHERE action IN ('label','undo') GROUP BY 1)
+, trained AS (SELECT TIMESTAMP '2024-01-15 00:00:00' AS at)
+SELECT count(*) AS pending, count(*)>=100 AS waiting FROM s JOIN d USING (finding_id), trained t WHERE s.action='label' AND d.at > t.at""")
 def _(t):
-    root, cp = scratch(t.spark, "retrain"), scratch(t.spark, "retrain-checkpoint")
-    jobs.run_decisions(_event_stream(t), root, cp).awaitTermination()
-    return t.spark.read.parquet(f"{root}/retrain").select("epoch", "labels", "fired", "pending")
+    from winnow.sources import testdata
+
+    root, cp, drop = scratch(t.spark, "retrain"), scratch(t.spark, "retrain-checkpoint"), scratch(t.spark, "events")
+    events = testdata.decisions_from(t.raw_events)
+    # a training ends in the middle of the month
+    trained = {"event_id": "0L", "decided_at": "timestamp_ntz'2024-01-15 00:00:00'", "action": "'train'"}
+    training = t.raw_events.limit(1).select(*[F.expr(trained.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in events.schema])
+    events.unionByName(training).repartitionByRange(4, "decided_at").write.parquet(drop)
+    stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(drop)
+    jobs.run_decisions(stream, root, cp).awaitTermination()
+    return t.spark.read.parquet(f"{root}/retrain").orderBy(F.col("epoch").desc()).limit(1).select("pending", "waiting")
 
 
 @query("ss_05_stalled_runs", "runs", sql="""
@@ -378,17 +388,14 @@ def _(t):
 
 
 @query("ss_05_stalled_stream", sql="""
-, dummy AS (SELECT 1)
-, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 43200 SECONDS THEN 0 ELSE 1 END AS st FROM events)
-, s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
-SELECT user_id AS run_id, strftime(max(ts),'%Y-%m-%d %H:%M:%S') AS last_heartbeat, count(*) AS beats FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 43200 SECONDS <= (SELECT max(ts) FROM events)""".replace(", dummy AS (SELECT 1)\n, g AS", "WITH g AS"))
+SELECT user_id AS run_id, strftime(max(ts),'%Y-%m-%d %H:%M:%S') AS last_heartbeat, count(*) AS beats FROM events GROUP BY 1 HAVING arg_max(event_type, ts)<>'purchase'""")
 def _(t):
     spark = t.spark
     drop, out, cp = (scratch(spark, n) for n in ("beats", "stalls", "stalls-checkpoint"))
-    events = t.raw_events.select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("heartbeat_at"))
+    status = F.when(F.col("event_type") == "purchase", "complete").otherwise("running")
+    events = t.raw_events.select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("heartbeat_at"), status.alias("status"))
     events.repartitionByRange(4, "heartbeat_at").write.parquet(drop)
-    stream = spark.readStream.schema(events.schema).parquet(drop)
-    jobs.run_append(jobs.stalled_stream(stream, 43200), out, cp).awaitTermination()
+    jobs.run_stalls(spark.readStream.schema(events.schema).parquet(drop), out, cp).awaitTermination()
     return spark.read.schema("run_id bigint, last_heartbeat timestamp, beats bigint").parquet(out).select(
         "run_id", F.date_format("last_heartbeat", "yyyy-MM-dd HH:mm:ss").alias("last_heartbeat"), "beats")
 

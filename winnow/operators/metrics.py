@@ -36,11 +36,13 @@ def rule_stats(f: DataFrame, fb: DataFrame, s: Settings = DEFAULTS) -> DataFrame
 
 def stats_of_labels(kept: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     fp = F.count_if(_is("final_label", "false_positive"))
-    out = kept.groupBy("rule_id").agg(
-        F.count(F.lit(1)).alias("total_seen"),
-        fp.alias("total_false_positive"),
-        F.round(safe_ratio(fp, F.count(F.lit(1))), 4).alias("historical_fp_rate"),
-    )
+    return stats_of_counts(kept.groupBy("rule_id").agg(F.count(F.lit(1)).alias("total_seen"), fp.alias("total_false_positive")), s)
+
+
+def stats_of_counts(counts: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Rate and recommendation from total_seen and total_false_positive; a rule without labels has rate 0."""
+    rate = F.round(safe_ratio(F.col("total_false_positive"), F.col("total_seen")), 4)
+    out = counts.withColumn("historical_fp_rate", F.coalesce(rate, F.lit(0.0)))
     return out.withColumn("recommended_action", scoring.rule_action("total_seen", "historical_fp_rate", s))
 
 

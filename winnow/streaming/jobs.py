@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from winnow.operators import metrics
 from winnow.plans import ingest as plan
 from winnow.settings import DEFAULTS, Settings
 from winnow.sources.reports import with_documents
-from winnow.streaming import state
+from winnow.streaming import keyed, state
 
-BUCKETS = 256
 REPORT_SCHEMA = "value string, scan_id bigint, project_id bigint, source string, commit_sha string, branch string"
 
 
@@ -88,56 +88,65 @@ def decision_stream(events: DataFrame) -> DataFrame:
 
 
 def run_decisions(events: DataFrame, root: str, checkpoint: str, cfg: Settings = DEFAULTS) -> StreamingQuery:
-    """Append decisions, refresh the touched rules, and fire the retrain trigger once per batch of labels.
+    """Keep the statistics of rules and the retrain trigger up to date; no epoch reads the history of decisions.
 
-    The log keeps the newest event per finding and epoch, in folders by a hash of
-    the rule.  A finding has one rule, so an epoch reads back only the folders of
-    the rules it touched, however long the history is.
+    The last decision of every finding is state; an epoch writes what changed, as
+    signed rows, and their sums per rule.  The trigger counts the distinct findings
+    whose label changed after the last training (an event with action ``train``),
+    fires once when they are enough, and again only after another training.
     """
-    bucket = F.pmod(F.hash("rule_id"), F.lit(BUCKETS))
 
     def epoch(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        path = f"{root}/decisions/epoch={epoch_id}"
-        newest = state.decision_state(batch).withColumn("bucket", bucket)
-        newest.write.mode("overwrite").partitionBy("bucket").parquet(path)
-        touched = state.touched_rules(batch).select("rule_id", bucket.alias("bucket"))
-        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        log = spark.read.schema(newest.schema.add("epoch", "long")).parquet(f"{root}/decisions").filter(
-            (F.col("epoch") <= epoch_id) & F.col("bucket").isin(buckets))
-        current = state.current_decisions(state.decision_state(log))
-        _write(state.refresh_rules(current, touched.drop("bucket"), cfg), root, "rule_stats", epoch_id)
-        labels = batch.filter("action = 'label'").count()
+        _write(batch, root, "changes", epoch_id)
+        changes = spark.read.schema(f"{keyed.CHANGES}, epoch bigint").parquet(f"{root}/changes")
+        now = changes.filter(F.col("epoch") == epoch_id)
+        _write(_rule_sums(now.filter("kind = 'label' AND rule_id IS NOT NULL"), F.col("n"), F.when(F.col("label") == "false_positive", F.col("n"))), root, "rule_stats", epoch_id)
         earlier = _table(spark, root, "retrain")
-        carried = 0
-        if earlier is not None:
-            last = earlier.filter(F.col("epoch") < epoch_id).orderBy(F.col("epoch").desc()).first()
-            carried = last["pending"] if last else 0
-        total = carried + labels
-        fired = total >= max(1, cfg.retrain_batch_size)
-        row = spark.createDataFrame([(total, fired, 0 if fired else total)], "labels bigint, fired boolean, pending bigint")
+        last = None if earlier is None else earlier.filter(F.col("epoch") < epoch_id).orderBy(F.col("epoch").desc()).first()
+        before = last["trained_at"] if last else None
+        trained = now.filter("kind = 'train'").agg(F.max("at")).first()[0]
+        trained = before if trained is None or (before is not None and trained <= before) else trained
+        # without a training in this epoch its own rows suffice; after one, what came since then is counted once
+        same = last is not None and trained == before
+        counted = now if same else changes.filter(F.col("epoch") <= epoch_id)
+        fresh = F.lit(True) if trained is None else F.col("at") > F.lit(trained)
+        pending = (last["pending"] if same else 0) + (counted.filter(F.col("kind") == "label").filter(fresh).agg(F.sum("n")).first()[0] or 0)
+        waiting = bool(same and last["waiting"])
+        fired = not waiting and pending >= max(1, cfg.retrain_batch_size)
+        row = spark.createDataFrame([(trained, pending, fired, waiting or fired)], "trained_at bigint, pending bigint, fired boolean, waiting boolean")
         _write(row, root, "retrain", epoch_id)
 
-    return (
-        events.writeStream.foreachBatch(epoch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    changes = keyed.decision_changes(events)
+    return keyed.started(changes.writeStream.outputMode("update").foreachBatch(epoch).option("checkpointLocation", checkpoint).trigger(availableNow=True))
+
 
+def _rule_sums(df: DataFrame, seen, false_positive) -> DataFrame:
+    return df.groupBy("rule_id").agg(F.sum(seen).alias("total_seen"), F.coalesce(F.sum(false_positive), F.lit(0)).alias("total_false_positive"))
 
-def current_rule_stats(spark: SparkSession, root: str) -> DataFrame:
-    """Newest statistics of every rule ever touched."""
+
+def current_rule_stats(spark: SparkSession, root: str, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Statistics of every rule ever touched: the sums of all epochs' changes."""
     log = spark.read.parquet(f"{root}/rule_stats")
-    return state.latest_by_key(log, ["rule_id"], ["epoch"],
-                               ["total_seen", "total_false_positive", "historical_fp_rate", "recommended_action"]).drop("epoch")
+    return metrics.stats_of_counts(_rule_sums(log, F.col("total_seen"), F.col("total_false_positive")), cfg)
 
 
-def stalled_stream(beats: DataFrame, gap_seconds: int, lateness: str = "0 seconds") -> DataFrame:
-    """A run whose heartbeats pause longer than the gap: its session closes, which is the stall."""
-    return (
-        beats.withWatermark("heartbeat_at", lateness)
-        .groupBy("run_id", F.session_window("heartbeat_at", f"{gap_seconds} seconds").alias("w"))
-        .agg(F.max("heartbeat_at").alias("last_heartbeat"), F.count(F.lit(1)).alias("beats"))
-        .select("run_id", "last_heartbeat", "beats")
-    )
+def stalled_stream(beats: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Runs that fell silent while active; ``beats`` has run_id, heartbeat_at and status.  Start it with ``run_stalls``."""
+    return keyed.stalls(beats, max(120, cfg.stale_after_seconds))
+
+
+def run_stalls(beats: DataFrame, path: str, checkpoint: str, cfg: Settings = DEFAULTS, every: str | None = None) -> StreamingQuery:
+    """Append stalled runs to ``path``.
+
+    With ``every`` the stream goes on and looks at its clock that often, heartbeats
+    or not.  Without, it takes what has arrived, reports what is overdue and ends:
+    a clock gives it no end of its own, so it makes no batches without heartbeats.
+    """
+    writer = stalled_stream(beats, cfg).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    if every is not None:
+        return keyed.started(writer.trigger(processingTime=every))
+    return keyed.started(writer.trigger(availableNow=True), **{"spark.sql.streaming.noDataMicroBatches.enabled": "false"})
 
 
 def run_append(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
