@@ -188,23 +188,27 @@ def _(t):
     return joins.with_guidance(t.findings).select("id", "title")
 
 
-@query("jn_12_finding_report", "findings", "scans", "projects", "feedback", "latest", "code_lines", sql=f"""
+@query("jn_12_finding_report", "findings", "scans", "projects", "feedback", "latest", "blame", sql=f"""
 , o AS (SELECT f.id, a.classification AS ac, d.classification AS dc, f.predicted_label FROM findings f LEFT JOIN latest a ON a.finding_id=f.id AND a.reviewer='offensive' LEFT JOIN latest d ON d.finding_id=f.id AND d.reviewer='defensive')
-, w AS (SELECT file_path, count(*) AS n FROM code_lines GROUP BY 1)
+, w AS (SELECT f.id, count(*) AS n, max(CASE WHEN l.line_no=f.line_number THEN l.author END) AS flagged FROM findings f JOIN blame l ON l.file_path=f.file_path AND l.line_no BETWEEN f.line_number-8 AND f.line_number+8 GROUP BY 1)
 SELECT f.id, p.name AS project, coalesce(rtrim(p.source_path,'/') || '/' || replace(f.file_path,'\\','/'), '') AS absolute,
   array_to_string(list_slice(string_split(replace(f.file_path,'\\','/'),'/'),1,-2),'/') AS directory, coalesce(b.notes,'') AS reviewer_note,
   coalesce((SELECT {OUT_MODEL} FROM (SELECT f.predicted_label, {CL} AS cl FROM (SELECT o.ac AS classification)) ) , 'none') AS offensive_outcome,
-  o.dc IS NOT NULL AS has_defensive, false AS has_code
-FROM findings f JOIN scans s ON s.id=f.scan_id JOIN projects p ON p.id=s.project_id JOIN o ON o.id=f.id LEFT JOIN feedback b ON b.finding_id=f.id
+  o.dc IS NOT NULL AS has_defensive, w.id IS NOT NULL AS has_code, CAST(coalesce(w.n, 0) AS INT) AS code_lines, coalesce(w.flagged, '') AS flagged
+FROM findings f LEFT JOIN w ON w.id=f.id JOIN scans s ON s.id=f.scan_id JOIN projects p ON p.id=s.project_id JOIN o ON o.id=f.id LEFT JOIN feedback b ON b.finding_id=f.id
 """.replace("coalesce((SELECT", "CASE WHEN o.ac IS NULL THEN 'none' ELSE (SELECT").replace(", 'none') AS offensive_outcome", " END AS offensive_outcome"))
 def _(t):
-    rep = joins.finding_report(t.findings, t.scans, t.projects, t.feedback, t.assessments, t.code_lines)
+    # the lines with a known author stand for the source of the findings' files
+    lines = t.blame.select("file_path", "line_no", F.col("author").alias("text"))
+    rep = joins.finding_report(t.findings, t.scans, t.projects, t.feedback, t.assessments, lines)
     e = F.lit("")
     return rep.select(
         "id", "finding.project", F.coalesce("location.absolute", e).alias("absolute"), "location.directory",
         F.coalesce("why.reviewer_note", e).alias("reviewer_note"),
         F.coalesce(F.col("reviewers")[0]["evaluation_outcome"], F.lit("none")).alias("offensive_outcome"),
-        F.col("reviewers")[1]["available"].alias("has_defensive"), F.col("code.available").alias("has_code"))
+        F.col("reviewers")[1]["available"].alias("has_defensive"), F.col("code.available").alias("has_code"),
+        F.coalesce(F.size("code.lines"), F.lit(0)).alias("code_lines"),
+        F.coalesce(F.get(F.filter("code.lines", lambda w: w["flagged"]), F.lit(0))["text"], e).alias("flagged"))
 
 
 @query("jn_13_scan_detail", "findings", "feedback", "latest", "assessment_feedback", sql=f"""

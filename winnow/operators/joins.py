@@ -137,14 +137,17 @@ def reviewer_columns(a: DataFrame, reviewers) -> DataFrame:
     )
 
 
-def finding_report(f, s, p, fb, a, lines=None, settings: Settings = DEFAULTS, keys=("file_path",)) -> DataFrame:
-    """Everything one needs to judge a finding, as one nested row."""
+def finding_report(f, s, p, fb, a, lines=None, settings: Settings = DEFAULTS, keys=None) -> DataFrame:
+    """Everything one needs to judge a finding, as one nested row.
+
+    Source lines are those of the finding's file, in its scan's project and commit where the lines know theirs.
+    """
     rows = with_feedback(with_scan(f, s, p), fb)
     rows = fixes.with_suggested_fix(with_guidance(rows))
     opinions = reviewer_columns(a, fv.REVIEWERS)
     rows = rows.join(opinions.withColumnRenamed("finding_id", "id"), "id", "left")
     if lines is not None:
-        rows = rows.join(line_window(f, lines, settings.report_radius, keys), "id", "left")
+        rows = rows.join(line_window(rows, lines, settings.report_radius, keys), "id", "left")
     else:
         rows = rows.withColumn("window", F.lit(None).cast("array<struct<line_no:int,text:string,flagged:boolean>>"))
     parts = scoring.path_parts("file_path")
