@@ -150,7 +150,7 @@ def rules_reader(df: DataFrame) -> DataFrame:
     rows = df.select("scan_id", F.get_json_object("report", "$.line").alias("line"))
     p = F.split("line", r"\|")
     none = F.lit(None)
-    return reports._normalized(rows, p[0], none, p[1], p[2].try_cast("int"), F.upper(p[3]), F.lit("custom"), none)
+    return reports.normalized(rows, p[0], none, p[1], p[2].try_cast("int"), F.upper(p[3]), F.lit("custom"), none)
 
 
 @query("ud_02_custom_source", "findings", sql="SELECT scan_id, 'lines' AS source, rule_id, file_path, line_number, severity FROM findings")

@@ -54,6 +54,41 @@ def test_other_scanners(spark):
     assert [r["scan_id"] for r in reports.split_supported(df)[1].collect()] == [10]
 
 
+def test_all_formats_in_one_pass(spark, tmp_path):
+    """One scan of the reports, rules of a run found by its own results only, places numbered through a document."""
+    runs = {"runs": [
+        {"results": [{"ruleId": "r1", "locations": [{"physicalLocation": {}}]}]},
+        {},
+        {**SARIF["runs"][0], "results": SARIF["runs"][0]["results"][:1]}]}
+    rows = [(1, "sarif", json.dumps(runs)), (2, "bandit", json.dumps({"results": [{"test_id": "B"}] * 2})), (3, "phpcs", '{"files": {"a": {}, "b": {"messages": [{}]}}}'),
+            (4, "sonarqube", "{}"), (5, "semgrep", '{"results": null}'), (6, "sarif", None), (7, None, "{}"), (8, "bandit", '{"results": [{"test_id": "x"}')]
+    path = str(tmp_path / "reports")
+    frame(spark, *rows).write.parquet(path)
+    out = reports.normalize_reports(reports.with_documents(spark.read.parquet(path)))
+    got = sorted((r["scan_id"], r["ordinal"], r["rule_id"], r["cwe_id"], r["file_path"]) for r in out.collect())
+    assert got == [(1, 0, "r1", None, "unknown"), (1, 1, "r1", 89, "a.php"), (2, 0, "B", None, "unknown"), (2, 1, "B", None, "unknown"), (3, 0, "unknown", None, "b")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+def test_added_reader_beside_the_built_in_ones(spark):
+    """Its equal rows get ids of their own, beside those of the places of the others."""
+    def reader(df):
+        rows = df.select("scan_id", F.explode(F.split(F.get_json_object("report", "$.l"), ",")).alias("rule_id"))
+        none = F.lit(None).cast("string")
+        return rows.select("scan_id", "rule_id", F.lit(None).cast("int").alias("cwe_id"), F.lit("f").alias("file_path"), F.lit(1).alias("line_number"),
+                           F.lit("LOW").alias("severity"), F.lit("").alias("message"), none.alias("snippet"))
+
+    reports.register_reader("plain", reader)
+    try:
+        df = reports.with_documents(frame(spark, (1, "plain", '{"l": "a,a,b"}'), (1, "bandit", json.dumps({"results": [{"test_id": "a"}] * 2}))))
+        rows = ingest.with_ids(reports.normalize_reports(df)).collect()
+        assert sorted((r["source"], r["rule_id"]) for r in rows) == [("bandit", "a"), ("bandit", "a"), ("plain", "a"), ("plain", "a"), ("plain", "b")]
+        assert len({r["id"] for r in rows}) == 5
+    finally:
+        reports.READERS.pop("plain")
+
+
 def test_arrivals(spark):
     rows = [(1, 1, "sarif", "A" * 40, "main", 10), (2, 1, "nessus", "g" * 40, "b" * 256, 10), (3, None, "sarif", "a" * 39, "", 60_000_000)]
     df = spark.createDataFrame(rows, "scan_id bigint, project_id bigint, source string, commit_sha string, branch string, size_bytes bigint")

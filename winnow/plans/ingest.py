@@ -28,15 +28,18 @@ class Ingested:
 
 
 def with_ids(rows: DataFrame) -> DataFrame:
-    """Stable ids from content; equal hits of one scan are counted, then numbered.
+    """Stable ids: of (scan, document, place in the document), which moves nothing.
 
-    Counting combines on the map side, so even a report of identical rows moves
-    one row per task.
+    Rows of added readers have no place; equal ones of a document are counted (combined on the map
+    side, so a report of identical rows moves one row per task), then numbered.
     """
-    keys = rows.columns
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    keys = [c for c in rows.columns if c != "ordinal"]
+    placed = rows.filter("ordinal is not null").select(F.xxhash64("scan_id", "document", "ordinal").alias("id"), *keys)
+    if all(reader is reports.BUILT_IN.get(n) for n, reader in reports.READERS.items()):
+        return placed
+    counted = rows.filter("ordinal is null").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     copies = counted.select(*keys, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k"))
-    return copies.select(F.xxhash64(*keys, "_k").alias("id"), *keys)
+    return placed.unionByName(copies.select(F.xxhash64(*keys, "_k").alias("id"), *keys))
 
 
 def ingest(arrivals: DataFrame, rules: DataFrame, code: DataFrame | None = None, authors: DataFrame | None = None,
@@ -50,18 +53,19 @@ def ingest(arrivals: DataFrame, rules: DataFrame, code: DataFrame | None = None,
     know theirs (code, flow, lines) are joined on them too.
     """
     checked = reports.with_documents(reports.validate_arrivals(arrivals, cfg))
-    accepted = checked.filter(F.size("reject_reasons") == 0).dropDuplicates(["scan_id", "document"])
+    accepted = checked.filter(F.size("reject_reasons") == 0)
     rejected = checked.filter(F.size("reject_reasons") > 0).select("scan_id", "reject_reasons")
-    ok, bad = reports.split_malformed(accepted)
     about = ["scan_id", "project_id", "source", "commit_sha", "branch"]
-    documents = ok.select(*about, "document", F.lit(False).alias("failed")).unionByName(bad.select(*about, "document", F.lit(True).alias("failed")))
+    # whether a report can be read is known before the shuffle, so only keys move here
+    documents = accepted.select(*about, "document", F.try_parse_json("report").isNull().alias("failed")).dropDuplicates(["scan_id", "document"])
     documents = files.stage(documents, "documents")
     # a scan of several documents is one scan, and failed if any of them is
     scans = documents.groupBy("scan_id").agg(
         F.min(F.struct(*about[1:])).alias("about"), F.max("failed").alias("failed")
     ).select("scan_id", "about.*", F.when(F.col("failed"), "failed").otherwise("complete").alias("status"))
 
-    normalized = reports.normalize_reports(ok.select("scan_id", "source", "report", "document"))
+    once = accepted.select("scan_id", "source", "report", "document").dropDuplicates(["scan_id", "document"])
+    normalized = reports.normalize_reports(once)
     normalized = normalized.join(scans.select("scan_id", "project_id", "commit_sha"), "scan_id")
     # parsed once: rules, vectors, counts and candidates all read the stored rows
     found = files.stage(with_ids(normalized.withColumnRenamed("snippet", "raw_snippet")), "normalized")

@@ -1,7 +1,8 @@
 """Scanner reports (one JSON text per scan) to one normalized findings schema.
 
-Input frames carry ``scan_id, source, report``.  Everything is a narrow
-``from_json`` + ``explode``: no shuffle, and Spark splits the work by report.
+Input frames carry ``scan_id, source, report``.  A format is a Column expression
+from a report to an array of findings; all formats are exploded in one pass
+without a shuffle, and Spark splits the work by report.
 """
 
 from __future__ import annotations
@@ -42,9 +43,8 @@ def _or(c: Column, default) -> Column:
     return F.coalesce(c, F.lit(default))
 
 
-def _normalized(df: DataFrame, rule, cwe, path, line, severity, message, snippet) -> DataFrame:
-    return df.select(
-        "scan_id",
+def _finding(rule, cwe, path, line, severity, message, snippet) -> Column:
+    return F.struct(
         _or(rule, "unknown").alias("rule_id"),
         cwe.cast("int").alias("cwe_id"),
         _or(path, "unknown").alias("file_path"),
@@ -55,85 +55,110 @@ def _normalized(df: DataFrame, rule, cwe, path, line, severity, message, snippet
     )
 
 
-def read_sarif(reports: DataFrame) -> DataFrame:
-    runs = reports.select("scan_id", F.explode(F.from_json("report", SARIF_SCHEMA)["runs"]).alias("run"))
-    hits = runs.select(
-        "scan_id",
-        F.col("run.tool.driver.rules").alias("rules"),
-        F.explode("run.results").alias("r"),
-    ).withColumn("at", F.try_element_at("r.locations", F.lit(1))["physicalLocation"])
-    hits = hits.filter(F.col("at").isNotNull())
-    rule_id = _or(F.col("r.ruleId"), "unknown")
-    # the last rule of a duplicated id wins
-    metas = F.filter("rules", lambda m: m["id"] == rule_id)
-    tags = F.try_element_at(metas, F.lit(-1))["properties"]["tags"]
-    return _normalized(
-        hits,
-        F.col("r.ruleId"),
-        F.coalesce(scoring.tag_cwe(tags), F.col("r.properties.cweId").try_cast("double").try_cast("int")),
-        F.col("at.artifactLocation.uri"),
-        F.col("at.region.startLine"),
-        scoring.sarif_severity("r.properties.severity", "r.level"),
-        F.col("r.message.text"),
-        F.col("at.region.snippet.text"),
-    )
+def normalized(df: DataFrame, rule, cwe, path, line, severity, message, snippet) -> DataFrame:
+    """The normalized columns of one finding a row, with their defaults: what an added reader returns."""
+    return df.select("scan_id", _finding(rule, cwe, path, line, severity, message, snippet).alias("_f")).select("scan_id", "_f.*")
 
 
-def read_semgrep(reports: DataFrame) -> DataFrame:
-    """``metadata.cwe`` is a text or a list of texts, so results stay VARIANT."""
-    rows = reports.select(
-        "scan_id",
-        F.explode(F.try_variant_get(F.try_parse_json("report"), "$.results", "array<variant>")).alias("v"),
-    )
+def _each(groups: Column, items: Callable[[Column], Column], finding: Callable[[Column, Column], Column]) -> Column:
+    """Findings of all items of all groups, in order; groups without items give none."""
+    some = F.filter(groups, lambda g: items(g).isNotNull())
+    return F.flatten(F.transform(some, lambda g: F.transform(items(g), lambda i: finding(g, i))))
 
-    def get(path, kind="string"):
-        return F.try_variant_get("v", path, kind)
 
-    cwe = F.coalesce(get("$.extra.metadata.cwe[0]"), get("$.extra.metadata.cwe"))
-    return _normalized(
-        rows, get("$.check_id"), scoring.text_cwe(cwe), get("$.path"), get("$.start.line", "int"),
-        F.upper(_or(get("$.extra.severity"), "MEDIUM")), get("$.extra.message"), get("$.extra.lines"),
-    )
+def sarif_rows(report: Column) -> Column:
+    """Findings of one report; a result looks its rule up in its own run, whose rules are not copied."""
 
+    def place(r: Column) -> Column:
+        return F.try_element_at(r["locations"], F.lit(1))["physicalLocation"]
 
-def read_sonarqube(reports: DataFrame) -> DataFrame:
-    rows = reports.select("scan_id", F.explode(F.from_json("report", SONAR_SCHEMA)["issues"]).alias("i"))
-    none = F.lit(None)
-    return _normalized(
-        rows, F.col("i.rule"), none, F.regexp_replace(_or(F.col("i.component"), "unknown"), r"^[^:]+:", ""),
-        F.col("i.line"), F.upper(_or(F.col("i.severity"), "MEDIUM")), F.col("i.message"), none,
-    )
+    def finding(run: Column, r: Column) -> Column:
+        rule_id = _or(r["ruleId"], "unknown")
+        # the last rule of a duplicated id wins
+        metas = F.filter(run["tool"]["driver"]["rules"], lambda m: m["id"] == rule_id)
+        tags = F.try_element_at(metas, F.lit(-1))["properties"]["tags"]
+        return _finding(
+            r["ruleId"],
+            F.coalesce(scoring.tag_cwe(tags), r["properties"]["cweId"].try_cast("double").try_cast("int")),
+            place(r)["artifactLocation"]["uri"],
+            place(r)["region"]["startLine"],
+            scoring.sarif_severity(r["properties"]["severity"], r["level"]),
+            r["message"]["text"],
+            place(r)["region"]["snippet"]["text"],
+        )
 
+    return _each(F.from_json(report, SARIF_SCHEMA)["runs"], lambda run: F.filter(run["results"], lambda r: place(r).isNotNull()), finding)
 
-def read_bandit(reports: DataFrame) -> DataFrame:
-    rows = reports.select("scan_id", F.explode(F.from_json("report", BANDIT_SCHEMA)["results"]).alias("r"))
-    declared = F.upper(_or(F.col("r.issue_severity"), "MEDIUM"))
-    return _normalized(
-        rows, F.col("r.test_id"), F.col("r.issue_cwe.id"), F.col("r.filename"), F.col("r.line_number"),
-        F.when(declared.isin("LOW", "MEDIUM", "HIGH"), declared).otherwise("MEDIUM"),
-        F.col("r.issue_text"), F.col("r.code"),
-    )
 
+def semgrep_rows(report: Column) -> Column:
+    """``metadata.cwe`` is a text or a list of texts, so results stay VARIANT."""
+
+    def finding(v: Column) -> Column:
+        def get(path, kind="string"):
+            return F.try_variant_get(v, path, kind)
+
+        cwe = F.coalesce(get("$.extra.metadata.cwe[0]"), get("$.extra.metadata.cwe"))
+        return _finding(
+            get("$.check_id"), scoring.text_cwe(cwe), get("$.path"), get("$.start.line", "int"),
+            F.upper(_or(get("$.extra.severity"), "MEDIUM")), get("$.extra.message"), get("$.extra.lines"),
+        )
+
+    return F.transform(F.try_variant_get(F.try_parse_json(report), "$.results", "array<variant>"), finding)
 
-def read_phpcs(reports: DataFrame) -> DataFrame:
-    files = reports.select("scan_id", F.explode(F.from_json("report", PHPCS_SCHEMA)["files"]).alias("path", "f"))
-    rows = files.select("scan_id", "path", F.explode("f.messages").alias("m"))
+
+def sonarqube_rows(report: Column) -> Column:
     none = F.lit(None)
-    return _normalized(
-        rows, F.col("m.source"), none, F.col("path"), F.col("m.line"),
-        F.when(F.col("m.type") == "ERROR", "HIGH").otherwise("MEDIUM"), F.col("m.message"), none,
-    )
+    return F.transform(F.from_json(report, SONAR_SCHEMA)["issues"], lambda i: _finding(
+        i["rule"], none, F.regexp_replace(_or(i["component"], "unknown"), r"^[^:]+:", ""),
+        i["line"], F.upper(_or(i["severity"], "MEDIUM")), i["message"], none,
+    ))
+
+
+def bandit_rows(report: Column) -> Column:
+    def finding(r: Column) -> Column:
+        declared = F.upper(_or(r["issue_severity"], "MEDIUM"))
+        return _finding(
+            r["test_id"], r["issue_cwe"]["id"], r["filename"], r["line_number"],
+            F.when(declared.isin("LOW", "MEDIUM", "HIGH"), declared).otherwise("MEDIUM"),
+            r["issue_text"], r["code"],
+        )
+
+    return F.transform(F.from_json(report, BANDIT_SCHEMA)["results"], finding)
 
 
-READERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "sarif": read_sarif,
-    "semgrep": read_semgrep,
-    "sonarqube": read_sonarqube,
-    "bandit": read_bandit,
-    "phpcs": read_phpcs,
+def phpcs_rows(report: Column) -> Column:
+    none = F.lit(None)
+    files = F.map_entries(F.from_json(report, PHPCS_SCHEMA)["files"])
+    return _each(files, lambda f: f["value"]["messages"], lambda f, m: _finding(
+        m["source"], none, f["key"], m["line"],
+        F.when(m["type"] == "ERROR", "HIGH").otherwise("MEDIUM"), m["message"], none,
+    ))
+
+
+#: the findings of one report as an array, per scanner
+ROWS: dict[str, Callable[[Column], Column]] = {
+    "sarif": sarif_rows,
+    "semgrep": semgrep_rows,
+    "sonarqube": sonarqube_rows,
+    "bandit": bandit_rows,
+    "phpcs": phpcs_rows,
 }
 
 
+def _exploded(reports: DataFrame, rows: Column, *keep: str) -> DataFrame:
+    """One row per finding, ``ordinal`` its place in the report."""
+    return reports.select(*keep, F.posexplode(rows).alias("ordinal", "_f")).select(*keep, "_f.*", "ordinal")
+
+
+def _reader(rows: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
+    return lambda reports: _exploded(reports, rows(F.col("report")), "scan_id").select(NORMALIZED)
+
+
+READERS: dict[str, Callable[[DataFrame], DataFrame]] = {name: _reader(rows) for name, rows in ROWS.items()}
+BUILT_IN = dict(READERS)
+read_sarif = READERS["sarif"]
+
+
 def register_reader(source: str, reader: Callable[[DataFrame], DataFrame]) -> None:
     """Add a scanner: a function from (scan_id, report) to the normalized columns."""
     READERS[source] = reader
@@ -156,24 +181,31 @@ def with_documents(reports: DataFrame) -> DataFrame:
 
 
 def normalize_reports(reports: DataFrame) -> DataFrame:
-    """Dispatch every report to its reader; malformed or unsupported ones give no rows.
+    """Findings of all reports; malformed or unsupported ones give no rows.
+
+    The built-in formats are read in one pass: each report is turned into an array of findings by the
+    expression of its own format.  Added readers read their own reports after that.
 
-    Where reports carry their ``document``, so do the rows: it travels with the
-    scan through the readers, which hand on ``scan_id`` as it is.
+    Where reports carry their ``document``, so do the rows, and ``ordinal``, a finding's place in its
+    document (null from added readers, which hand on ``scan_id`` as it is, with the document in it).
     """
     ok, _ = split_malformed(split_supported(reports)[0])
     carried = "document" in reports.columns
+    keep = ["scan_id", "source", *(["document"] if carried else [])]
+    shown = ["scan_id", "source", *NORMALIZED[1:], *(["document", "ordinal"] if carried else [])]
+    one_pass = [n for n, reader in READERS.items() if reader is BUILT_IN.get(n)]
+    rows = F.coalesce(*[F.when(F.col("source") == n, ROWS[n](F.col("report"))) for n in one_pass]) if one_pass else None
+    out = None if rows is None else _exploded(ok.filter(F.col("source").isin(one_pass)), rows, *keep).select(shown)
     if carried:
         ok = ok.withColumn("scan_id", F.struct("scan_id", "document"))
-    out = None
     for source, reader in READERS.items():
-        part = reader(ok.filter(F.col("source") == source)).select(
-            "scan_id", F.lit(source).alias("source"), *NORMALIZED[1:]
-        )
-        out = part if out is None else out.unionByName(part)
-    if not carried:
-        return out
-    return out.select("scan_id.scan_id", *out.columns[1:], "scan_id.document")
+        if source in one_pass:
+            continue
+        part = reader(ok.filter(F.col("source") == source)).withColumn("source", F.lit(source))
+        if carried:
+            part = part.withColumns({"document": F.col("scan_id.document"), "scan_id": F.col("scan_id.scan_id"), "ordinal": F.lit(None).cast("int")})
+        out = part.select(shown) if out is None else out.unionByName(part.select(shown))
+    return out
 
 
 def arrival_reasons(s: Settings = DEFAULTS) -> Column:
