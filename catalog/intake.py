@@ -15,6 +15,7 @@ from winnow.operators import metrics, sets
 from winnow.operators.onerow import beside
 from winnow.plans import export, ingest, snapshot, training
 from winnow.session import scratch
+from winnow.settings import DEFAULTS
 from winnow.sinks import files as sink
 from winnow.sources import files, reports
 from winnow.streaming import jobs, state
@@ -292,6 +293,38 @@ def _(t):
     return scored.groupBy("predicted_label").agg(F.count(F.lit(1)).alias("findings"), F.round(F.avg("tp_probability"), 4).alias("mean_probability"))
 
 
+@query("jb_04_train_and_score", "findings", "snapshot", sql="""
+SELECT 'held out' AS name, count(*) AS records FROM snapshot WHERE split='validation'
+UNION ALL SELECT 'held out positive', count(*) FROM snapshot WHERE split='validation' AND label='true_positive'
+UNION ALL SELECT 'held out negative', count(*) FROM snapshot WHERE split='validation' AND label='false_positive'
+UNION ALL SELECT 'trained positive', count(*) FROM snapshot WHERE split='train' AND label='true_positive'
+UNION ALL SELECT 'trained negative', count(*) FROM snapshot WHERE split='train' AND label='false_positive'
+UNION ALL SELECT 'attempts', 1 UNION ALL SELECT 'attempts against the gate', 0
+UNION ALL SELECT 'findings', count(*) FROM findings UNION ALL SELECT 'scored', count(*) FROM findings
+UNION ALL SELECT 'outside 0 to 1', 0 UNION ALL SELECT 'decided against the thresholds', 0""")
+def _(t):
+    """One training with the default forest, its record read back, all findings scored: what holds whatever the forest learns."""
+    registry = scratch(t.spark, "registry")
+    attempt = training.train_and_gate(t.findings, t.scans, t.feedback, registry)
+    kept, p, cfg = F.col("rejection_reason").isNull(), F.col("tp_probability"), DEFAULTS
+    gate = (kept == (F.col("deployment_status") == "deployed")) & (kept == F.col("model_path").isNotNull()) & (
+        ~kept | ((F.col("precision") >= cfg.min_deploy_precision) & (F.col("flagged_count") >= cfg.min_deploy_flags)))
+    states = training.states(t.spark, registry).agg(
+        F.sum(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("held out"), F.sum(F.col("tp") + F.col("fn")).alias("held out positive"),
+        F.sum(F.col("fp") + F.col("tn")).alias("held out negative"), F.count(F.lit(1)).alias("attempts"), F.count_if(~gate).alias("attempts against the gate"))
+    # probabilities are shown with 4 digits, decisions fall before
+    label, off = F.coalesce("predicted_label", F.lit("")), 0.00005
+    wrong = (label == "true_positive") & (p < cfg.tp_threshold - off) | (label == "false_positive") & (p > cfg.fp_threshold + off) | (label == "") & (
+        (p > cfg.tp_threshold + off) | (p < cfg.fp_threshold - off))
+    scored = training.score(t.findings, attempt.model).agg(
+        F.count(F.lit(1)).alias("findings"), F.count("tp_probability").alias("scored"),
+        F.count_if(~p.between(0, 1)).alias("outside 0 to 1"), F.count_if(wrong).alias("decided against the thresholds"))
+    train = attempt.counts["train"]
+    learnt = t.spark.createDataFrame([(train["true_positive"], train["false_positive"])], "`trained positive` bigint, `trained negative` bigint")
+    return states.unpivot([], states.columns, "name", "records").unionByName(scored.unpivot([], scored.columns, "name", "records")).unionByName(
+        learnt.unpivot([], learnt.columns, "name", "records"))
+
+
 @query("ml_08_cold_start", "findings", sql="SELECT count(*) AS findings, CAST(0 AS BIGINT) AS scored FROM findings")
 def _(t):
     return training.score(t.findings, None).agg(F.count(F.lit(1)).alias("findings"), F.count("tp_probability").alias("scored"))
