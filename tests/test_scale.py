@@ -87,3 +87,17 @@ def test_shared_folder_is_required_off_local(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_snapshot_moves_only_what_is_wanted(spark):
+    """Without payload the snapshot decides the same, and neither texts nor vectors reach a shuffle."""
+    from winnow.plans import snapshot
+
+    t = Tables(spark, SF)
+    lean = snapshot.training_snapshot(t.findings, t.scans, t.feedback, keep=())
+    whole = snapshot.training_snapshot(t.findings, t.scans, t.feedback)
+    assert {"file_path", "severity", "commit_sha"} <= set(whole.rows.columns) and not {"file_path", "severity", "commit_sha"} & set(lean.rows.columns)
+    names = ["id", "fingerprint", "group_key", "sample", "label", "label_source", "duplicate_count", "split", "ambiguous_feature"]
+    assert sorted(map(tuple, lean.rows.select(names).collect())) == sorted(map(tuple, whole.rows.select(names).collect()))
+    rows = snapshot.hashed(t.findings.filter("final_label IS NOT NULL"), (), "final_label")
+    assert rows.columns == ["id", "scan_id", "final_label", "fingerprint", "sample"] and dict(rows.dtypes)["fingerprint"] == "binary"
