@@ -122,6 +122,26 @@ def test_windows_that_many_wrote(spark, monkeypatch):
     same_as_sql(spark, rows)
 
 
+def test_common_windows_count_for_all_their_writers(spark):
+    """Two common windows point to the message that wrote both, though others that wrote one of them are nearer."""
+    rows = [(1, t, "u", "so it goes\nand on") for t in range(40)] + [(1, 40 + t, "u", "so it goes") for t in range(40)] + [(1, 80 + t, "u", "well\nand on") for t in range(40)]
+    rows += [(1, 90, "u", "so it goes\nrare words"), (1, 6000, "a", "> so it goes\n\nx\n> and on\nboth"), (1, 6001, "a", "> so it goes\n\nx\n> rare words\nrare")]
+    got = replies(spark, rows)
+    assert got[1, 6000] == (1, 39) and got[1, 6001] == (1, 90)
+    same_as_sql(spark, rows)
+
+
+def test_any_common_messages_against_sql(spark, monkeypatch):
+    """With nearly every window a common one, the same as SQL, which knows no such bound."""
+    monkeypatch.setattr(quotes, "COMMON", 2)
+    rng = random.Random(11)
+    rows = []
+    for _ in range(300):
+        lines = [rng.choice(["", "", "> ", ">> "]) + " ".join(rng.choices("a b c d".split(), k=rng.choice([1, 2, 3, 6]))) for _ in range(rng.randint(1, 5))]
+        rows.append((rng.choice([1, 1, 2, None]), rng.choice([*range(25), 1500, 3000, None]), rng.choice("ua"), "\n".join(lines)))
+    same_as_sql(spark, rows)
+
+
 def test_any_messages_against_sql(spark):
     rng = random.Random(7)
     rows = []

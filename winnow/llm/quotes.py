@@ -6,8 +6,8 @@ not end it), so line breaks play no part.  It is cut into windows of ``WINDOW``
 words, the last one aligned to its end; shorter passages are one window.  Hashes of
 the windows are joined to the messages whose own words hold them, anywhere:
 
-* in the same conversation every earlier message that wrote a window counts;
-  a window of more than ``COMMON`` writers there counts for the nearest one;
+* in the same conversation every earlier message that wrote a window counts
+  (a window of more than ``COMMON`` writers there by classes of messages that wrote the same such windows);
 * a window without earlier writer there counts for the first message that wrote
   it, if that is of a conversation with a smaller id (so replies never form a circle).
 
@@ -35,7 +35,7 @@ ATTRIBUTION = r"^\s*(On\s.+\swrote|Am\s.+\sschrieb\s.+|Le\s.+\sa écrit|El\s.+\s
 BUCKET = 1024
 #: words of a window
 WINDOW = 5
-#: a window of more writers in a conversation says little on whom: it counts for the nearest earlier one
+#: a window of more writers in a conversation is not joined to each of them, but to their classes; with the same result
 COMMON = 64
 #: bits of the Bloom filter for a window, and at most (8 MB); a fuller filter lets more windows pass, with the same result
 BITS_PER_KEY = 16
@@ -206,10 +206,28 @@ def _nearest(quoted: DataFrame, own: DataFrame) -> DataFrame:
     return both.withColumn("at", F.coalesce("near", "far")).select("mid", "level", "h1", "h2", "words", F.col("conv_id").alias("to_conv"), F.col("at.turn").alias("to_turn"), F.col("at.mid").alias("target"))
 
 
-def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages with mid and text; links: mid, level, h1, h2, words, target with its to_conv and to_turn).
+def _common_votes(asked: DataFrame, own: DataFrame, common: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Votes by windows that many wrote, with messages of a conversation that wrote the same set of them as one class.
 
-    A link says that a window of quoted words may come from ``target``.
+    (votes: mid, conv_id, turn, h1, h2, n, for every class (h1, h2) that wrote an asked window; members: conv_id, turn, mid,
+    h1, h2 of their class).  So the rows grow with the number of classes, not with the number of writers.
+    """
+    wrote = own.where("turn is not null").join(common, _same(own, common), "left_semi")
+    # a set's digest: the exclusive or of its windows' 128 bits
+    members = staged(wrote.groupBy("conv_id", "turn", "mid").agg(F.bit_xor("h1").alias("k1"), F.bit_xor("h2").alias("k2")), "members")
+    shown = members.groupBy("conv_id", "k1", "k2").agg(F.min("mid").alias("mid")).select("k1", "k2", "mid")
+    held = wrote.join(shown, "mid").select(F.col("conv_id").alias("c"), F.col("h1").alias("w1"), F.col("h2").alias("w2"), "k1", "k2")
+    votes = asked.join(held, _same(asked, held)).groupBy("mid", "conv_id", "turn", "k1", "k2").agg(F.sum("words").alias("n"))
+    names = {"k1": "h1", "k2": "h2"}
+    return staged(votes.withColumnsRenamed(names), "common"), members.withColumnsRenamed(names)
+
+
+def link(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(messages with mid and text; linked: mid, words of every quoted window that someone wrote before; votes: mid, n,
+    target with its to_conv and to_turn).
+
+    A vote says that ``n`` of a message's words of level one may come from ``target``; of the targets with the same n
+    the nearest is always there, others that it beats may be missing.
     ``messages`` has conv_id, turn, role, text.
     """
     text = F.coalesce("text", F.lit(""))
@@ -219,18 +237,27 @@ def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     quoted = staged(_quoted(ids).groupBy(*window).agg(F.sum("words").alias("words")), "quoted")
     wanted = quoted.select("size", "h1", "h2").distinct()
     own = staged(_own(ids, wanted), "own")
-    writers = own.groupBy(F.col("conv_id").alias("c"), F.col("h1").alias("w1"), F.col("h2").alias("w2")).agg(F.count(F.lit(1)).alias("writers"))
-    asked = staged(quoted.join(writers, _same(quoted, writers), "left").select(quoted["*"], "writers"), "asked")
-    few, many = asked.where(f"writers <= {COMMON}"), asked.where(f"writers > {COMMON}")
+    writers = own.groupBy(F.col("conv_id").alias("c"), F.col("h1").alias("w1"), F.col("h2").alias("w2")).agg(F.count(F.lit(1)).alias("writers"), F.min("turn").alias("since"))
+    asked = staged(quoted.join(writers, _same(quoted, writers), "left").select(quoted["*"], "writers", "since"), "asked")
+    here = asked.where("since < turn")
+    few, many = here.where(f"level = 1 and writers <= {COMMON}"), here.where(f"level = 1 and writers > {COMMON}")
     by = own.select(F.col("conv_id").alias("c"), F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("turn").alias("to_turn"), F.col("mid").alias("target"))
-    here = few.join(by, _same(few, by) & (by["to_turn"] < few["turn"])).select("mid", "level", "h1", "h2", "words", F.col("c").alias("to_conv"), "to_turn", "target")
-    common = writers.where(f"writers > {COMMON}")
-    here = staged(here.unionByName(_nearest(many, own.join(common, _same(own, common), "left_semi"))).where("target is not null"), "here")
-    left = asked.join(here, ["mid", "level", "h1", "h2"], "left_anti")
+    pair = ["mid", "to_conv", "to_turn", "target"]
+    votes = few.join(by, _same(few, by) & (by["to_turn"] < few["turn"])).select("mid", F.col("c").alias("to_conv"), "to_turn", "target", "words").groupBy(*pair).agg(F.sum("words").alias("n"))
+    if not many.isEmpty():
+        common, members = _common_votes(many, own, writers.where(f"writers > {COMMON}"))
+        # a target has the votes of its class; the nearest of a class beats those of it without other votes
+        nearest = _nearest(common.withColumn("level", F.lit(1)).withColumnRenamed("n", "words"), members).where("target is not null")
+        of = members.select(F.col("mid").alias("target"), "h1", "h2")
+        more = common.select("mid", "h1", "h2", F.col("n").alias("more"))
+        votes = votes.join(of, "target", "left").join(more, ["mid", "h1", "h2"], "left").select(*pair, (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        votes = votes.unionByName(nearest.select(*pair, F.col("words").alias("n")))
+    left = asked.where("since is null or turn is null or since >= turn")
     first = own.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", "turn", "mid")).alias("first"))
-    there = left.join(first, ["h1", "h2"]).where("first.conv_id < conv_id")
-    there = there.select("mid", "level", "h1", "h2", "words", F.col("first.conv_id").alias("to_conv"), F.col("first.turn").alias("to_turn"), F.col("first.mid").alias("target"))
-    return ids, here.unionByName(there)
+    there = staged(left.join(first, ["h1", "h2"]).where("first.conv_id < conv_id").select("mid", "level", "words", "first"), "there")
+    far = there.where("level = 1").groupBy("mid", "first").agg(F.sum("words").alias("n"))
+    votes = votes.unionByName(far.select("mid", F.col("first.conv_id").alias("to_conv"), F.col("first.turn").alias("to_turn"), F.col("first.mid").alias("target"), "n"))
+    return ids, here.select("mid", "words").unionByName(there.select("mid", "words")), votes
 
 
 def conversations(messages: DataFrame) -> DataFrame:
@@ -246,11 +273,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     message wrote are removed but link nothing; a message never replies to a
     later one of its conversation.
     """
-    ids, links = link(messages)
-    links = staged(links, "links")
-    votes = links.where("level = 1").groupBy("mid", "to_conv", "to_turn", "target").agg(F.sum("words").alias("n"))
+    ids, linked, votes = link(messages)
     best = votes.groupBy("mid").agg(F.max(F.struct("n", "to_conv", "to_turn", "target"))["target"].alias("target"))
-    linked = links.groupBy("mid", "level", "h1", "h2").agg(F.first("words").alias("words")).groupBy("mid").agg(F.sum("words").alias("linked_words"))
+    linked = linked.groupBy("mid").agg(F.sum("words").alias("linked_words"))
     parents = ids.select("mid").join(best, "mid", "left").join(_before(ids), "mid", "left").select("mid", F.coalesce("target", "prev").alias("parent"))
     parents = staged(parents.join(linked, "mid", "left"), "parents")
     # up: an ancestor and how far it is; the distances double each round
@@ -305,13 +330,9 @@ written AS (SELECT mid, conv_id, turn, flatten(list(words ORDER BY no)) AS words
 sized AS (SELECT w.*, unnest(range(1, least({WINDOW}, len(words)) + 1)) AS k FROM written w),
 placed AS (SELECT *, unnest(range(1, len(words) - k + 2)) AS p FROM sized),
 own AS (SELECT DISTINCT mid, conv_id, turn, words[p : p + k - 1] AS gram FROM placed),
-writers AS (SELECT conv_id, gram, count(*) AS writers FROM own GROUP BY ALL),
-met AS (
-  SELECT q.mid, q.level, q.gram, q.words, o.conv_id AS to_conv, o.turn AS to_turn, o.mid AS target, w.writers,
-    row_number() OVER (PARTITION BY q.mid, q.level, q.gram ORDER BY o.turn DESC, o.mid DESC) AS nth
-  FROM quoted q JOIN own o ON o.gram = q.gram AND o.conv_id IS NOT DISTINCT FROM q.conv_id AND o.turn < q.turn
-  JOIN writers w ON w.gram = q.gram AND w.conv_id IS NOT DISTINCT FROM q.conv_id),
-here AS (SELECT mid, level, gram, words, to_conv, to_turn, target FROM met WHERE writers <= {COMMON} OR nth = 1),
+here AS (
+  SELECT q.mid, q.level, q.gram, q.words, o.conv_id AS to_conv, o.turn AS to_turn, o.mid AS target
+  FROM quoted q JOIN own o ON o.gram = q.gram AND o.conv_id IS NOT DISTINCT FROM q.conv_id AND o.turn < q.turn),
 firsts AS (
   SELECT gram, conv_id AS to_conv, turn AS to_turn, mid AS target FROM own
   QUALIFY row_number() OVER (PARTITION BY gram ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, mid) = 1),
