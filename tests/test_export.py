@@ -135,3 +135,15 @@ def test_rule_statistics(spark):
     out = {r["rule_id"]: (r["historical_fp_rate"], r["recommended_action"])
            for r in metrics.rule_stats(data.findings(spark, rows), fb, Settings(rule_min_samples=4)).collect()}
     assert out == {"a": (1.0, "suppress"), "b": (0.75, "review_config"), "c": (1.0, None)}
+
+
+def test_compressed_export_holds_the_same_rows(spark, tmp_path):
+    f, s, fb, a = build(spark)
+    plain = export.export_dataset(f, s, fb, a, str(tmp_path), "plain")
+    packed = export.export_dataset(f, s, fb, a, str(tmp_path), "packed", compression="gzip")
+    assert packed["counts"] == plain["counts"] and set(packed["files"]) == set(plain["files"])
+    for name, e in packed["files"].items():
+        parts = sorted((tmp_path / "packed" / name).glob("part-*"))
+        assert parts and all(p.name.endswith(".gz") for p in parts) and e["bytes"] == sum(p.stat().st_size for p in parts)
+        same = [sorted(spark.read.text(str(tmp_path / d / name)).toPandas()["value"]) for d in ("plain", "packed")]
+        assert same[0] == same[1]
