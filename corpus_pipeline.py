@@ -38,7 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, and digests of them and of what they decode to."""
-    small_batches(spark)
+    # the ids of a batch are several times its text, and the executor still holds what the stages before left
+    small_batches(spark, 1 << 20)
     return bpe_tree.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

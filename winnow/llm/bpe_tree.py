@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from winnow.llm.scan import Spans, blocks, mix, release
 
-#: entries of one generation of a memory: of byte strings (some 10 MB each), and of matches (some 20 MB)
-REMEMBERED, REMEMBERED_MATCHES = 60_000, 1 << 19
+#: entries of one generation of a memory: of byte strings (some 3 MB each), and of matches (some 5 MB)
+REMEMBERED, REMEMBERED_MATCHES = 20_000, 1 << 17
 #: longest byte strings remembered inside the tree, as nodes and as windows
 REMEMBERED_BYTES, REMEMBERED_WINDOW = 4, 12
 _BYTES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
