@@ -156,3 +156,47 @@ def test_projects_that_share_paths_stay_apart(spark):
     shown = {ids[r["finding_id"]]: r["context"] for r in out.contexts.collect()}
     assert "first();" in shown[1] and "second();" in shown[2] and "first();" not in shown[2]
     assert {r["scan_id"]: (r["status"], r["total_findings"]) for r in out.scans.collect()} == {1: ("complete", 1), 2: ("failed", 1)}
+
+
+def _arrivals(spark):
+    doc = lambda *lines: '{"results":[' + ",".join(f'{{"test_id":"B1","filename":"a.py","line_number":{n}}}' for n in lines) + "]}"
+    rows = [(1, 7, "a" * 40, doc(1, 2)), (1, 7, "a" * 40, doc(1, 2)), (2, 7, "b" * 40, doc(3)), (2, 6, "c" * 40, doc(4)), (3, 7, "d" * 40, "{nope"), (None, 7, "e" * 40, doc(9))]
+    return spark.createDataFrame([(i, p, "bandit", c, "main", 10, r) for i, p, c, r in rows],
+                                 "scan_id bigint, project_id bigint, source string, commit_sha string, branch string, size_bytes bigint, report string")
+
+
+def test_ingestion_moves_neither_reports_nor_findings(spark):
+    """Reports that come once, and their findings, are written where they were read; repeated ones count once."""
+    from winnow.sinks import files
+
+    rules = spark.createDataFrame([("B1", 1, "x", 0.5)], "external_id string, cwe_id int, description string, historical_fp_rate double")
+    moved = {}
+
+    def store(df, name):
+        moved[name] = "Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString()
+        return files.stage(df, name)
+
+    ingest.ingest(_arrivals(spark).filter("scan_id = 3 OR project_id = 6"), rules, store=store)
+    assert moved == {"documents": False, "registered": False, "findings": False}
+    out = ingest.ingest(_arrivals(spark), rules, store=store)
+    found = {(r["scan_id"], r["line_number"], r["project_id"], r["commit_sha"][0], r["feature_vector"]["historical_fp_rate_rule"]) for r in out.findings.collect()}
+    assert found == {(1, 1, 7, "a", 0.5), (1, 2, 7, "a", 0.5), (2, 3, 6, "c", 0.5), (2, 4, 6, "c", 0.5)} and out.findings.count() == 4
+    assert sorted(((r["scan_id"] or 0, r["status"], r["total_findings"]) for r in out.scans.collect())) == [
+        (0, "complete", 0), (1, "complete", 2), (2, "complete", 2), (3, "failed", 0)]
+    assert out.documents.count() == 5
+
+
+def test_rows_apart_by_hashes_equal_plain_ones(spark):
+    from winnow.operators import sets
+
+    schema = "a bigint, b string, wide string"
+    rows = spark.createDataFrame([(1, "x", "w"), (1, "x", "w"), (1, "y", "w"), (None, "x", "w"), (None, "x", "w"), (None, None, "w"), (2, None, "w")], schema)
+    taken = spark.createDataFrame([(1, "x"), (1, "x"), (None, "x"), (2, None), (5, "z")], "a bigint, b string")
+    def key(r):
+        return (r["a"] or 0, r["b"] or "")
+
+    for some in (rows, rows.distinct()):
+        assert sorted(map(key, sets.once_each(some, ["a", "b"]).collect())) == sorted(map(key, some.dropDuplicates(["a", "b"]).collect()))
+        for other in (taken, taken.filter("a = 5")):
+            got = sets.without(some, other, ["a", "b"])
+            assert got.columns == some.columns and sorted(map(key, got.collect())) == sorted(map(key, some.join(other, ["a", "b"], "left_anti").collect()))

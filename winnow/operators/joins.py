@@ -75,6 +75,15 @@ def author_level(f: DataFrame, blame: DataFrame, commits: DataFrame, s: Settings
     )
 
 
+def known_rules(r: DataFrame) -> DataFrame:
+    """Rules as registered so far, with their rate."""
+    return r.select(
+        "external_id", "cwe_id", "description",
+        (F.col("historical_fp_rate") if "historical_fp_rate" in r.columns else F.lit(0.0)).alias("historical_fp_rate"),
+        F.lit(False).alias("is_new"),
+    )
+
+
 def register_rules(f: DataFrame, r: DataFrame) -> DataFrame:
     """Known rules plus one row per rule seen for the first time, rate zero."""
     seen = f.groupBy(F.col("rule_id").alias("external_id")).agg(F.min_by("cwe_id", "id").alias("cwe_id"))
@@ -82,12 +91,7 @@ def register_rules(f: DataFrame, r: DataFrame) -> DataFrame:
         "external_id", "cwe_id", F.lit(None).cast("string").alias("description"),
         F.lit(0.0).alias("historical_fp_rate"), F.lit(True).alias("is_new"),
     )
-    known = r.select(
-        "external_id", "cwe_id", "description",
-        (F.col("historical_fp_rate") if "historical_fp_rate" in r.columns else F.lit(0.0)).alias("historical_fp_rate"),
-        F.lit(False).alias("is_new"),
-    )
-    return known.unionByName(new)
+    return known_rules(r).unionByName(new)
 
 
 def with_guidance(f: DataFrame) -> DataFrame:

@@ -8,6 +8,37 @@ from pyspark.sql import functions as F
 from winnow import fixed_values as fv
 from winnow.operators import joins
 from winnow.settings import DEFAULTS, Settings
+from winnow.sinks import files
+
+
+def _suspects(hashes: DataFrame, name: str) -> DataFrame | None:
+    """Hashes written once, so that they are joined by their real size; None if there are none."""
+    some = files.stage(hashes.select("_key"), name)
+    return None if some.isEmpty() else some
+
+
+def once_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, like ``dropDuplicates``, for wide rows that seldom repeat.
+
+    Only hashes of the keys move, and the rows whose hash comes more than once.
+    """
+    marked = rows.withColumn("_key", F.xxhash64(*keys))
+    again = _suspects(marked.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "again")
+    if again is None:
+        return rows
+    alone = marked.join(again, "_key", "left_anti")
+    return alone.unionByName(marked.join(again, "_key", "left_semi").dropDuplicates(keys)).drop("_key")
+
+
+def without(rows: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys the other set does not have; only hashes move, and the rows whose hash the other set has."""
+    marked = rows.withColumn("_key", F.xxhash64(*keys))
+    both = _suspects(marked.select("_key").distinct().join(taken.select(F.xxhash64(*keys).alias("_key")), "_key", "left_semi"), "taken")
+    if both is None:
+        return rows
+    theirs = taken.withColumn("_key", F.xxhash64(*keys)).join(both, "_key", "left_semi").select(*keys)
+    kept = marked.join(both, "_key", "left_semi").join(theirs, keys, "left_anti")
+    return marked.join(both, "_key", "left_anti").unionByName(kept.select(*marked.columns)).drop("_key")
 
 
 def minus_fingerprints(rows: DataFrame, taken: DataFrame) -> DataFrame:

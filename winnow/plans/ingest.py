@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow import fixed_values as fv
-from winnow.operators import features, joins, latest, metrics
+from winnow.operators import features, joins, latest, metrics, sets
 from winnow.operators.onerow import beside
 from winnow.plans import context
 from winnow.settings import DEFAULTS, Settings
@@ -42,38 +42,51 @@ def with_ids(rows: DataFrame) -> DataFrame:
     return placed.unionByName(copies.select(F.xxhash64(*keys, "_k").alias("id"), *keys))
 
 
+def _in_scan(once: DataFrame, documents: DataFrame, scans: DataFrame) -> DataFrame:
+    """Reports with project and commit of their scan: their own, unless the scan has several documents."""
+    named = once.filter(F.col("scan_id").isNotNull())
+    several = files.stage(documents.groupBy("scan_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("scan_id"), "several")
+    if several.isEmpty():
+        return named
+    whole = scans.join(several, "scan_id", "left_semi").select("scan_id", "project_id", "commit_sha")
+    return named.join(several, "scan_id", "left_anti").unionByName(named.drop("project_id", "commit_sha").join(whole, "scan_id"))
+
+
 def ingest(arrivals: DataFrame, rules: DataFrame, code: DataFrame | None = None, authors: DataFrame | None = None,
-           flow: DataFrame | None = None, lines: DataFrame | None = None, scorer=None, cfg: Settings = DEFAULTS) -> Ingested:
+           flow: DataFrame | None = None, lines: DataFrame | None = None, scorer=None, cfg: Settings = DEFAULTS, store=files.stage) -> Ingested:
     """Validate, normalize, register rules, build vectors, score, snapshot evidence.
 
     ``arrivals``: scan_id, project_id, source, commit_sha, branch, size_bytes, report.
     ``scorer`` maps findings to findings with probability and label (none = cold start).
     A scan may come as several reports; equal ones count once.  A bad report
     fails its own scan only.  Findings carry project and commit, and sides that
-    know theirs (code, flow, lines) are joined on them too.
+    know theirs (code, flow, lines) are joined on them too.  ``store`` writes a result (``documents``, ``findings``
+    and small ones) under its name and reads it back.
     """
     checked = reports.with_documents(reports.validate_arrivals(arrivals, cfg))
     accepted = checked.filter(F.size("reject_reasons") == 0)
     rejected = checked.filter(F.size("reject_reasons") > 0).select("scan_id", "reject_reasons")
     about = ["scan_id", "project_id", "source", "commit_sha", "branch"]
-    # whether a report can be read is known before the shuffle, so only keys move here
-    documents = accepted.select(*about, "document", F.try_parse_json("report").isNull().alias("failed")).dropDuplicates(["scan_id", "document"])
-    documents = files.stage(documents, "documents")
+    # reports stay where they are but those that may come twice
+    once = sets.once_each(accepted.select(*about, "report", "document"), ["scan_id", "document"])
+    documents = store(once.select(*about, "document", F.try_parse_json("report").isNull().alias("failed")), "documents")
     # a scan of several documents is one scan, and failed if any of them is
     scans = documents.groupBy("scan_id").agg(
         F.min(F.struct(*about[1:])).alias("about"), F.max("failed").alias("failed")
     ).select("scan_id", "about.*", F.when(F.col("failed"), "failed").otherwise("complete").alias("status"))
 
-    once = accepted.select("scan_id", "source", "report", "document").dropDuplicates(["scan_id", "document"])
-    normalized = reports.normalize_reports(once)
-    normalized = normalized.join(scans.select("scan_id", "project_id", "commit_sha"), "scan_id")
     # parsed once: rules, vectors, counts and candidates all read the stored rows
-    found = files.stage(with_ids(normalized.withColumnRenamed("snippet", "raw_snippet")), "normalized")
-    known = joins.register_rules(found, rules)
-    vectors = features.build_vectors(found, known, code, authors, flow)
+    normalized = reports.normalize_reports(_in_scan(once, documents, scans))
+    found = with_ids(normalized.withColumnRenamed("snippet", "raw_snippet"))
+    # one row per rule, written once: joined by its real size, so findings stay where they are; rules seen for the
+    # first time have the rate of unknown ones
+    registered = store(joins.known_rules(rules), "registered")
+    vectors = features.build_vectors(found, registered, code, authors, flow)
     scored = scorer(vectors) if scorer else vectors.select(
         "*", F.lit(None).cast("double").alias("tp_probability"), F.lit(None).cast("string").alias("predicted_label"))
-    findings = scored.withColumn("final_label", F.lit(None).cast("string")).withColumn("status", F.lit("pending"))
+    # parsed and scored once: rules, counts, contexts and candidates all read the stored rows
+    findings = store(scored.withColumn("final_label", F.lit(None).cast("string")).withColumn("status", F.lit("pending")), "findings")
+    known = joins.register_rules(findings, registered)
     ctx = context.build_contexts(findings, lines, cfg)
     candidates = latest.candidates_per_scan(findings, latest.run_size(cfg)).select("scan_id", "position", "id")
 

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from winnow.operators import metrics
+from winnow.operators import metrics, sets
 from winnow.plans import ingest as plan
 from winnow.settings import DEFAULTS, Settings
+from winnow.sinks import files
 from winnow.sources.reports import with_documents
 from winnow.streaming import keyed, state
 
@@ -38,7 +39,7 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
 
 
 def _write(df: DataFrame, root: str, name: str, epoch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/{name}/epoch={epoch}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{name}/epoch={epoch}")
 
 
 def run_ingest(arrivals: DataFrame, root: str, rules: DataFrame, checkpoint: str,
@@ -51,17 +52,23 @@ def run_ingest(arrivals: DataFrame, root: str, rules: DataFrame, checkpoint: str
         fresh = batch
         if seen is not None:
             earlier = seen.filter(F.col("epoch") != epoch_id).select("scan_id", "document")
-            fresh = with_documents(batch).join(earlier, ["scan_id", "document"], "left_anti").drop("document")
+            fresh = sets.without(with_documents(batch), earlier, ["scan_id", "document"]).drop("document")
         added = _table(spark, root, "rules")
         known = rules
         if added is not None:
             older = added.filter(F.col("epoch") != epoch_id)
             known = rules.select("external_id", "cwe_id", "description").unionByName(
                 older.select("external_id", "cwe_id", "description"))
-        out = plan.ingest(fresh, known, scorer=scorer, cfg=cfg)
-        _write(out.findings, root, "findings", epoch_id)
+
+        def store(df: DataFrame, name: str) -> DataFrame:
+            """Documents and findings are written where they stay, and read from there."""
+            if name not in ("documents", "findings"):
+                return files.stage(df, name)
+            _write(df, root, name, epoch_id)
+            return spark.read.schema(df.schema).parquet(f"{root}/{name}/epoch={epoch_id}")
+
+        out = plan.ingest(fresh, known, scorer=scorer, cfg=cfg, store=store)
         _write(out.scans, root, "scans", epoch_id)
-        _write(out.documents.drop("failed"), root, "documents", epoch_id)
         _write(out.contexts, root, "contexts", epoch_id)
         _write(out.candidates, root, "candidates", epoch_id)
         _write(out.rules.filter("is_new").drop("is_new"), root, "rules", epoch_id)
