@@ -147,3 +147,24 @@ def test_compressed_export_holds_the_same_rows(spark, tmp_path):
         assert parts and all(p.name.endswith(".gz") for p in parts) and e["bytes"] == sum(p.stat().st_size for p in parts)
         same = [sorted(spark.read.text(str(tmp_path / d / name)).toPandas()["value"]) for d in ("plain", "packed")]
         assert same[0] == same[1]
+
+
+def test_priorities_move_only_what_they_need(spark):
+    """Without the columns shown of other tables the ranks are the same, and nothing is written for one reader of the snapshot."""
+    from __spark_entry__ import queries
+
+    from catalog.registry import Tables
+    from winnow.plans import snapshot
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    whole = snapshot.training_snapshot(t.findings, t.scans, t.feedback)
+    full = export.review_rows(t.findings, t.scans, t.assessments, whole.kept)
+    lean = export.review_rows(t.findings, t.scans, t.assessments, whole.kept, keep=())
+    assert {"ambiguous_feature", "advisory_assessments"} <= set(full.columns) and not {"ambiguous_feature", "advisory_assessments"} & set(lean.columns)
+    names = ["id", "fingerprint", "priority_score", "priority_reasons"]
+    assert sorted(map(tuple, lean.select(names).collect())) == sorted(map(tuple, full.select(names).collect()))
+    plan = queries()["sc_12_review_priority"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "feature_sha256" not in plan and "confidence" not in plan
+    once = snapshot.training_snapshot(t.findings, t.scans, t.feedback, once=True).kept
+    assert not any("deduped" in f for f in once.inputFiles())
+    assert sorted(once.select("id", "split").collect()) == sorted(whole.kept.select("id", "split").collect())
