@@ -166,3 +166,25 @@ def test_scans_meet_projects_before_findings(spark):
     out = joins.with_scan(f, s, p)
     assert out.columns == ["project_id", "scan_id", *[c for c in f.columns if c != "scan_id"], "scanner_source", "commit_sha", "branch", "project_name", "source_path"]
     assert sorted((r["id"], r["project_name"]) for r in out.collect()) == [(1, "one"), (2, "one")] + [(3, "two")] * 4
+
+
+def test_lines_redacted_by_block_are_the_redacted_window(spark):
+    """Secrets at and over the ends of lines, repeated lines and ids, and numbers as long as a token."""
+    import random
+
+    from winnow.plans import context
+
+    draw = random.Random(7)
+    bits = ["authorization: bearer", "Authorization:", "bearer abcdefgh1234", "$token = ", "'s3cretvalue", "api_key=>\\", "password: \"", "secret", "x1y2z3w4==", "", "  ", "\t=", "\r", "\"", "// é"]
+    lines = [(p, n, "".join(draw.choice(bits) for _ in range(draw.randint(0, 4))) if draw.random() < 0.95 else None)
+             for p, first in (("a.php", 1), ("b.php", 9_999_950), ("c.php", 999_990)) for n in range(first, first + 120) for _ in range(draw.choice([1, 1, 1, 2]))]
+    lines += [("d.php", 9_999_999, "authorization: bearer"), ("d.php", 10_000_000, "$x;")]
+    rows = [(draw.randint(1, 300), p, n) for p, n, _ in lines] + [(999, "d.php", 9_999_999)]
+    side = spark.createDataFrame(lines, "file_path string, line_no int, text string")
+    f = spark.createDataFrame(rows, "id bigint, file_path string, line_number int")
+    got = {r["id"]: r["code"] for r in context.source_windows(f, side).collect()}
+    want = {r["id"]: r["code"] for r in joins.line_window(f, side, 20).select("id", joins.window_code("window").alias("code")).collect()}
+    assert got == want and len(got) > 200 and "[REDACTED:BEARER_TOKEN] | $x;" in got[999] and "[REDACTED:PASSWORD]" in "".join(got.values())
+    # the patterns stand below the join, where a line is met once per block
+    plan = context.source_windows(f, side)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("collect_list" in x and "REDACTED:API_KEY_OR_TOKEN" in x for x in plan.splitlines())
