@@ -188,3 +188,15 @@ def test_lines_redacted_by_block_are_the_redacted_window(spark):
     # the patterns stand below the join, where a line is met once per block
     plan = context.source_windows(f, side)._jdf.queryExecution().optimizedPlan().toString()
     assert any("collect_list" in x and "REDACTED:API_KEY_OR_TOKEN" in x for x in plan.splitlines())
+
+
+def test_a_reader_of_some_report_parts_moves_only_what_they_need(spark):
+    t = Tables(spark, SF)
+    lines = t.blame.select("file_path", "line_no", F.col("author").alias("text"))
+    whole = joins.finding_report(t.findings, t.scans, t.projects, t.feedback, t.assessments, lines)
+    some = ["finding.project", "location.directory", "reviewers[0].evaluation_outcome AS a", "reviewers[1].available AS b", "size(code.lines) AS n", "code.available AS c"]
+    moved = [x for x in plan(whole.selectExpr("id", *some)).splitlines() if "Project" in x or "Scan" in x]
+    assert moved and not any(c in x for x in moved for c in (" AS message#", " AS severity#", " AS suggested_fix#", " AS status#", "o_orderpriority"))
+    assert any(" AS message#" in x for x in plan(whole).splitlines()) and "o_orderpriority" in plan(whole)
+    kept = whole.select("id", *[F.expr(x) for x in some]).collect()
+    assert sorted(map(str, kept)) == sorted(str(r) for r in spark.createDataFrame(whole.collect(), whole.schema).selectExpr("id", *some).collect())
